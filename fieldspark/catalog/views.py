@@ -104,7 +104,28 @@ def simobs(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def monthly(spark: SparkSession, sf: str) -> DataFrame:
+    """Monthly climate fields per scenario on a narrow grid."""
+    return (
+        table(spark, sf, "lineitem")
+        .groupBy(F.col("l_returnflag").alias("scenario"), F.year("l_shipdate").alias("year"), F.month("l_shipdate").alias("month"),
+                 F.col("l_suppkey").alias("iy"), (F.col("l_partkey") % 4).alias("ix"))
+        .agg(F.avg("l_quantity").alias("tas"), F.sum(F.col("l_extendedprice") * (F.col("l_discount") - F.col("l_tax"))).alias("pr"))
+    )
+
+
+def holed(spark: SparkSession, sf: str) -> DataFrame:
+    """Full grid with explicit gaps: rectangular holes and low values are missing."""
+    hole = (F.col("iy") % 25).between(5, 12) & F.col("ix").between(20, 30)
+    return grid(spark, sf).join(flat(spark, sf), ["iy", "ix"], "left").select(
+        "iy", "ix", F.when(~hole & (F.col("v") >= 20), F.col("v")).alias("v"))
+
+
 SQL_VIEWS = {
+    "monthly": """(SELECT l_returnflag AS scenario, CAST(year(l_shipdate) AS INT) AS year, CAST(month(l_shipdate) AS INT) AS month,
+        l_suppkey AS iy, l_partkey % 4 AS ix, avg(l_quantity) AS tas, sum(l_extendedprice * (l_discount - l_tax)) AS pr FROM lineitem GROUP BY ALL)""",
+    "holed": """(SELECT iy, ix, CASE WHEN NOT (iy % 25 BETWEEN 5 AND 12 AND ix BETWEEN 20 AND 30) AND v >= 20 THEN v END AS v
+        FROM {grid} LEFT JOIN {flat} USING (iy, ix))""",
     "cells": f"""(SELECT CAST(year(l_shipdate) AS INT) AS t, l_suppkey AS iy, l_partkey % {NX} AS ix,
         avg(l_quantity) AS thk, sum(l_extendedprice) AS ice_mass, min(l_linenumber) AS mask,
         sum(l_extendedprice * (l_discount - l_tax)) AS glf,

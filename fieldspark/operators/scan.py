@@ -55,14 +55,14 @@ def neighbours(
         if not names:
             continue
         packed = F.struct(*[as_col(c).alias(n) for n, c in names.items()])
-        extra[f"__{tag}"] = fn(packed).over(inner)
-        aggs[f"__{tag}e"] = value_at_edge(packed, rank)
-        shifted[f"__{tag}e"] = fn(f"__{tag}e").over(across)
+        extra[f"__scan_{tag}"] = fn(packed).over(inner)
+        aggs[f"__scan_{tag}e"] = value_at_edge(packed, rank)
+        shifted[f"__scan_{tag}e"] = fn(f"__scan_{tag}e").over(across)
         for n in names:
-            final[n] = F.coalesce(F.col(f"__{tag}"), F.col(f"__{tag}e"))[n]
+            final[n] = F.coalesce(F.col(f"__scan_{tag}"), F.col(f"__scan_{tag}e"))[n]
     edges = _edges(d, keys, aggs, shifted)
     out = d.withColumns(extra).join(edges, [*keys, _B], "left").withColumns(final)
-    return out.drop(_B, "__p", "__n", "__pe", "__ne")
+    return out.drop(_B, "__scan_p", "__scan_n", "__scan_pe", "__scan_ne")
 
 
 def running(
