@@ -216,13 +216,13 @@ def _(spark, sf):
     return v.rounded(out, ["tas", "pr"], 8)
 
 
-@query("A7_period_climatology", """SELECT period, month, iy, ix, round(avg(tas), 8) AS tas, round(stddev_pop(tas), 8) + 0.0 AS tas_sd, round(avg(pr) / any_value(d), 8) + 0.0 AS pr_rate
+@query("A7_period_climatology", """SELECT period, month, iy, ix, round(avg(tas), 8) AS tas, round(stddev_pop(tas), 8) + 0.0 AS tas_sd, round(avg(pr) / any_value(d), 10) + 0.0 AS pr_rate
     FROM {monthly} JOIN (VALUES ('early', 1995, 1997), ('mid', 1997, 1999), ('late', 1999, 2001)) p(period, a, b) ON year BETWEEN a AND b
     JOIN (SELECT unnest(range(1, 13)) AS month, unnest([31,28,31,30,31,30,31,31,30,31,30,31]) AS d) USING (month) GROUP BY ALL""")
 def _(spark, sf):
     out = climatology.period_climatology(v.monthly(spark, sf), {"early": (1995, 1997), "mid": (1997, 1999), "late": (1999, 2001)},
                                          ["iy", "ix"], ["tas"], ["tas"], ["pr"])
-    return v.rounded(out, ["tas", "tas_sd", "pr_rate"], 8)
+    return v.rounded(v.rounded(out, ["tas", "tas_sd"], 8), ["pr_rate"], 10)
 
 
 @query("A8_daily_to_monthly", """SELECT month, cell_y, cell_x, round(d.v, 6) AS value, round(d.sd, 6) + 0.0 AS value_sd, m.n FROM
