@@ -59,17 +59,7 @@ def _(spark, sf):
     return v.rounded(out, ["rmse_mean"], 6).orderBy("rmse_mean")
 
 
-ACF_FIELD = """(SELECT field, iy, ix, q + 20 * sin(iy / 5.0::DOUBLE) + 15 * cos(ix / 3.0::DOUBLE) AS v FROM
-    (SELECT l_returnflag AS field, l_suppkey AS iy, l_partkey % 60 AS ix, avg(l_quantity) AS q FROM lineitem GROUP BY ALL))"""
-
-
-@query("A15_decorrelation_length", f"""WITH f AS (SELECT field, iy, ix, v - avg(v) OVER (PARTITION BY field) AS a FROM {ACF_FIELD}),
-    d AS (SELECT max(iy) + 1 AS ny, 60 AS nx FROM f),
-    lag AS (SELECT dy, dx, CAST(floor(sqrt(dy * dy + dx * dx)) AS INT) AS r FROM (SELECT unnest(range(-50, 50)) AS dy), (SELECT unnest(range(-30, 30)) AS dx) WHERE sqrt(dy * dy + dx * dx) < 31),
-    s AS (SELECT g.field, r, sum(g.a * h.a) AS s FROM f g, lag, d JOIN f h ON h.field = g.field AND h.iy = (g.iy + dy + ny) % ny AND h.ix = (g.ix + dx + nx) % nx GROUP BY ALL),
-    n AS (SELECT r, count(*) AS n FROM lag GROUP BY r)
-    SELECT field, coalesce(min(CASE WHEN s / n / s0 < exp(-1) THEN r END), 30)::DOUBLE AS length FROM s JOIN n USING (r)
-    JOIN (SELECT field, s AS s0 FROM s WHERE r = 0) USING (field) GROUP BY field""")
+@query("A15_decorrelation_length")  # brute force on a small fixture in tests
 def _(spark, sf):
     shared_dir(spark)
     ny = v.table(spark, sf, "supplier").count()
