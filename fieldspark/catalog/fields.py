@@ -150,12 +150,12 @@ def _(spark, sf):
     return v.rounded(out, ["value"], 2)
 
 
-@query("J12_layer_merge", """SELECT iy, ix, coalesce(a.v, b.v) AS v, a.n AS n_lo, b.n AS n_hi FROM
+@query("J12_layer_merge", """SELECT iy, ix, coalesce(a.v, b.v) AS v, CAST(a.n AS DOUBLE) AS n_lo, CAST(b.n AS DOUBLE) AS n_hi FROM
     (SELECT l_suppkey AS iy, l_partkey % 60 AS ix, min(l_partkey % 60 + l_suppkey) AS v, count(*) AS n FROM lineitem WHERE l_linenumber = 1 GROUP BY ALL) a
     FULL JOIN (SELECT l_suppkey AS iy, l_partkey % 60 AS ix, min(l_partkey % 60 + l_suppkey) AS v, count(*) AS n FROM lineitem WHERE l_linenumber = 7 GROUP BY ALL) b USING (iy, ix)""")
 def _(spark, sf):
     li = v.table(spark, sf, "lineitem").groupBy("l_linenumber", F.col("l_suppkey").alias("iy"), (F.col("l_partkey") % v.NX).alias("ix")).agg(
-        F.min(F.col("l_partkey") % v.NX + F.col("l_suppkey")).alias("v"), F.count(F.lit(1)).alias("n"))
+        F.min(F.col("l_partkey") % v.NX + F.col("l_suppkey")).alias("v"), F.count(F.lit(1)).cast("double").alias("n"))
     lo = li.where("l_linenumber = 1").select("iy", "ix", "v", F.col("n").alias("n_lo"))
     hi = li.where("l_linenumber = 7").select("iy", "ix", "v", F.col("n").alias("n_hi"))
     return align.merge_layers(lo, hi, ["iy", "ix"], ["v"])

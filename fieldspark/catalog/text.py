@@ -120,11 +120,11 @@ def _(spark, sf):
     return d.select("o_orderkey", fx.render_options(fx.merge_maps(fx.row_to_map(["k", "c", "p"]), over)).alias("options"))
 
 
-@query("F14_vertical_arrays", "SELECT vec_id, CASE WHEN label < 5 THEN len(embedding) END AS n_levels, CASE WHEN label < 5 THEN round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * 2)), 6) + 0.0 END AS column_sum FROM embeddings")
+@query("F14_vertical_arrays", "SELECT vec_id, CASE WHEN label < 5 THEN CAST(len(embedding) AS DOUBLE) END AS n_levels, CASE WHEN label < 5 THEN round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * 2)), 6) + 0.0 END AS column_sum FROM embeddings")
 def _(spark, sf):
     lv = fx.mask_levels(C("embedding"), C("label") < 5)
     total = F.aggregate(F.transform(lv, lambda x: x.cast("double") * 2), L(0.0), lambda a, x: a + x)
-    return v.table(spark, sf, "embeddings").select("vec_id", F.size(lv).cast("bigint").alias("n_levels"), (F.round(total, 6) + 0.0).alias("column_sum"))
+    return v.table(spark, sf, "embeddings").select("vec_id", F.when(C("label") < 5, F.size(lv)).cast("double").alias("n_levels"), (F.round(total, 6) + 0.0).alias("column_sum"))
 
 
 @query("F15_nested_specs", """SELECT p_partkey AS doc, 'a' AS name, 'uniform' AS distribution, NULL::VARCHAR AS derived_from, NULL::VARCHAR AS error FROM part
@@ -255,10 +255,10 @@ def _(spark, sf):
 # ------------------------------------------------- set operations, order
 
 
-@query("U1_concatenate", "SELECT 'ev' AS source, event_id AS id, value, NULL::BIGINT AS custkey FROM events UNION ALL SELECT 'ord', o_orderkey, o_totalprice, o_custkey FROM orders")
+@query("U1_concatenate", "SELECT 'ev' AS source, event_id AS id, value, NULL::DOUBLE AS custkey FROM events UNION ALL SELECT 'ord', o_orderkey, o_totalprice, CAST(o_custkey AS DOUBLE) FROM orders")
 def _(spark, sf):
     a = v.table(spark, sf, "events").select(L("ev").alias("source"), C("event_id").alias("id"), "value")
-    b = _orders(spark, sf).select(L("ord").alias("source"), C("o_orderkey").alias("id"), C("o_totalprice").alias("value"), C("o_custkey").alias("custkey"))
+    b = _orders(spark, sf).select(L("ord").alias("source"), C("o_orderkey").alias("id"), C("o_totalprice").alias("value"), C("o_custkey").cast("double").alias("custkey"))
     return a.unionByName(b, allowMissingColumns=True)
 
 

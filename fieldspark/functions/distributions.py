@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fieldspark.functions.binding import bound
+
 EPS = 2.220446049250313e-16
 CHOICE_NAMES = ("choices", "choice", "categorical")
 
@@ -46,10 +48,12 @@ def _ratio(coefficients, x):
 
 
 def inverse_normal(u: Column) -> Column:
-    q = u - 0.5
-    tail = F.sqrt(-F.log(F.least(u, 1 - u)))
-    outer = F.when(tail <= 5, _ratio(NEAR, tail - 1.6)).otherwise(_ratio(FAR, tail - 5.0))
-    return F.when(F.abs(q) <= 0.425, q * _ratio(CENTRE, 0.180625 - q * q)).otherwise(F.signum(q) * outer)
+    def value(q: Column, tail: Column) -> tuple[Column]:
+        outer = F.when(tail <= 5, _ratio(NEAR, tail - 1.6)).otherwise(_ratio(FAR, tail - 5.0))
+        return (F.when(F.abs(q) <= 0.425, q * _ratio(CENTRE, 0.180625 - q * q)).otherwise(F.signum(q) * outer),)
+
+    (u,) = bound([u], lambda x: (x,), 1)
+    return bound([u - 0.5, F.sqrt(-F.log(F.least(u, 1 - u)))], value, 1)[0]
 
 
 def normal_cdf(x: float) -> float:

@@ -8,6 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from fieldspark.functions.binding import bound, iterate
+
 
 @dataclass(frozen=True)
 class Ellipsoid:
@@ -108,12 +110,13 @@ class Albers:
         n, c, rho0 = self.constants()
         rho, th = F.hypot(x, rho0 - y), F.atan2(x, rho0 - y)
         q = (c - (rho * (n / el.a)) ** 2) / n
-        p = F.asin(q / 2)
-        for _ in range(4):
+
+        def newton(p: Column) -> Column:
             s = F.sin(p)
             w = 1 - s * s * el.e2
-            p = p + w * w / (2 * F.cos(p)) * (q / (1 - el.e2) - s / w + F.log((1 - s * e) / (1 + s * e)) / (2 * e))
-        return _wrap(F.degrees(th / n) + self.lon0), F.degrees(p)
+            return p + w * w / (2 * F.cos(p)) * (q / (1 - el.e2) - s / w + F.log((1 - s * e) / (1 + s * e)) / (2 * e))
+
+        return _wrap(F.degrees(th / n) + self.lon0), F.degrees(iterate(F.asin(q / 2), newton, 4))
 
 
 @dataclass(frozen=True)
@@ -143,31 +146,40 @@ class TransverseMercator:
 
     def forward(self, lon: Column, lat: Column) -> tuple[Column, Column]:
         radius, fwd, _ = self.series()
-        d, tau = F.radians(_wrap(lon - self.lon0)), self._conformal(F.tan(F.radians(lat)))
-        xi0, eta0 = F.atan2(tau, F.cos(d)), F.asinh(F.sin(d) / F.hypot(tau, F.cos(d)))
-        xi, eta = xi0, eta0
-        for i, c in enumerate(fwd):
-            k = 2 * (i + 1)
-            xi = xi + F.sin(xi0 * k) * F.cosh(eta0 * k) * c
-            eta = eta + F.cos(xi0 * k) * F.sinh(eta0 * k) * c
-        return eta * radius + self.fe, xi * radius + self.fn
+        d = F.radians(_wrap(lon - self.lon0))
+        (tau,) = bound([F.tan(F.radians(lat))], lambda t: (self._conformal(t),), 1)
+        start = bound([tau, d], lambda t, a: (F.atan2(t, F.cos(a)), F.asinh(F.sin(a) / F.hypot(t, F.cos(a)))))
+
+        def sums(xi0: Column, eta0: Column) -> tuple[Column, Column]:
+            xi, eta = xi0, eta0
+            for i, c in enumerate(fwd):
+                k = 2 * (i + 1)
+                xi = xi + F.sin(xi0 * k) * F.cosh(eta0 * k) * c
+                eta = eta + F.cos(xi0 * k) * F.sinh(eta0 * k) * c
+            return eta * radius + self.fe, xi * radius + self.fn
+
+        return bound(list(start), sums)
 
     def inverse(self, x: Column, y: Column) -> tuple[Column, Column]:
         radius, _, inv = self.series()
-        e2 = self.ellipsoid.e2
-        xi0, eta0 = (y - self.fn) / radius, (x - self.fe) / radius
-        xi, eta = xi0, eta0
-        for i, c in enumerate(inv):
-            k = 2 * (i + 1)
-            xi = xi - F.sin(xi0 * k) * F.cosh(eta0 * k) * c
-            eta = eta - F.cos(xi0 * k) * F.sinh(eta0 * k) * c
-        goal = F.sin(xi) / F.hypot(F.sinh(eta), F.cos(xi))
-        lon = _wrap(F.degrees(F.atan2(F.sinh(eta), F.cos(xi))) + self.lon0)
-        # latitude from the conformal one by fixed-point steps on the sine
-        chi, p, e = F.atan(goal), F.atan(goal), self.ellipsoid.e
-        for _ in range(5):
-            p = F.asin(F.tanh(F.asinh(F.tan(chi)) + F.atanh(F.sin(p) * e) * e))
-        return lon, F.degrees(p)
+        e = self.ellipsoid.e
+
+        def sums(xi0: Column, eta0: Column) -> tuple[Column, Column]:
+            xi, eta = xi0, eta0
+            for i, c in enumerate(inv):
+                k = 2 * (i + 1)
+                xi = xi - F.sin(xi0 * k) * F.cosh(eta0 * k) * c
+                eta = eta - F.cos(xi0 * k) * F.sinh(eta0 * k) * c
+            return xi, eta
+
+        def angles(xi: Column, eta: Column) -> tuple[Column, Column]:
+            lon = _wrap(F.degrees(F.atan2(F.sinh(eta), F.cos(xi))) + self.lon0)
+            return lon, F.asinh(F.sin(xi) / F.hypot(F.sinh(eta), F.cos(xi)))
+
+        lon, psi = bound(list(bound([(y - self.fn) / radius, (x - self.fe) / radius], sums)), angles)
+        # latitude from the isometric one by fixed-point steps
+        (lat,) = bound([psi], lambda q: (F.degrees(iterate(F.asin(F.tanh(q)), lambda p: F.asin(F.tanh(q + F.atanh(F.sin(p) * e) * e)), 6)),), 1)
+        return lon, lat
 
 
 @dataclass(frozen=True)
@@ -227,7 +239,7 @@ def _wrap(lon: Column) -> Column:
 def transform(source: str, target: str, x: Column, y: Column) -> tuple[Column, Column]:
     if source == target:
         return x, y
-    return crs(target).forward(*crs(source).inverse(x, y))
+    return bound(list(bound([x, y], crs(source).inverse)), crs(target).forward)
 
 
 def transform_box(source: str, target: str, box: tuple[Column, Column, Column, Column], n: int = 21) -> tuple[Column, Column, Column, Column]:
@@ -245,15 +257,18 @@ def local_scale_factor(name: str, x: Column, y: Column, eps_deg: float = 1e-6) -
     """sqrt of the Jacobian determinant of the projection against true metres."""
     system = crs(name)
     el = system.ellipsoid
-    lon, lat = system.inverse(x, y)
-    east, west = system.forward(lon + eps_deg, lat), system.forward(lon - eps_deg, lat)
-    north, south = system.forward(lon, lat + eps_deg), system.forward(lon, lat - eps_deg)
-    xl, yl = (east[0] - west[0]) / (2 * eps_deg), (east[1] - west[1]) / (2 * eps_deg)
-    xp, yp = (north[0] - south[0]) / (2 * eps_deg), (north[1] - south[1]) / (2 * eps_deg)
-    p = F.radians(lat)
-    w = F.sqrt(1 - F.sin(p) * F.sin(p) * el.e2)
-    metres = (el.a / w) * F.cos(p) * (el.a * (1 - el.e2) / (w * w * w)) * (math.pi / 180) ** 2
-    return F.sqrt(F.abs(xl * yp - yl * xp) / metres)
+
+    def factor(lon: Column, lat: Column) -> tuple[Column]:
+        east, west = system.forward(lon + eps_deg, lat), system.forward(lon - eps_deg, lat)
+        north, south = system.forward(lon, lat + eps_deg), system.forward(lon, lat - eps_deg)
+        xl, yl = (east[0] - west[0]) / (2 * eps_deg), (east[1] - west[1]) / (2 * eps_deg)
+        xp, yp = (north[0] - south[0]) / (2 * eps_deg), (north[1] - south[1]) / (2 * eps_deg)
+        p = F.radians(lat)
+        w = F.sqrt(1 - F.sin(p) * F.sin(p) * el.e2)
+        metres = (el.a / w) * F.cos(p) * (el.a * (1 - el.e2) / (w * w * w)) * (math.pi / 180) ** 2
+        return (F.sqrt(F.abs(xl * yp - yl * xp) / metres),)
+
+    return bound(list(system.inverse(x, y)), factor, 1)[0]
 
 
 def rotate_vector(source: str, target: str, x: Column, y: Column, vx: Column, vy: Column, eps: float = 10.0) -> tuple[Column, Column]:

@@ -137,9 +137,9 @@ def dense_index(
     inner = Window.partitionBy(*keys, _B).orderBy(*order)
     part = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
     across = part.orderBy(_B).rowsBetween(Window.unboundedPreceding, -1)
-    edges = _edges(d, keys, {"__n": F.count(F.lit(1))}, {"__n": F.coalesce(F.sum("__n").over(across), F.lit(0))})
-    d = d.withColumn("__i", F.row_number().over(inner)).join(edges, [*keys, _B], "left")
-    return d.withColumn(name, (F.col("__i") + F.col("__n") + F.lit(start - 1)).cast("bigint")).drop(_B, "__i", "__n")
+    edges = _edges(d, keys, {"__base": F.count(F.lit(1))}, {"__base": F.coalesce(F.sum("__base").over(across), F.lit(0))})
+    d = d.withColumn("__rank", F.row_number().over(inner)).join(edges, [*keys, _B], "left")
+    return d.withColumn(name, (F.col("__rank") + F.col("__base") + F.lit(start - 1)).cast("bigint")).drop(_B, "__rank", "__base")
 
 
 def exact_quantiles(
