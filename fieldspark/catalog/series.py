@@ -10,13 +10,18 @@ from fieldspark.operators import align
 from fieldspark.operators import scan
 from fieldspark.operators import series as s
 
-BLOCK = scan.time_block("ts", 3)
+
+
+def _block():
+    return scan.time_block("ts", 3)
+
+
 ORDER = ["ts", "event_id"]
 MICROS = "(epoch_us(lead(ts) OVER w) - epoch_us(ts)) / 86400000000.0::DOUBLE"
 
 
 def _integral(spark, sf, **kw):
-    df = s.integrate_rate(v.rate(spark, sf), "rate", ["member"], ORDER, BLOCK, **kw)
+    df = s.integrate_rate(v.rate(spark, sf), "rate", ["member"], ORDER, _block(), **kw)
     return v.rounded(df.select("member", "event_id", "cumulative_rate"), ["cumulative_rate"], 5)
 
 
@@ -34,7 +39,7 @@ def _(spark, sf):
     WINDOW p AS (PARTITION BY member ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""")
 def _(spark, sf):
     gaps = v.rate(spark, sf).withColumn("rate", F.when(F.col("event_id") % 101 != 7, F.col("rate")))
-    df = s.integrate_rate(gaps, "rate", ["member"], ORDER, BLOCK, skipna=False)
+    df = s.integrate_rate(gaps, "rate", ["member"], ORDER, _block(), skipna=False)
     return v.rounded(df.select("member", "event_id", "cumulative_rate"), ["cumulative_rate"], 5)
 
 
@@ -53,18 +58,18 @@ def _(spark, sf):
 
 
 @query("W4_periodic_month_axis", """WITH m AS (SELECT exp_id, month(month) AS mm, avg(value) AS value FROM {series} GROUP BY ALL)
-    SELECT exp_id, CAST(mm AS INT) AS month, round(value, 6) AS value, sum(d) OVER w - d AS start_day, sum(d) OVER w AS end_day, sum(d) OVER w - d / 2 AS mid_day
+    SELECT exp_id, CAST(mm AS INT) AS month, round(value, 7) AS value, sum(d) OVER w - d AS start_day, sum(d) OVER w AS end_day, sum(d) OVER w - d / 2 AS mid_day
     FROM m JOIN (SELECT unnest(range(1, 13)) AS mm, unnest([31.0::DOUBLE,28,31,30,31,30,31,31,30,31,30,31]) AS d) USING (mm)
     WINDOW w AS (PARTITION BY exp_id ORDER BY mm)""")
 def _(spark, sf):
-    m = v.series(spark, sf).groupBy("exp_id", F.month("month").alias("month")).agg(F.round(F.avg("value"), 6).alias("value"))
+    m = v.series(spark, sf).groupBy("exp_id", F.month("month").alias("month")).agg(F.round(F.avg("value"), 7).alias("value"))
     return s.periodic_month_axis(m, keys=["exp_id"])
 
 
 @query("W5_time_bounds", """SELECT member, event_id, ts AS lo, hi FROM
     (SELECT *, lead(ts) OVER (PARTITION BY member ORDER BY ts, event_id) AS hi FROM {rate}) WHERE hi IS NOT NULL""")
 def _(spark, sf):
-    df = s.time_bounds(v.rate(spark, sf), ["member"], ORDER, BLOCK)
+    df = s.time_bounds(v.rate(spark, sf), ["member"], ORDER, _block())
     return df.select("member", "event_id", F.col("bounds.start").alias("lo"), F.col("bounds.end").alias("hi"))
 
 
@@ -134,7 +139,10 @@ def _(spark, sf):
 
 PATH = """(SELECT vec_id, label, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y,
     CAST(embedding[3] AS DOUBLE) AS vx, CAST(embedding[4] AS DOUBLE) AS vy FROM embeddings)"""
-PBLOCK = scan.number_block("vec_id", 50)
+
+
+def _pblock():
+    return scan.number_block("vec_id", 50)
 
 
 def _path(spark, sf):
@@ -150,7 +158,7 @@ NORMALS = f"""(SELECT *, CASE WHEN l > 0 THEN ty0 / l ELSE 0 END AS nx, CASE WHE
 
 @query("W8_path_normals", f"""SELECT vec_id, label, round(nx, 6) + 0.0 AS nx, round(ny, 6) + 0.0 AS ny, round(tx, 6) + 0.0 AS tx, round(ty, 6) + 0.0 AS ty FROM {NORMALS}""")
 def _(spark, sf):
-    df = s.path_vectors(_path(spark, sf), ["label"], ["vec_id"], PBLOCK)
+    df = s.path_vectors(_path(spark, sf), ["label"], ["vec_id"], _pblock())
     return v.rounded(df.select("vec_id", "label", "nx", "ny", "tx", "ty"), ["nx", "ny", "tx", "ty"], 6)
 
 
@@ -160,20 +168,20 @@ AXIS = f"(SELECT *, sum(sqrt(x * x + y * y)) OVER w - first_value(sqrt(x * x + y
 @query("W9_path_integral", f"""SELECT label, round(sum((vx + pv) / 2 * (axis - pa)), 6) + 0.0 AS vx_flux FROM
     (SELECT *, lag(vx) OVER w AS pv, lag(axis) OVER w AS pa FROM {AXIS} WINDOW w AS (PARTITION BY label ORDER BY vec_id)) GROUP BY label""")
 def _(spark, sf):
-    df = s.path_coordinate(_path(spark, sf), ["label"], ["vec_id"], PBLOCK)
-    return v.rounded(s.path_integral(df, ["label"], ["vec_id"], PBLOCK, "axis", ["vx"]), ["vx_flux"], 6)
+    df = s.path_coordinate(_path(spark, sf), ["label"], ["vec_id"], _pblock())
+    return v.rounded(s.path_integral(df, ["label"], ["vec_id"], _pblock(), "axis", ["vx"]), ["vx_flux"], 6)
 
 
 @query("W10_profile_coordinate", f"SELECT vec_id, label, round(axis, 6) + 0.0 AS axis FROM {AXIS}")
 def _(spark, sf):
-    df = s.path_coordinate(_path(spark, sf), ["label"], ["vec_id"], PBLOCK)
+    df = s.path_coordinate(_path(spark, sf), ["label"], ["vec_id"], _pblock())
     return v.rounded(df.select("vec_id", "label", "axis"), ["axis"], 6)
 
 
 @query("W10_chord_length", f"""SELECT vec_id, label, round(coalesce(sum(d) OVER (PARTITION BY label ORDER BY vec_id), 0), 6) + 0.0 AS axis FROM
     (SELECT *, sqrt((x - lag(x) OVER w) ** 2 + (y - lag(y) OVER w) ** 2) AS d FROM {PATH} WINDOW w AS (PARTITION BY label ORDER BY vec_id))""")
 def _(spark, sf):
-    df = s.path_coordinate(_path(spark, sf), ["label"], ["vec_id"], PBLOCK, chord=True)
+    df = s.path_coordinate(_path(spark, sf), ["label"], ["vec_id"], _pblock(), chord=True)
     return v.rounded(df.select("vec_id", "label", "axis"), ["axis"], 6)
 
 
@@ -181,14 +189,14 @@ def _(spark, sf):
     round(sum((vx + pvx) / 2 * (axis - pa)), 6) + 0.0 AS vx_flux, round(sum((vy + pvy) / 2 * (axis - pa)), 6) + 0.0 AS vy_flux FROM
     (SELECT *, lag(vx) OVER w AS pvx, lag(vy) OVER w AS pvy, lag(axis) OVER w AS pa FROM {AXIS} WINDOW w AS (PARTITION BY label ORDER BY vec_id)) GROUP BY label""")
 def _(spark, sf):
-    df = s.path_coordinate(_path(spark, sf), ["label"], ["vec_id"], PBLOCK)
-    out = s.profile_statistics(df, ["label"], ["vec_id"], PBLOCK, "axis", "vx", "vy")
+    df = s.path_coordinate(_path(spark, sf), ["label"], ["vec_id"], _pblock())
+    out = s.profile_statistics(df, ["label"], ["vec_id"], _pblock(), "axis", "vx", "vy")
     return v.rounded(out, ["rmsd", "pearson_r", "vx_flux", "vy_flux"], 6)
 
 
 @query("M7_normal_component", f"SELECT vec_id, label, round(vx * nx + vy * ny, 6) + 0.0 AS v_normal FROM {NORMALS}")
 def _(spark, sf):
-    df = s.path_vectors(_path(spark, sf), ["label"], ["vec_id"], PBLOCK)
+    df = s.path_vectors(_path(spark, sf), ["label"], ["vec_id"], _pblock())
     return v.rounded(df.select("vec_id", "label", s.normal_component("vx", "vy").alias("v_normal")), ["v_normal"], 6)
 
 

@@ -90,11 +90,11 @@ def _(spark, sf):
     return _orders(spark, sf).select("o_orderkey", F.round(units.convert_by_column(C("o_totalprice"), unit, "Gt/yr"), 5).alias("gt_per_year"))
 
 
-@query("F10_effective_years", """SELECT o_orderkey, len(range(1995, l + 1)) AS n_years, CASE WHEN l >= 1995 THEN l END AS last_year, '1995-' || l AS span FROM
+@query("F10_effective_years", """SELECT o_orderkey, len(range(1995, l + 1)) AS n_years, CASE WHEN l >= 1995 THEN CAST(l AS VARCHAR) END AS last_year, '1995-' || l AS span FROM
     (SELECT o_orderkey, CAST(year(o_orderdate) - CASE WHEN month(o_orderdate) = 1 AND day(o_orderdate) = 1 THEN 1 ELSE 0 END AS INT) AS l FROM orders)""")
 def _(spark, sf):
     d = _orders(spark, sf).select("o_orderkey", *fx.effective_years(F.to_date(L("1995-03-01")), F.to_date("o_orderdate")))
-    return d.select("o_orderkey", F.coalesce(F.size("years"), L(0)).cast("bigint").alias("n_years"), F.try_element_at("years", L(-1)).alias("last_year"), "span")
+    return d.select("o_orderkey", F.coalesce(F.size("years"), L(0)).cast("bigint").alias("n_years"), F.try_element_at("years", L(-1)).cast("string").alias("last_year"), "span")
 
 
 @query("F11_noleap_calendar", """SELECT o_orderkey, n, CAST(n // 365 + 1 AS INT) AS year, CAST(month(d) AS INT) AS month, CAST(day(d) AS INT) AS day FROM

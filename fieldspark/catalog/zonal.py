@@ -10,8 +10,14 @@ from fieldspark.operators import outlines as o
 from fieldspark.operators import zonal as z
 from fieldspark.sources import sinks
 
-GLACIERISED = F.when(F.col("thk") > 10.0, F.col("ice_mass"))
-NEGATIVE_FLUX = F.when(F.col("glf") < 0, F.col("glf"))
+
+def _glacierised():
+    return F.when(F.col("thk") > 10.0, F.col("ice_mass"))
+
+
+def _negative_flux():
+    return F.when(F.col("glf") < 0, F.col("glf"))
+
 
 ZONAL = """SELECT m.region, c.t, coalesce(sum(c.ice_mass), 0) AS ice_mass,
     coalesce(sum(CASE WHEN c.thk > 10 THEN c.ice_mass END), 0) AS ice_mass_glacierized,
@@ -23,7 +29,7 @@ ZONAL = """SELECT m.region, c.t, coalesce(sum(c.ice_mass), 0) AS ice_mass,
 def _zonal(spark, sf, regions=None):
     return z.zonal_sum(
         v.cells(spark, sf), v.region_cells(spark, sf),
-        {"ice_mass": F.col("ice_mass"), "ice_mass_glacierized": GLACIERISED, "glf_nonneg": NEGATIVE_FLUX},
+        {"ice_mass": F.col("ice_mass"), "ice_mass_glacierized": _glacierised(), "glf_nonneg": _negative_flux()},
         {"mask": F.col("mask")}, regions=regions)
 
 
@@ -176,12 +182,12 @@ def _(spark, sf):
 
 @query("P6_glacierised_mass", "SELECT t, iy, ix, CASE WHEN thk > 10 THEN round(ice_mass, 2) END AS ice_mass_glacierized FROM {cells}")
 def _(spark, sf):
-    return v.cells(spark, sf).select("t", "iy", "ix", F.round(GLACIERISED, 2).alias("ice_mass_glacierized"))
+    return v.cells(spark, sf).select("t", "iy", "ix", F.round(_glacierised(), 2).alias("ice_mass_glacierized"))
 
 
 @query("P7_signed_flux", "SELECT t, iy, ix, CASE WHEN glf < 0 THEN round(glf, 4) END AS glf_nonneg FROM {cells}")
 def _(spark, sf):
-    return v.cells(spark, sf).select("t", "iy", "ix", F.round(NEGATIVE_FLUX, 4).alias("glf_nonneg"))
+    return v.cells(spark, sf).select("t", "iy", "ix", F.round(_negative_flux(), 4).alias("glf_nonneg"))
 
 
 @query("A19_dissolve", "SELECT DISTINCT CAST(substr(region, 2) AS BIGINT) % 25 AS grp, iy, ix FROM {region_cells}")
