@@ -22,8 +22,10 @@ BOOT = f"""(WITH b AS MATERIALIZED (SELECT * FROM {BLOCKS}), k AS MATERIALIZED (
 
 
 def _blocks(spark, sf):
-    so = v.simobs(spark, sf)
-    return c.squared_error_blocks(so, 4, shape=(so.agg(F.max("iy") + 1).scalar(), F.lit(v.NX)))
+    li = v.table(spark, sf, "lineitem")
+    size = li.agg(F.max("l_suppkey") + 1).scalar()
+    members = li.agg(F.count_distinct("l_linenumber")).scalar()
+    return c.squared_error_blocks(v.simobs(spark, sf), 4, shape=(size, F.lit(v.NX)), members=members)
 
 
 @query("A13_squared_error_blocks", f'SELECT exp_id, "by", bx, round(s, 3) AS s, c FROM {BLOCKS}')

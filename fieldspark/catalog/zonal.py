@@ -228,6 +228,8 @@ def _(spark, sf):
 @query("S12_region_field_sink", """SELECT m.region, count(*) AS n, round(sum(c.ice_mass), 2) AS ice_mass
     FROM {region_cells} m JOIN {cells} c USING (iy, ix) GROUP BY m.region""")
 def _(spark, sf):
-    fields = z.extract_regions(v.cells(spark, sf), v.region_cells(spark, sf), ["ice_mass"], [], crop=False)
-    back = sinks.write_and_read(spark, fields, "fields", ["region"])
+    mask = v.region_cells(spark, sf)
+    fields = z.extract_regions(v.cells(spark, sf), mask, ["ice_mass"], [], crop=False)
+    shares = mask.groupBy("region").agg(F.ceil(F.count(F.lit(1)) / 100_000).alias("parts"))
+    back = sinks.write_and_read(spark, fields, "fields", ["region"], shares)
     return back.groupBy("region").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("ice_mass"), 2).alias("ice_mass"))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from fieldspark.functions.hashing import hashed_uniform
 from fieldspark.operators import align, scan
+from fieldspark.session import shared_dir
 
 
 def _finite(c: Column) -> Column:
@@ -20,15 +21,20 @@ def _finite(c: Column) -> Column:
 
 def squared_error_blocks(
     df: DataFrame, block: int, member: str = "exp_id", sim: str = "sim", obs: str = "obs", shape: tuple[Column, Column] | None = None,
+    members: Column | None = None,
 ) -> DataFrame:
     """Sum of squared errors and count of valid cells per member and block.
 
     A cell counts only when it is finite for all members.  Partial blocks at
     the far edges are trimmed; a block larger than the domain is clamped to it.
-    ``shape`` is (ny, nx); without it the extent of the data is used.
+    ``shape`` is (ny, nx) and ``members`` the ensemble size; what the caller
+    does not know is read from the data in one extra pass.
     """
-    members = df.agg(F.count_distinct(member)).scalar()
-    ny, nx = shape or (df.agg(F.max("iy") + 1).scalar(), df.agg(F.max("ix") + 1).scalar())
+    if shape is None or members is None:
+        found = df.agg(F.struct(F.max("iy") + 1, F.max("ix") + 1, F.count_distinct(member))).scalar()
+        shape = shape or (found["col1"], found["col2"])
+        members = found["col3"] if members is None else members
+    ny, nx = shape
     side_y, side_x = F.least(F.lit(block), ny), F.least(F.lit(block), nx)
     err = _finite(F.col(sim).cast("double")) - _finite(F.col(obs).cast("double"))
     cell = Window.partitionBy("iy", "ix")  # one row per member
@@ -42,8 +48,11 @@ def bootstrap_rmse(blocks: DataFrame, n_boot: int = 500, seed: int = 0, member:
     """RMSE per member and resample of the non-empty blocks, the same draw for all members.
 
     Every resample draws as many blocks as there are.  Draws are counted per
-    block first, so members join weights, not single draws.
+    block first, so members join weights, not single draws.  The block sums are
+    checkpointed: the fields behind them are read once.
     """
+    shared_dir(blocks.sparkSession)
+    blocks = blocks.checkpoint()
     b = blocks.groupBy("by", "bx").agg(F.max("c").alias("c")).where(F.col("c") > 0)
     b = scan.dense_index(b, [], ["by", "bx"], F.col("by"), "k")
     n = b.agg(F.count(F.lit(1))).scalar()
@@ -140,8 +149,8 @@ def resample(
     else:
         d = df.withColumns({"__ok": ok.select("__ok").scalar(), "__m": ok.select("__m").scalar()})
     d = d.withColumn("__w", F.when(F.col("__ok"), w).otherwise(F.try_divide(F.lit(1.0), F.col("__m")))).drop("__ok", "__m")
-    number = F.col(member).cast("double")
-    block = scan.number_block(number, member_block) if dict(df.dtypes)[member] != "string" else F.substring(member, 1, 2)
+    numeric = dict(df.dtypes)[member] in ("int", "bigint", "double", "float", "smallint")
+    block = scan.number_block(member, member_block) if numeric else None
     d = scan.running(d, ks, [member], block, {"__hi": "__w"})
     d = d.withColumn("__lo", F.col("__hi") - F.col("__w")).where(F.col("__w") > 0)
     last = d.groupBy(*ks).agg(F.max(member).alias("__last"))

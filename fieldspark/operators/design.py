@@ -114,7 +114,7 @@ def apply_derived(df: DataFrame, derived: Mapping[str, Mapping[str, Any]]) -> Da
 def posterior_merge(design: DataFrame, posterior: DataFrame, seed: int = 42, order: str = "row", skip: Sequence[str] = ("exp_id",)) -> DataFrame:
     """One posterior row drawn with replacement per sample; posterior columns beat design columns."""
     values = [c for c in posterior.columns if c not in (order, *skip)]
-    p = scan.dense_index(posterior, [], [order], F.floor(F.col(order) / 4096), "__k").select("__k", *values)
+    p = scan.dense_index(posterior, [], [order], None, "__k").select("__k", *values)
     n = posterior.agg(F.count(F.lit(1))).scalar()
     pick = F.floor(hashed_uniform(F.lit(seed), F.col("sample")) * n)
     return design.drop(*[c for c in values if c != "sample"]).withColumn("__k", pick).join(p, "__k").drop("__k")
@@ -127,7 +127,8 @@ def cross_files(files: DataFrame, design: DataFrame, file_sample: str = "sample_
     numbers by a sequence and meets its file by an equality join, so both sides
     stay partitioned whatever their sizes.
     """
-    f = scan.dense_index(files, [], [file_sample], F.substring(F.md5(F.col(file_sample).cast("string")), 1, 0), "__k")
+    f = files.withColumn("__h", F.md5(F.col(file_sample).cast("string")))
+    f = scan.dense_index(f, [], ["__h", file_sample], F.substring("__h", 1, 2), "__k").drop("__h")
     n = files.agg(F.count(F.lit(1))).scalar()
     d = design.withColumn("__k", F.explode(F.sequence(F.lit(0).cast("bigint"), n - 1)))
     name = F.concat_ws("_uq_", F.col(file_sample).cast("string"), F.col(design_sample).cast("string"))
@@ -142,7 +143,7 @@ def choice_lookup(design: DataFrame, choices: DataFrame, flags: Mapping[str, str
             continue
         if column not in choices.columns:
             raise KeyError(f"mapping for {flag!r} points to missing column {column!r}")
-        c = scan.dense_index(choices.select(order, F.col(column).alias("__v")), [], [order], F.lit(0), "__k").drop(order)
+        c = scan.dense_index(choices.select(order, F.col(column).alias("__v")), [], [order], None, "__k").drop(order)
         found = out.withColumn("__k", F.col(flag).cast("bigint")).join(c.withColumn("__hit", F.lit(1)), "__k", "left")
         bad = F.raise_error(F.concat(F.lit(f"choice of {flag} out of range at sample "), F.col("sample").cast("string")))
         out = found.withColumn(flag, F.when(F.col("__hit").isNull(), bad).otherwise(F.col("__v"))).drop("__k", "__v", "__hit")
@@ -200,7 +201,7 @@ def forcing_pairs(gcms: DataFrame, climatology: str, version: str, constants: Ma
 def file_index(climate: DataFrame, members: DataFrame, path: str = "path") -> DataFrame:
     """One row per climate file of a member, tagged by ``snap_YYYY_YYYY`` or position; members without files keep a row."""
     tag = F.regexp_extract(path, r"(snap_\d{4}_\d{4})", 1)
-    d = scan.dense_index(climate, ["member"], [path], F.lit(0), "__i")
+    d = scan.dense_index(climate, ["member"], [path], None, "__i")
     d = d.withColumn("sample", F.when(tag != "", tag).otherwise(F.col("__i").cast("string"))).drop("__i")
     return members.join(d, "member", "left")
 

@@ -3,7 +3,8 @@
 A plain window over ``partitionBy(key)`` puts all rows of a key into one task.
 Here every key is cut into blocks by a coarse, order-preserving column: windows
 run per (key, block), and one summary row per block carries values across block
-edges.  Results equal the plain window for any blocking.
+edges.  Results equal the plain window for any blocking.  Without a blocking
+column (``block=None``) a checkpointed range partitioning takes its place.
 """
 
 from __future__ import annotations
@@ -14,10 +15,23 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldspark.model import as_col
+from fieldspark.session import shared_dir
 
 _B = "__block"
 
 
+def _blocked(df: DataFrame, keys: Sequence[str], order: Sequence[str], block: Column | None) -> DataFrame:
+    """Add the block column; without a block expression, by a range partitioning.
+
+    Range bounds come from a sample, so that assignment is checkpointed before
+    anything is counted on it: a retried task cannot see other blocks.
+    """
+    if block is not None:
+        return df.withColumn(_B, block)
+    shared_dir(df.sparkSession)
+    return df.repartitionByRange(*keys, *order).withColumn(_B, F.spark_partition_id()).checkpoint()
+
+
 def time_block(column: str | Column, days: int = 31) -> Column:
     """Block key for timestamps: index of a fixed span of days."""
     return F.floor(F.unix_micros(as_col(column).cast("timestamp")) / F.lit(days * 86_400_000_000))
@@ -37,7 +51,7 @@ def neighbours(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[str],
-    block: Column,
+    block: Column | None,
     prev: Mapping[str, str | Column] | None = None,
     nxt: Mapping[str, str | Column] | None = None,
 ) -> DataFrame:
@@ -46,7 +60,7 @@ def neighbours(
     ``block`` must be non-decreasing in ``order``.
     """
     prev, nxt = dict(prev or {}), dict(nxt or {})
-    d = df.withColumn(_B, block)
+    d = _blocked(df, keys, order, block)
     rank = F.struct(*[F.col(o) for o in order])
     inner = Window.partitionBy(*keys, _B).orderBy(*order)
     across = Window.partitionBy(*keys).orderBy(_B)
@@ -69,7 +83,7 @@ def running(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[str],
-    block: Column,
+    block: Column | None,
     sums: Mapping[str, str | Column],
     inclusive: bool = True,
 ) -> DataFrame:
@@ -77,7 +91,7 @@ def running(
 
     ``inclusive=False`` leaves out the current row, so the first row gets 0.
     """
-    d = df.withColumns({_B: block, **{f"__t_{n}": F.coalesce(as_col(c), F.lit(0)) for n, c in sums.items()}})
+    d = _blocked(df, keys, order, block).withColumns({f"__t_{n}": F.coalesce(as_col(c), F.lit(0)) for n, c in sums.items()})
     inner = Window.partitionBy(*keys, _B).orderBy(*order).rowsBetween(
         Window.unboundedPreceding, Window.currentRow if inclusive else -1
     )
@@ -97,12 +111,12 @@ def fill_both(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[str],
-    block: Column,
+    block: Column | None,
     before: Mapping[str, Column],
     after: Mapping[str, Column],
 ) -> DataFrame:
     """Nearest non-NULL value at or before (``before``) and at or after (``after``) each row."""
-    d = df.withColumn(_B, block)
+    d = _blocked(df, keys, order, block)
     rank = F.struct(*[F.col(o) for o in order])
     up = Window.partitionBy(*keys, _B).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     down = Window.partitionBy(*keys, _B).orderBy(*order).rowsBetween(Window.currentRow, Window.unboundedFollowing)
@@ -128,12 +142,12 @@ def dense_index(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[str],
-    block: Column,
+    block: Column | None,
     name: str,
     start: int = 0,
 ) -> DataFrame:
     """Consecutive index along ``order`` within ``keys`` (globally for no keys)."""
-    d = df.withColumn(_B, block)
+    d = _blocked(df, keys, order, block)
     inner = Window.partitionBy(*keys, _B).orderBy(*order)
     part = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
     across = part.orderBy(_B).rowsBetween(Window.unboundedPreceding, -1)
@@ -153,12 +167,12 @@ def exact_quantiles(
     """
     v = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__c"))
     grid = F.array(*[F.lit(i / pieces) for i in range(1, pieces)])
-    cuts = df.groupBy(*keys).agg(F.percentile_approx(value, grid).alias("__cuts"))
-    total = v.groupBy(*keys).agg(F.sum("__c").alias("__n"))
+    shape = df.groupBy(*keys).agg(F.percentile_approx(value, grid).alias("__cuts"), F.count(value).alias("__n"))
     if keys:
-        v = v.join(cuts.join(total, list(keys)), list(keys))
+        v = v.join(shape, list(keys))
     else:
-        v = v.withColumns({"__cuts": cuts.scalar(), "__n": total.scalar()})
+        one = shape.select(F.struct("__cuts", "__n")).scalar()
+        v = v.withColumns({"__cuts": one["__cuts"], "__n": one["__n"]})
     block = F.size(F.filter("__cuts", lambda c: c < F.col(value)))
     v = running(v, keys or [], [value], block, {"__hi": "__c"})
     lo = F.col("__hi") - F.col("__c")

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import json
-import os
+import uuid
 import zlib
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -16,6 +17,30 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 CRS_KEYS = ("crs_wkt", "spatial_ref")  # fixed values: attributes that may hold a CRS
 
 
+def _folder(path: str, *parts: str) -> tuple[pafs.FileSystem, str]:
+    """File system and path of a folder, local or by URI scheme."""
+    full = "/".join([path.rstrip("/"), *parts])
+    return pafs.FileSystem.from_uri(full) if "://" in full else (pafs.LocalFileSystem(), full.removeprefix("file:"))
+
+
+def _read(where: tuple[pafs.FileSystem, str], name: str) -> bytes | None:
+    store, folder = where
+    if store.get_file_info(f"{folder}/{name}").type != pafs.FileType.File:
+        return None
+    with store.open_input_stream(f"{folder}/{name}") as fh:
+        return fh.read()
+
+
+def _write(where: tuple[pafs.FileSystem, str], name: str, content: bytes) -> None:
+    """Write under a passing name and move, so that a lost task leaves no half file."""
+    store, folder = where
+    store.create_dir(folder, recursive=True)
+    passing = f"{folder}/.{name}.{uuid.uuid4().hex}"
+    with store.open_output_stream(passing) as fh:
+        fh.write(content)
+    store.move(passing, f"{folder}/{name}")
+
+
 class ChunkPartition(InputPartition):
     def __init__(self, key: tuple[int, ...]):
         self.key = key
@@ -23,9 +48,8 @@ class ChunkPartition(InputPartition):
 
 class ChunkReader(DataSourceReader):
     def __init__(self, path: str, variable: str):
-        self.folder, self.variable = os.path.join(path, variable), variable
-        with open(os.path.join(self.folder, ".zarray"), encoding="utf-8") as fh:
-            self.meta = json.load(fh)
+        self.path, self.variable = path, variable
+        self.meta = json.loads(_read(_folder(path, variable), ".zarray"))
 
     def partitions(self):
         grid = [range(-(-n // c)) for n, c in zip(self.meta["shape"], self.meta["chunks"])]
@@ -33,12 +57,10 @@ class ChunkReader(DataSourceReader):
 
     def read(self, partition):
         shape, chunks = self.meta["shape"], self.meta["chunks"]
-        name = os.path.join(self.folder, ".".join(map(str, partition.key)))
-        if not os.path.exists(name):
+        raw = _read(_folder(self.path, self.variable), ".".join(map(str, partition.key)))
+        if raw is None:
             return  # a missing chunk holds only fill values
-        with open(name, "rb") as fh:
-            raw = zlib.decompress(fh.read())
-        block = np.frombuffer(raw, dtype=self.meta["dtype"]).reshape(chunks)
+        block = np.frombuffer(zlib.decompress(raw), dtype=self.meta["dtype"]).reshape(chunks)
         start = [k * c for k, c in zip(partition.key, chunks)]
         size = [min(c, n - s) for c, n, s in zip(chunks, shape, start)]
         block = block[: size[0], : size[1], : size[2]].astype("float64")
@@ -74,12 +96,11 @@ def open_store(spark: SparkSession, path: str, variable: str) -> DataFrame:
 
 def store_metadata(spark: SparkSession, path: str) -> DataFrame:
     """(variable, attribute, text) of the attribute files: a few entries per variable, read on the driver."""
+    store, base = _folder(path)
     rows = []
-    for variable in sorted(os.listdir(path)):
-        name = os.path.join(path, variable, ".zattrs")
-        if os.path.exists(name):
-            with open(name, encoding="utf-8") as fh:
-                rows += [(variable, k, str(x)) for k, x in json.load(fh).items()]
+    for info in sorted(store.get_file_info(pafs.FileSelector(base)), key=lambda f: f.base_name):
+        text = _read(_folder(path, info.base_name), ".zattrs") if info.type == pafs.FileType.Directory else None
+        rows += [(info.base_name, k, str(x)) for k, x in json.loads(text).items()] if text else []
     return spark.createDataFrame(rows, "variable string, attribute string, text string")
 
 
@@ -93,30 +114,22 @@ def recover_crs(metadata: DataFrame) -> DataFrame:
 
 
 def write_attributes(path: str, variable: str, attrs: dict[str, str]) -> None:
-    folder = os.path.join(path, variable)
-    os.makedirs(folder, exist_ok=True)
-    with open(os.path.join(folder, ".zattrs"), "w", encoding="utf-8") as fh:
-        json.dump(attrs, fh)
+    _write(_folder(path, variable), ".zattrs", json.dumps(attrs).encode())
 
 
 def write_store(df: DataFrame, path: str, variable: str, shape: tuple[int, int, int], chunks: tuple[int, int, int], attrs: dict[str, str]) -> int:
     """Write (t, iy, ix, value) as a chunk store, one task per chunk; returns the number of chunks."""
-    folder = os.path.join(path, variable)
     write_attributes(path, variable, attrs)
     meta = {"zarr_format": 2, "shape": list(shape), "chunks": list(chunks), "dtype": "<f8", "compressor": {"id": "zlib", "level": 1},
             "fill_value": "NaN", "order": "C", "filters": None}
-    with open(os.path.join(folder, ".zarray"), "w", encoding="utf-8") as fh:
-        json.dump(meta, fh)
+    _write(_folder(path, variable), ".zarray", json.dumps(meta).encode())
 
     def write(pdf: pd.DataFrame) -> pd.DataFrame:
         key = tuple(int(pdf[k].iloc[0]) for k in ("ct", "cy", "cx"))
         block = np.full(chunks, np.nan)
         idx = [pdf[k].to_numpy() - c * n for k, c, n in zip(("t", "iy", "ix"), key, chunks)]
         block[tuple(idx)] = pdf["value"].to_numpy()
-        name = os.path.join(folder, ".".join(map(str, key)))
-        with open(f"{name}.tmp{os.getpid()}", "wb") as fh:
-            fh.write(zlib.compress(block.tobytes(), 1))
-        os.replace(f"{name}.tmp{os.getpid()}", name)
+        _write(_folder(path, variable), ".".join(map(str, key)), zlib.compress(block.tobytes(), 1))
         return pd.DataFrame({"n": [1]})
 
     keyed = df.select("t", "iy", "ix", "value", *[F.floor(F.col(k) / n).alias(c) for k, n, c in zip(("t", "iy", "ix"), chunks, ("ct", "cy", "cx"))])

@@ -7,19 +7,36 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fieldspark.model import small_side
 from fieldspark.session import scratch_path
 
 
-def write_partitioned(df: DataFrame, path: str, by: Sequence[str], max_records: int = 0) -> None:
-    """One folder per key, one job for all keys, only the written keys replaced.
+def write_partitioned(
+    df: DataFrame, path: str, by: Sequence[str], max_records: int = 0, shares: DataFrame | None = None,
+    replace: bool = True,
+) -> None:
+    """One folder per key, one job for all keys.
 
-    The rebalance hint sends small keys to one file each and lets AQE split a
-    hot key over several tasks.
+    ``replace`` renews only the written keys of an existing table; a new table
+    (``replace=False``) saves that second move of every file.
+
+    Without ``shares`` a rebalance hint sends small keys to one file each and
+    lets AQE split a hot key.  ``shares`` (keys, ``parts``) says how many tasks a
+    key gets; tasks are then spread evenly however small the data is.
     """
-    w = df.hint("rebalance", *[F.col(c) for c in by]).write.mode("overwrite").partitionBy(*by)
+    keys = [F.col(c) for c in by]
+    if shares is None:
+        out = df.hint("rebalance", *keys)
+    else:
+        rest = [c for c in df.columns if c not in by]
+        out = df.join(small_side(shares), list(by))
+        out = out.repartition(*keys, F.pmod(F.xxhash64(*rest), F.col("parts"))).drop("parts")
+    w = out.write.mode("overwrite").partitionBy(*by)
     if max_records:
         w = w.option("maxRecordsPerFile", max_records)
-    w.option("partitionOverwriteMode", "dynamic").parquet(path)
+    if replace:
+        w = w.option("partitionOverwriteMode", "dynamic")
+    w.parquet(path)
 
 
 def write_time_slabs(df: DataFrame, path: str, time: str, steps: int, max_records: int = 1_000_000) -> None:
@@ -34,11 +51,11 @@ def write_csv(df: DataFrame, path: str, order: Sequence[str] = ()) -> None:
     out.write.mode("overwrite").csv(path, header=True)
 
 
-def write_and_read(spark: SparkSession, df: DataFrame, name: str, by: Sequence[str] = ()) -> DataFrame:
+def write_and_read(spark: SparkSession, df: DataFrame, name: str, by: Sequence[str] = (), shares: DataFrame | None = None) -> DataFrame:
     """Write to the shared folder and scan the result with the schema it was written with."""
     path = scratch_path(spark, name)
     if by:
-        write_partitioned(df, path, by)
+        write_partitioned(df, path, by, shares=shares, replace=False)
     else:
         df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
