@@ -245,10 +245,10 @@ def _(spark, sf):
     return v.rounded(s.periodic_month_axis(r).drop("mid_day"), ["tas"], 6)
 
 
-@query("A12_time_mean", """SELECT exp_id, gcm_id, round(avg(value), 6) AS value, round(avg(epoch(month) / 86400), 6) AS mean_day, min(month) AS start, CAST(max(month) + INTERVAL 1 MONTH AS DATE) AS "end" FROM {series} GROUP BY ALL""")
+@query("A12_time_mean", """SELECT exp_id, gcm_id, round(avg(value), 7) AS value, round(avg(epoch(month) / 86400), 6) AS mean_day, min(month) AS start, CAST(max(month) + INTERVAL 1 MONTH AS DATE) AS "end" FROM {series} GROUP BY ALL""")
 def _(spark, sf):
     out = climatology.time_mean(v.series(spark, sf), "month", ["exp_id", "gcm_id"], ["value"])
-    return v.rounded(out, ["value", "mean_day"], 6)
+    return v.rounded(v.rounded(out, ["value"], 7), ["mean_day"], 6)
 
 
 @query("A24_integrated_totals", """SELECT scenario, round(sum(m) * 1200.0::DOUBLE * 1200 * 365.25 / 1e12, 8) + 0.0 AS total FROM (SELECT scenario, iy, ix, avg(tas) AS m FROM {monthly} GROUP BY ALL) GROUP BY scenario""")

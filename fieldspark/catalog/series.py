@@ -117,24 +117,24 @@ ANNUAL = """SELECT exp_id, gcm_id, CAST(dense_rank() OVER (ORDER BY y) AS INT) A
     (SELECT exp_id, gcm_id, year(month) AS y, avg(value) AS value FROM {series} WHERE year(month) > 1996 AND year(month) <= 2000 GROUP BY ALL)"""
 
 
-@query("A10_annual_resampling", f"SELECT exp_id, gcm_id, year, round(value, 6) AS value FROM ({ANNUAL})")
+@query("A10_annual_resampling", f"SELECT exp_id, gcm_id, year, round(value, 7) AS value FROM ({ANNUAL})")
 def _(spark, sf):
     df = v.series(spark, sf).withColumn("year", F.year("month"))
-    return v.rounded(s.trim_and_resample(df, ["value"], ["exp_id", "gcm_id"], 1996, 2000), ["value"], 6)
+    return v.rounded(s.trim_and_resample(df, ["value"], ["exp_id", "gcm_id"], 1996, 2000), ["value"], 7)
 
 
-@query("A11_adjusted_series", f"""SELECT a.exp_id, a.gcm_id, a.year, round(a.value - r.value, 4) + 0.0 AS value FROM ({ANNUAL}) a
+@query("A11_adjusted_series", f"""SELECT a.exp_id, a.gcm_id, a.year, round(a.value - r.value, 7) + 0.0 AS value FROM ({ANNUAL}) a
     LEFT JOIN ({ANNUAL}) r ON r.exp_id = a.exp_id AND r.gcm_id = a.gcm_id AND r.year = 1""")
 def _(spark, sf):
     df = v.series(spark, sf).withColumn("year", F.year("month"))
-    return v.rounded(s.adjusted_series(df, ["value"], ["value"], ["exp_id", "gcm_id"], 1996, 2000), ["value"])
+    return v.rounded(s.adjusted_series(df, ["value"], ["value"], ["exp_id", "gcm_id"], 1996, 2000), ["value"], 7)
 
 
-@query("A31_window_means", """SELECT exp_id, CAST(e AS INT) AS window_end, round(avg(value), 4) AS value FROM {series}, (VALUES (1997), (1999), (2001)) w(e)
+@query("A31_window_means", """SELECT exp_id, CAST(e AS INT) AS window_end, round(avg(value), 7) AS value FROM {series}, (VALUES (1997), (1999), (2001)) w(e)
     WHERE year(month) BETWEEN e - 2 AND e GROUP BY ALL""")
 def _(spark, sf):
     df = v.series(spark, sf).withColumn("year", F.year("month"))
-    return v.rounded(s.window_means(df, "year", "value", ["exp_id"], [1997, 1999, 2001], span=2), ["value"])
+    return v.rounded(s.window_means(df, "year", "value", ["exp_id"], [1997, 1999, 2001], span=2), ["value"], 7)
 
 
 PATH = """(SELECT vec_id, label, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y,

@@ -235,10 +235,10 @@ def _(spark, sf):
     return spark.read.csv(path, header=True, schema="exp_id bigint, gcm_id string, month date, value double")
 
 
-@query("S15_result_csv", "SELECT exp_id AS uq, round(avg(value), 6) AS score FROM {series} GROUP BY 1")
+@query("S15_result_csv", "SELECT exp_id AS uq, round(avg(value), 7) AS score FROM {series} GROUP BY 1")
 def _(spark, sf):
     path = scratch_path(spark, "scores")
-    s = v.series(spark, sf).groupBy(C("exp_id").alias("sample")).agg(F.round(F.avg("value"), 6).alias("score"))
+    s = v.series(spark, sf).groupBy(C("exp_id").alias("sample")).agg(F.round(F.avg("value"), 7).alias("score"))
     sinks.write_csv(s.withColumnRenamed("sample", "uq"), path, ["score"])
     return spark.read.csv(path, header=True, schema="uq bigint, score double")
 
