@@ -10,12 +10,12 @@ from pyspark.sql import functions as F
 
 def _axis(df: DataFrame, keys: Sequence[str], index: str, value: str) -> DataFrame:
     """Monotonicity of one axis from its distinct (index, value) pairs."""
-    axis = df.groupBy(*keys, index).agg(F.min(value).alias("v"), F.max(value).alias("w"))
-    step = F.col("v") - F.lag("v").over(Window.partitionBy(*keys).orderBy(index))  # one row per axis position
-    s = axis.withColumns({"s": step})
+    axis = df.groupBy(*keys, index).agg(F.min(value).alias("__lo"), F.max(value).alias("__hi"))
+    step = F.col("__lo") - F.lag("__lo").over(Window.partitionBy(*keys).orderBy(index))  # one row per axis position
+    s = axis.withColumn("__step", step)
+    up, down = (F.coalesce(F.bool_and(c), F.lit(True)) for c in (F.col("__step") > 0, F.col("__step") < 0))
     return s.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"),
-        (F.bool_and(F.col("v").eqNullSafe(F.col("w"))) & (F.coalesce(F.bool_and(F.col("s") > 0), F.lit(True)) | F.coalesce(F.bool_and(F.col("s") < 0), F.lit(True)))).alias("ok"))
+        F.count(F.lit(1)).alias("__n"), (F.bool_and(F.col("__lo").eqNullSafe(F.col("__hi"))) & (up | down)).alias("__ok"))
 
 
 def windows(ny: Column, nx: Column, window: int) -> dict[str, Column]:
@@ -49,8 +49,8 @@ def check_cubes(
     counts = [F.count_if(w & e).alias(f"{k}_{n}") for k, w in win.items() for n, e in edges.items()]
     extra = [F.sum(F.xxhash64(*variables).cast("decimal(38,0)")).alias("checksum"), F.count(F.lit(1)).alias("n_rows")] if full else []
     c = d.groupBy(dataset).agg(F.first("__bad_time").alias("bad_time"), *counts, *extra)
-    j = c.join(ax.select(dataset, F.col("n").alias("xn"), F.col("ok").alias("xok")), dataset).join(
-        ay.select(dataset, F.col("n").alias("yn"), F.col("ok").alias("yok")), dataset)
+    j = c.join(ax.select(dataset, F.col("__n").alias("xn"), F.col("__ok").alias("xok")), dataset).join(
+        ay.select(dataset, F.col("__n").alias("yn"), F.col("__ok").alias("yok")), dataset)
     empty = [F.when(F.col(f"{k}_{n}") == 0, F.lit(f"ValueError: window {k}/{n} is empty")) for k in win for n in edges]
     errors = F.array_compact(F.array(
         *[F.lit(f"KeyError: missing variable {m}") for m in missing],
