@@ -72,7 +72,8 @@ def rank_members(rmse: DataFrame, member: str = "exp_id", keys: Sequence[str] =
     """
     r = rmse.groupBy(*keys, member).agg(
         F.avg("rmse").alias("rmse_mean"), F.percentile("rmse", F.array(F.lit(0.05), F.lit(0.95))).alias("__q"))
-    r = r.withColumns({"rmse_lo": F.col("__q")[0], "rmse_hi": F.col("__q")[1]}).drop("__q")
+    shared_dir(rmse.sparkSession)
+    r = r.withColumns({"rmse_lo": F.col("__q")[0], "rmse_hi": F.col("__q")[1]}).drop("__q").checkpoint()  # one row per member
     best = r.groupBy(*keys).agg(F.min_by(F.struct(member, "rmse_hi"), F.struct("rmse_mean", member)).alias("b"))
     if keys:
         r = r.join(best.select(*keys, "b.rmse_hi").withColumnRenamed("rmse_hi", "__hi"), list(keys))
@@ -122,7 +123,13 @@ def log_jaccard(df: DataFrame, keys: Sequence[str], x: str, mu: str, fudge: floa
 
 
 def normalised_weights(df: DataFrame, value: str = "log_likelihood", keys: Sequence[str] = (), name: str = "weight") -> DataFrame:
-    """exp(ll - max) / sum over the members of each key, by two small aggregates."""
+    """exp(ll - max) / sum over the members of each key, by two small aggregates.
+
+    The scores (one row per member and key) are checkpointed, so the data
+    behind them is reduced once.
+    """
+    shared_dir(df.sparkSession)
+    df = df.checkpoint()
     top = df.groupBy(*keys).agg(F.max(value).alias("__m"))
     d = df.join(top, list(keys)) if keys else df.withColumn("__m", top.scalar())
     d = d.withColumn("__w", F.exp(F.col(value) - F.col("__m")))
@@ -138,8 +145,11 @@ def resample(
 
     Weights that are missing, negative or do not sum to 1 become uniform.
     Draws meet the running weight intervals through bins of the unit interval.
+    The member table is checkpointed, so the data behind the weights is read once.
     """
     ks = list(keys)
+    shared_dir(df.sparkSession)
+    df = df.select(*ks, member, weight).checkpoint()
     w = F.col(weight)
     ok = df.groupBy(*ks).agg(
         (F.coalesce(F.abs(F.sum(w) - 1) < 1e-6, F.lit(False)) & (F.count_if(w.isNull() | F.isnan(w) | (w < 0)) == 0)).alias("__ok"),
