@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from fieldspark.catalog import views as v
 from fieldspark.catalog.registry import query
 from fieldspark.functions import projection as pj
-from fieldspark.functions import rules
 from fieldspark.operators import arrays, grids, outlines, quality, relax
 from fieldspark.plans import boot, forcing
 from fieldspark.session import scratch_path
