@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fieldspark.llm import decontaminate, quality
+from fieldspark.llm import decontaminate, jaccard, quality
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,5 +20,9 @@ def op3_quality_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.digest(quality.quality(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op2_decontamination, op3_quality_outliers)}
-ORACLES = {"op2_decontamination": decontaminate.SQL}
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.digest(jaccard.jaccard_groups(table(spark, sf_dir, "documents")))
+
+
+QUERIES = {f.__name__: f for f in (op2_decontamination, op3_quality_outliers, op10_jaccard_join)}
+ORACLES = {"op2_decontamination": decontaminate.SQL, "op10_jaccard_join": jaccard.SQL}
