@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fieldspark.llm import bpe, decontaminate, jaccard, quality, tokencount
+from fieldspark.llm import bpe, decontaminate, jaccard, mixing, quality, tokencount
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,10 @@ def op3_quality_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.digest(quality.quality(table(spark, sf_dir, "documents")))
 
 
+def op9_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.digest(mixing.scores(table(spark, sf_dir, "documents"), ~mixing.held_out()))
+
+
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.digest(jaccard.jaccard_groups(table(spark, sf_dir, "documents")))
 
@@ -39,5 +43,5 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.token_counts(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op2_decontamination, op3_quality_outliers, op4_bpe_transducer, op7_token_counts, op10_jaccard_join)}
+QUERIES = {f.__name__: f for f in (op2_decontamination, op3_quality_outliers, op4_bpe_transducer, op7_token_counts, op9_context_mixing, op10_jaccard_join)}
 ORACLES = {"op2_decontamination": decontaminate.SQL, "op10_jaccard_join": jaccard.SQL}
