@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import gc
+
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
@@ -30,6 +32,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of frames that nobody holds any more; it finds them by collecting garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def sql_type(df: DataFrame, name: str) -> str:
     return df.schema[name].dataType.simpleString()
 

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldspark.llm import arrays as A
-from fieldspark.llm.common import arrow_type, narrow, sql_type, written
+from fieldspark.llm.common import arrow_type, narrow, release, sql_type, written
 from fieldspark.llm.components import components
 
 WORDS = 5
@@ -220,8 +220,11 @@ def _node_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "node long, set binary").groupBy("node").agg(F.first("set").alias("set"))
 
 
-def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets are similar enough, by probing the smaller in the larger."""
+def _linked(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Written pairs (a, b) whose sets are similar enough, by probing the smaller in the larger."""
+    pairs = written(pairs.select("a", "b").distinct(), "pairs")
+    sets = written(_node_sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("node"))), "sets")
+    release(docs.sparkSession)
     both = (pairs.select("a", "b").join(sets.select(F.col("node").alias("a"), F.col("set").alias("sa")), "a")
             .join(sets.select(F.col("node").alias("b"), F.col("set").alias("sb")), "b").select("a", "b", "sa", "sb"))
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -236,7 +239,9 @@ def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 keep[r] = 100 * common >= PERCENT * (len(x) + len(y) - common)
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep)), batch.column(1).filter(pa.array(keep))], schema=schema)
 
-    return both.mapInArrow(run, "a long, b long")
+    out = written(both.mapInArrow(run, "a long, b long"), "links")
+    release(docs.sparkSession)
+    return out
 
 
 def node_links(docs: DataFrame, rows: DataFrame) -> DataFrame:
@@ -248,6 +253,7 @@ def node_links(docs: DataFrame, rows: DataFrame) -> DataFrame:
     order = np.argsort(hot)
     hot, rank = hot[order], np.array([r["n"] for r in found], np.int64)[order]
     lists = written(_lists(_postings(docs, hot, rank).repartition(F.col("shingle"))), "lists")
+    release(spark)
 
     sizes = rows.where("node IS NOT NULL").groupBy("node").agg(F.first("n").alias("n"))
     na, nb = sizes.select(F.col("node").alias("a"), F.col("n").alias("na")), sizes.select(F.col("node").alias("b"), F.col("n").alias("nb"))
@@ -261,13 +267,9 @@ def node_links(docs: DataFrame, rows: DataFrame) -> DataFrame:
     sized = written(counted.join(na, "a").join(nb, "b").where(fit)
                     .select("a", "b", "c", F.least(enough("na"), enough("nb")).alias("k")), "pairs")
     entries = lists.where("shingle IS NOT NULL")
-    nodes = sized.where("c >= k").select(F.explode(F.array("a", "b")).alias("node")).union(entries.select(F.col("a").alias("node")))
-    sets = written(_node_sets(docs, nodes), "sets")
-
     chain = (entries.where("b IS NOT NULL").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-             .groupBy("a", "b").agg(F.count("*").alias("c")).join(na, "a").join(nb, "b").where(fit))
-    first = written(_linked(chain.union(sized.where("c >= k").withColumns({"na": F.lit(0), "nb": F.lit(0)}).select("a", "b", "c", "na", "nb"))
-                            .select("a", "b").distinct(), sets), "links")
+             .distinct().join(na, "a").join(nb, "b").where(fit))
+    first = _linked(docs, chain.select("a", "b").union(sized.where("c >= k").select("a", "b")))
     if entries.isEmpty():
         return first
     root = written(components(first), "roots")
@@ -279,13 +281,13 @@ def node_links(docs: DataFrame, rows: DataFrame) -> DataFrame:
              .select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).groupBy("a", "b").agg(F.count("*").alias("c")))
     cross = cross.join(na, "a").join(nb, "b").where(fit).select("a", "b", "c", F.least(enough("na"), enough("nb")).alias("k"))
     rest = (cross.union(sized.where("c < k")).groupBy("a", "b").agg(F.sum("c").alias("c"), F.first("k").alias("k")).where("c >= k"))
-    return first.union(_linked(rest.join(first, ["a", "b"], "left_anti"), sets))
+    return first.union(_linked(docs, rest.join(first, ["a", "b"], "left_anti")))
 
 
 def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, text_hash, n_shingles and component_id of every row, and the signature ``grp`` of its component."""
     rows = profile(docs, id_col, text_col)
-    links = written(node_links(narrow(docs, text=text_col), rows), "links")
+    links = node_links(narrow(docs, text=text_col), rows)
     root = components(links).select("node", "root")
     placed = rows.where("hot IS NULL").join(root, "node", "left").select(
         F.col("doc").alias("doc_id"), "text_hash", F.col("n").alias("n_shingles"), F.coalesce("root", "node").alias("grp"))
