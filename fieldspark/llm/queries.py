@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fieldspark.llm import bpe, decontaminate, jaccard, mixing, quality, tokencount, toxicity
+from fieldspark.llm import bpe, decontaminate, jaccard, mixing, quality, shards, tokencount, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,10 @@ def op3_quality_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.digest(quality.quality(table(spark, sf_dir, "documents")))
 
 
+def op5_histogram_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shards.digest(table(spark, sf_dir, "documents"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.digest(toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), ~toxicity.held_out()))
 
@@ -47,5 +51,5 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.token_counts(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op2_decontamination, op3_quality_outliers, op4_bpe_transducer, op6_toxicity, op7_token_counts, op9_context_mixing, op10_jaccard_join)}
+QUERIES = {f.__name__: f for f in (op2_decontamination, op3_quality_outliers, op4_bpe_transducer, op5_histogram_sort, op6_toxicity, op7_token_counts, op9_context_mixing, op10_jaccard_join)}
 ORACLES = {"op2_decontamination": decontaminate.SQL, "op10_jaccard_join": jaccard.SQL}
