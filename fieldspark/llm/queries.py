@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fieldspark.llm import bpe, decontaminate, jaccard, mixing, quality, shards, tokencount, toxicity
+from fieldspark.llm import bpe, decontaminate, jaccard, mixing, pii, quality, shards, tokencount, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +28,14 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.digest(toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), ~toxicity.held_out()))
 
 
+#: The key of the registered query; a real run takes its own from a secret store.
+PII_KEY = "public-test-key"
+
+
+def op8_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(table(spark, sf_dir, "documents"), PII_KEY)
+
+
 def op9_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.digest(mixing.scores(table(spark, sf_dir, "documents"), ~mixing.held_out()))
 
@@ -51,5 +59,5 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.token_counts(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op2_decontamination, op3_quality_outliers, op4_bpe_transducer, op5_histogram_sort, op6_toxicity, op7_token_counts, op9_context_mixing, op10_jaccard_join)}
+QUERIES = {f.__name__: f for f in (op2_decontamination, op3_quality_outliers, op4_bpe_transducer, op5_histogram_sort, op6_toxicity, op7_token_counts, op8_feistel_pseudonyms, op9_context_mixing, op10_jaccard_join)}
 ORACLES = {"op2_decontamination": decontaminate.SQL, "op10_jaccard_join": jaccard.SQL}
