@@ -252,6 +252,14 @@ def decontaminate(docs: DataFrame, tests: DataFrame, id_col: str = "doc_id", tex
     return search(build_index(docs, terms, id_col, text_col), blocks, window, reach)
 
 
+def without_contaminated(docs: DataFrame, tests: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", test_text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that are not contaminated; rows are told apart by id and text."""
+    key = F.struct(docs[id_col].alias("id"), F.xxhash64(docs[text_col]).alias("hash"))
+    found = decontaminate(docs.select(key.alias("key"), docs[text_col].alias("text")), tests, "key", "text", item_col, test_text_col)
+    bad = written(found.where(contaminated()).select("doc_id.id", "doc_id.hash").distinct(), "contaminated")
+    return docs.join(bad, docs[id_col].eqNullSafe(bad["id"]) & (F.xxhash64(docs[text_col]) == bad["hash"]), "left_anti")
+
+
 def contaminated() -> F.Column:
     return (F.col("n_hit") > 0) & (F.col("n_hit") * 20 >= F.col("n_words"))
 

@@ -243,11 +243,9 @@ class Linear:
         return cls(w, b)
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, train: F.Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
-    """doc_id, learned, posterior of the label model, score and verdict of the classifier.
-
-    ``train`` (over columns of ``docs``) says which rows' labels may be read.
-    """
+def fitted(docs: DataFrame, labels: DataFrame, train: F.Column, id_col: str = "doc_id", text_col: str = "text",
+           label_col: str = "toxic") -> tuple[Voters, LabelModel, Linear]:
+    """Voters, label model and classifier; ``train`` (over columns of ``docs``) says which rows' labels may be read."""
     docs = docs.select(docs[id_col].alias("doc"), docs[text_col].alias("text"), train.alias("learn"))
     docs = narrow(docs, doc="doc", text="text", learn="learn")
     labels = labels.select(labels[id_col].alias("doc"), labels[label_col].cast("int").alias("toxic")).where("doc IS NOT NULL AND toxic IN (0, 1)").groupBy("doc").agg(F.max("toxic").alias("toxic"))
@@ -294,6 +292,14 @@ def toxicity(docs: DataFrame, labels: DataFrame, train: F.Column, id_col: str =
     seen = [(np.frombuffer(r["bucket"], np.int32), np.frombuffer(r["value"], np.float32).astype(np.float64), float(r["p"]), 1.0) for part in picked for r in part]
     classifier = Linear.fit(seen) if found and total else Linear(np.zeros(BUCKETS + 2), -2.0)
 
+    return voters, model, classifier
+
+
+def toxicity(docs: DataFrame, labels: DataFrame, train: F.Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
+    """doc_id, learned, posterior of the label model, score and verdict of the classifier."""
+    voters, model, classifier = fitted(docs, labels, train, id_col, text_col, label_col)
+    docs = docs.select(docs[id_col].alias("doc"), docs[text_col].alias("text"), train.alias("learn"))
+    docs = narrow(docs, doc="doc", text="text", learn="learn")
     schema = pa.schema([("doc_id", arrow_type(docs, "doc")), ("learned", pa.bool_()), ("posterior", pa.float64()), ("score", pa.float64())])
 
     def score(batches):
@@ -308,6 +314,21 @@ def toxicity(docs: DataFrame, labels: DataFrame, train: F.Column, id_col: str =
     return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
+def without_toxic(docs: DataFrame, labels: DataFrame, train: F.Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
+    """The rows of ``docs``, with all their columns, that the classifier does not find toxic."""
+    voters, _, classifier = fitted(docs, labels, train, id_col, text_col, label_col)
+    at = docs.columns.index(text_col)
+
+    def keep(batches):
+        for batch in batches:
+            clean = []
+            for i, j, w, _ in _slices(batch.column(at)):
+                clean.append(classifier.scores(*_features(w, voters.mined, voters.lists), j - i) < 0.5)
+            yield batch.filter(pa.array(np.concatenate(clean))) if clean else batch
+
+    return docs.mapInArrow(keep, docs.schema)
+
+
 def held_out(id_col: str = "doc_id") -> F.Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
