@@ -41,6 +41,8 @@ HOT = 24
 HOT_ENTRIES = 200_000
 #: Lists up to this length emit all their pairs.
 SHORT = 6
+#: Long lists in which two nodes must be neighbours to be decided first.
+CLOSE = 4
 #: Share of the shingles that is merged beyond the shortest sufficient prefix, to demand several common entries.
 EXTRA = 10
 #: Bits of the node filter of the set scan.
@@ -259,16 +261,20 @@ def node_links(docs: DataFrame, rows: DataFrame) -> DataFrame:
     na, nb = sizes.select(F.col("node").alias("a"), F.col("n").alias("na")), sizes.select(F.col("node").alias("b"), F.col("n").alias("nb"))
     fit = PERCENT * F.greatest("na", "nb") <= 100 * F.least("na", "nb")
 
-    def enough(n):
+    def kept_back(n):
+        """Shingles of a node that are not merged."""
         t = F.floor((PERCENT * F.col(n) + 99) / 100)
-        return F.least(t, 1 + F.floor(F.col(n) / EXTRA))
+        return t - F.least(t, 1 + F.floor(F.col(n) / EXTRA))
 
+    # similar sets share so many; what is not merged holds the rest at most, and the first of them are merged on both sides
+    common = F.ceil(PERCENT * (F.col("na") + F.col("nb")) / (100 + PERCENT))
+    least = F.greatest(F.lit(1), common - F.greatest(kept_back("na"), kept_back("nb")))
     counted = written(lists.where("shingle IS NULL").groupBy("a", "b").agg(F.count("*").alias("c")), "pairs")
     sized = written(counted.join(na, "a").join(nb, "b").where(fit)
-                    .select("a", "b", "c", F.least(enough("na"), enough("nb")).alias("k")), "pairs")
+                    .select("a", "b", "c", least.alias("k")), "pairs")
     entries = lists.where("shingle IS NOT NULL")
     chain = (entries.where("b IS NOT NULL").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-             .distinct().join(na, "a").join(nb, "b").where(fit))
+             .groupBy("a", "b").agg(F.count("*").alias("c")).where(F.col("c") >= CLOSE).join(na, "a").join(nb, "b").where(fit))
     first = _linked(docs, chain.select("a", "b").union(sized.where("c >= k").select("a", "b")))
     if entries.isEmpty():
         return first
@@ -279,7 +285,7 @@ def node_links(docs: DataFrame, rows: DataFrame) -> DataFrame:
     x, y = open_.alias("x"), open_.alias("y")
     cross = (x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root")))
              .select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).groupBy("a", "b").agg(F.count("*").alias("c")))
-    cross = cross.join(na, "a").join(nb, "b").where(fit).select("a", "b", "c", F.least(enough("na"), enough("nb")).alias("k"))
+    cross = cross.join(na, "a").join(nb, "b").where(fit).select("a", "b", "c", least.alias("k"))
     rest = (cross.union(sized.where("c < k")).groupBy("a", "b").agg(F.sum("c").alias("c"), F.first("k").alias("k")).where("c >= k"))
     return first.union(_linked(docs, rest.join(first, ["a", "b"], "left_anti")))
 
