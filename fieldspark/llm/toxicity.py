@@ -45,8 +45,10 @@ PRIOR = 0.05
 MINED_ROWS, MINED_SHARE, MINED_SPREAD, MINED_WORDS, MINED_TRIED = 8, 0.75, 0.5, 200, 5000
 #: Listed words that so many training rows have are dropped if less than this share of these rows is toxic.
 VET_ROWS, VET_SHARE = 20, 0.5
-#: Rows of the classifier's sample, of each likely class, and its hashed words.
-SAMPLE = 6000
+#: Labelled rows from which words are mined, by the least hashes of their ids.
+LABELLED = 20_000
+#: Rows of the classifier's sample, about, of each likely class, by the least hashes of their texts; its hashed words.
+SAMPLE = 4000
 BUCKETS = 1 << 16
 EPOCHS = 60
 VOTERS = [*LEXICONS, "several_lists", "many_hits", "dense", "mined_a", "mined_b", "shouted", "no_hit", "long_clean"]
@@ -64,6 +66,12 @@ def _member(h: np.ndarray, table: np.ndarray) -> np.ndarray:
     return table[np.minimum(np.searchsorted(table, h), len(table) - 1)] == h
 
 
+def _part(column: str, wanted: int, rows: int) -> F.Column:
+    """True for about ``wanted`` of ``rows`` rows, by the hash of a column; for all if there are no more."""
+    share = min(1.0, wanted / max(1, rows))
+    return F.pmod(F.xxhash64(F.lit("part"), column), F.lit(1 << 30)) < int(share * (1 << 30))
+
+
 class Voters:
     """Votes of all voters on the documents of a slice; ``mined`` are two halves of the mined words, ``dropped`` listed ones."""
 
@@ -248,50 +256,48 @@ def fitted(docs: DataFrame, labels: DataFrame, train: F.Column, id_col: str = "d
     """Voters, label model and classifier; ``train`` (over columns of ``docs``) says which rows' labels may be read."""
     docs = docs.select(docs[id_col].alias("doc"), docs[text_col].alias("text"), train.alias("learn"))
     docs = narrow(docs, doc="doc", text="text", learn="learn")
-    labels = labels.select(labels[id_col].alias("doc"), labels[label_col].cast("int").alias("toxic")).where("doc IS NOT NULL AND toxic IN (0, 1)").groupBy("doc").agg(F.max("toxic").alias("toxic"))
-    labelled = written(docs.where("learn").join(labels, "doc").select("text", "toxic").dropDuplicates(["text"]), "labelled")
+    labels = (labels.select(labels[id_col].alias("doc"), labels[label_col].cast("int").alias("toxic")).where("doc IS NOT NULL AND toxic IN (0, 1)")
+              .groupBy("doc").agg(F.max("toxic").alias("toxic")))
+    some = labels.where(_part("doc", LABELLED, labels.count()))
+    labelled = written(docs.where("learn").join(F.broadcast(some), "doc").select("text", "toxic").dropDuplicates(["text"]), "labelled")
     mined, dropped = mined_words(labelled)
     share = labelled.agg(F.avg("toxic")).first()[0]
     voters = Voters(mined, dropped)
     model = LabelModel(*vote_sums(docs, voters), float(np.clip(PRIOR if share is None else share, 0.005, 0.5)))
 
-    sample_type = pa.schema([("likely", pa.bool_()), ("at", pa.int64()), ("p", pa.float64()), ("bucket", pa.binary()), ("value", pa.binary())])
+    def likely(batches):
+        n = np.zeros(2, np.int64)
+        for batch in batches:
+            for _, _, w, shouted in _slices(batch.column(0)):
+                p = model.posterior(voters.votes(w, shouted).astype(np.float64)) >= 0.5
+                n += (len(p) - p.sum(), p.sum())
+        yield pa.RecordBatch.from_arrays([pa.array([0, 1]), pa.array(n)], ["likely", "n"])
+
+    count = dict.fromkeys((0, 1), 0)
+    for row in docs.where("learn").select("text").mapInArrow(likely, "likely long, n long").groupBy("likely").agg(F.sum("n").alias("n")).collect():
+        count[row["likely"]] = row["n"]
+    below = [min(1.0, SAMPLE / max(1, count[x])) * 2.0**64 for x in (0, 1)]
+    sample_type = pa.schema([("at", pa.int64()), ("p", pa.float64()), ("bucket", pa.binary()), ("value", pa.binary())])
 
     def sample(batches):
-        """Each task's rows with the smallest hashes, of either likely class; the least of all are the sample."""
-        kept: dict[bool, list] = {True: [], False: []}
+        """Rows whose text's hash is below the limit of their likely class."""
         for batch in batches:
             for i, j, w, shouted in _slices(batch.column(0)):
                 p = model.posterior(voters.votes(w, shouted).astype(np.float64))
-                whole = A.mix(w.span_hash(w.bounds[:-1], w.bounds[1:] - 1) + A.U(11)).view(np.int64)
-                limit = {x: kept[x][-1][0] if len(kept[x]) >= SAMPLE else np.iinfo(np.int64).max for x in (True, False)}
-                want = np.flatnonzero([whole[d] < limit[bool(p[d] >= 0.5)] for d in range(j - i)])
+                whole = A.mix(w.span_hash(w.bounds[:-1], w.bounds[1:] - 1) + A.U(11))
+                want = np.flatnonzero(whole < np.where(p >= 0.5, below[1], below[0]))
                 if not len(want):
                     continue
                 doc, bucket, value = _features(w, voters.mined, voters.lists)
                 edge = np.searchsorted(doc, np.arange(j - i + 1))
-                for d in want.tolist():
-                    s = slice(edge[d], edge[d + 1])
-                    kept[bool(p[d] >= 0.5)].append((int(whole[d]), float(p[d]), bucket[s].astype(np.int32).tobytes(), value[s].astype(np.float32).tobytes()))
-                for x in kept:
-                    kept[x] = sorted({r[0]: r for r in kept[x]}.values())[:SAMPLE]
-        for x, rows in kept.items():
-            for at in range(0, len(rows), 500):
-                part = rows[at:at + 500]
-                yield pa.RecordBatch.from_arrays([pa.array([x] * len(part)), pa.array([r[0] for r in part]), pa.array([r[1] for r in part]),
-                                                  pa.array([r[2] for r in part]), pa.array([r[3] for r in part])], schema=sample_type)
-
-    rows = docs.where("learn").select("text").mapInArrow(sample, "likely boolean, at long, p double, bucket binary, value binary")
-    rows = written(rows.dropDuplicates(["at"]), "sample")
-    total = docs.where("learn").count()
-    picked = []
-    for likely in (True, False):
-        part = rows.where(F.col("likely") == likely)
-        picked.append(part.orderBy("at").limit(SAMPLE).collect())
-    found = sum(map(len, picked))
-    seen = [(np.frombuffer(r["bucket"], np.int32), np.frombuffer(r["value"], np.float32).astype(np.float64), float(r["p"]), 1.0) for part in picked for r in part]
-    classifier = Linear.fit(seen) if found and total else Linear(np.zeros(BUCKETS + 2), -2.0)
-
+                part = [slice(edge[d], edge[d + 1]) for d in want]
+                yield pa.RecordBatch.from_arrays([pa.array(whole[want].view(np.int64)), pa.array(p[want]), pa.array([bucket[s].astype(np.int32).tobytes() for s in part], pa.binary()),
+                                                  pa.array([value[s].astype(np.float32).tobytes() for s in part], pa.binary())], schema=sample_type)
+
+    rows = docs.where("learn").select("text").mapInArrow(sample, "at long, p double, bucket binary, value binary").dropDuplicates(["at"])
+    # about 2 * SAMPLE rows, whatever the corpus
+    classifier = Linear.fit([(np.frombuffer(r["bucket"], np.int32), np.frombuffer(r["value"], np.float32).astype(np.float64), float(r["p"]), 1.0)
+                             for r in written(rows, "sample").orderBy("at").toLocalIterator()])
     return voters, model, classifier
 
 
