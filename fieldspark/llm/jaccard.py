@@ -34,8 +34,8 @@ from fieldspark.llm.components import components
 WORDS = 5
 PERCENT = 75
 #: Shingles of a block of texts in which heavy hitters are counted; those in LOCAL or more of its texts are reported.
-BLOCK = 4_000_000
-LOCAL = 4
+BLOCK = 2_000_000
+LOCAL = 3
 HOT = 24
 #: Heavy hitters that are sent to the tasks; further ones only make lists longer.
 HOT_ENTRIES = 200_000

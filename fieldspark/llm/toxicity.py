@@ -161,7 +161,7 @@ class LabelModel:
         """Sums over documents: one[i] of votes, both[i, j] of products, cast[i, j] of documents on which both vote."""
         self.prior = prior
         rate = np.diag(cast) / max(n, 1)
-        moment = np.divide(both, cast, out=np.zeros_like(both), where=cast >= 20)
+        moment = np.divide(both, cast, out=np.zeros(both.shape), where=cast >= 20)
         usable = cast >= 20
         self.linked = np.zeros((M, M), bool)
         acc = np.full(M, 0.7)
