@@ -129,10 +129,10 @@ def _(spark, sf):
 
 @query("F15_nested_specs", """SELECT p_partkey AS doc, 'a' AS name, 'uniform' AS distribution, NULL::VARCHAR AS derived_from, NULL::VARCHAR AS error FROM part
     UNION ALL SELECT p_partkey, 'b.c', CASE WHEN p_size % 5 = 0 THEN 'norm' END, 'a', CASE WHEN p_size % 5 = 0 THEN 'both' END FROM part
-    UNION ALL SELECT p_partkey, 'b.d.' || p_type, NULL, NULL, 'neither' FROM part""")
+    UNION ALL SELECT p_partkey, 'b.d.' || p_type || '.e.f', 'expon', NULL, NULL FROM part""")
 def _(spark, sf):
     c = F.when(C("p_size") % 5 == 0, L('{"distribution": "norm", "derived_from": "a"}')).otherwise(L('{"derived_from": "a"}'))
-    doc = F.concat(L('{"a": {"distribution": "uniform", "loc": 1}, "b": {"c": '), c, L(', "d": {"'), C("p_type"), L('": {"loc": 2}}}}'))
+    doc = F.concat(L('{"a": {"distribution": "uniform", "loc": 1}, "b": {"c": '), c, L(', "d": {"'), C("p_type"), L('": {"loc": 2, "e": {"f": {"distribution": "expon"}, "g": {"loc": 3}}}}}}'))
     p = v.table(spark, sf, "part").select("p_partkey", doc.alias("text"))
     return fx.flatten_specs(p, "p_partkey", "text").drop("spec")
 

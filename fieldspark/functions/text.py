@@ -159,23 +159,22 @@ def mask_levels(levels: Column, inside: Column) -> Column:
     return F.when(inside, levels)
 
 
-def flatten_specs(df: DataFrame, doc_id: str, text: str, depth: int = 3) -> DataFrame:
-    """Leaves of nested parameter tables as dotted names, with rule violations.
+def flatten_specs(df: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """Leaves of nested parameter tables of any depth as dotted names, with rule violations.
 
-    A leaf is a table with ``distribution`` or ``derived_from``; having both,
-    or neither at the deepest level, is an error.
+    A leaf is a table with ``distribution`` or ``derived_from``; having both is
+    an error.  Other tables are walked through, other values are ignored.
     """
     level = df.select(F.col(doc_id).alias("doc"), F.parse_json(text).alias("v"), F.lit("").alias("name"))
     leaves = None
-    for i in range(depth):
+    while leaves is None or not level.isEmpty():
         flat = level.lateralJoin(df.sparkSession.tvf.variant_explode(F.col("v").outer())).select(
             "doc", F.concat_ws(".", F.when(F.col("name") != "", F.col("name")), F.col("key")).alias("name"), F.col("value").alias("v"))
         tag = lambda k: F.try_variant_get("v", f"$.{k}", "string")
         flat = flat.where(F.schema_of_variant("v").startswith("OBJECT")).withColumns({"distribution": tag("distribution"), "derived_from": tag("derived_from")})
-        is_leaf = F.col("distribution").isNotNull() | F.col("derived_from").isNotNull() | F.lit(i == depth - 1)
+        is_leaf = F.col("distribution").isNotNull() | F.col("derived_from").isNotNull()
         found = flat.where(is_leaf).select("doc", "name", "distribution", "derived_from", F.to_json("v").alias("spec"))
         leaves = found if leaves is None else leaves.unionByName(found)
         level = flat.where(~is_leaf).select("doc", "v", "name")
     both = F.col("distribution").isNotNull() & F.col("derived_from").isNotNull()
-    none = F.col("distribution").isNull() & F.col("derived_from").isNull()
-    return leaves.withColumn("error", F.when(both, "both").when(none, "neither"))
+    return leaves.withColumn("error", F.when(both, "both"))

@@ -12,11 +12,21 @@ from pyspark.sql import functions as F
 
 
 def core_function(fn: Callable[..., np.ndarray], returns: str):
-    """Column function from a numpy function whose inputs are (rows, core) arrays of equal core length."""
+    """Column function of one or more array columns from a numpy function of (rows, core) arrays of equal core length.
+
+    Rows in which any input is NULL give NULL; the function gets the others alone.
+    """
 
     @F.pandas_udf(returns)
-    def run(first: pd.Series) -> pd.Series:
-        return pd.Series(list(fn(np.stack(first.to_numpy()))) if len(first) else [])
+    def each(inputs: pd.DataFrame) -> pd.Series:
+        whole = inputs.notna().all(axis=1).to_numpy()
+        out = pd.Series([None] * len(inputs), dtype=object)
+        if whole.any():
+            out[whole] = list(fn(*[np.stack(inputs.loc[whole, c].to_numpy()) for c in inputs.columns]))
+        return out
+
+    def run(*columns):
+        return each(F.struct(*[c.alias(f"c{k}") for k, c in enumerate(columns)]))
 
     return run
 

@@ -99,14 +99,17 @@ def ensemble_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Se
 
 
 def log_normal(x: Column, mu: Column, std: Column, fudge: float = 1.0) -> Column:
+    """Log density; not a number, and so left out of means, where the spread is zero."""
     s = std * fudge
-    r = (x - mu) / s
-    return -0.5 * r * r - 0.5 * F.log(2 * math.pi * s * s)
+    r = F.try_divide(x - mu, s)
+    return F.when(s == 0, F.lit(float("nan"))).otherwise(-0.5 * r * r - 0.5 * F.log(2 * math.pi * s * s))
 
 
 def log_pseudo_huber(x: Column, mu: Column, std: Column, fudge: float = 1.0, delta: float = 2.0) -> Column:
-    r = (x - mu) / (std * fudge) / delta
-    return -(delta**2) * (F.sqrt(1 + r * r) - 1) - 1
+    """Log density up to a constant; minus infinity where the spread is zero and there is a misfit, not a number without one."""
+    r = F.try_divide(x - mu, std * fudge) / delta
+    off = F.when(x != mu, F.lit(float("-inf"))).when(x == mu, F.lit(float("nan")))
+    return F.when(std == 0, off).otherwise(-(delta**2) * (F.sqrt(1 + r * r) - 1) - 1)
 
 
 def mean_log_likelihood(df: DataFrame, keys: Sequence[str], terms: Column, name: str = "log_likelihood") -> DataFrame:

@@ -16,6 +16,8 @@ def bilinear(
 ) -> DataFrame:
     """Bilinear resampling of ``source`` at ``targets`` (columns ``sx, sy`` in source coordinates).
 
+    Every target is returned, for every distinct combination of ``slices`` in the
+    source; targets that the source does not cover are missing.
     Each target meets its four neighbours through an equality join.  Missing
     neighbours are left out and weights renormalised; with
     ``renormalise=False`` one missing neighbour makes the result missing.
@@ -35,7 +37,19 @@ def bilinear(
         mean = F.sum(F.col("w") * F.col(v)) / wv
         aggs.append((mean if renormalise else F.when(wv > 1 - 1e-9, mean)).alias(v))
     out = hit.groupBy(*target_keys, *slices).agg(*aggs)
-    return out if slices else targets.select(*target_keys).join(out, list(target_keys), "left")
+    frame = targets.select(*target_keys)
+    if slices:
+        frame = every_slice(frame, source, slices)
+    return frame.join(out, [*target_keys, *slices], "left")
+
+
+def every_slice(targets: DataFrame, source: DataFrame, slices: Sequence[str]) -> DataFrame:
+    """The targets once for every distinct combination of ``slices``: copied to the numbers of these, which meet them by a join."""
+    steps = source.select(*slices).distinct()
+    numbered = steps.withColumn("__k", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*slices)))  # the slices alone, one row each
+    n = steps.agg(F.count(F.lit(1)).cast("int")).scalar()
+    copies = targets.withColumn("__k", F.explode(F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))))
+    return copies.join(numbered, "__k").drop("__k")
 
 
 def _overlaps(lo: Column, hi: Column, start: float, step: float) -> Column:
@@ -171,3 +185,14 @@ def fill_gaps(field: DataFrame, value: str, neighbours: int = 1, slices: Sequenc
         filled = filled.unionByName(extra)
     out = field.join(filled, [*sl, "iy", "ix"], "left")
     return out.select(*rest, F.coalesce(F.nanvl(F.col(value).cast("double"), F.lit(None)), "__f").alias(value))
+
+
+def fill_sparse(field: DataFrame, value: str, slices: Sequence[str]) -> DataFrame:
+    """Nearest fill of NULL cells in fields of which some cells have no row: those count as missing, and get no row."""
+    sl = list(slices)
+    box = field.agg(*[f(c).alias(f"{n}{c}") for c in ("iy", "ix") for n, f in (("lo", F.min), ("hi", F.max))])
+    cells = box.where("loiy is not null").select(F.explode(F.sequence("loiy", "hiiy")).alias("iy"), "loix", "hiix")
+    cells = cells.select("iy", F.explode(F.sequence("loix", "hiix")).alias("ix"))
+    dense = every_slice(cells, field, sl).join(field.select(*sl, "iy", "ix", value), [*sl, "iy", "ix"], "left")
+    done = fill_gaps(dense, value, slices=sl).select(*sl, "iy", "ix", value)
+    return field.drop(value).join(done, [*sl, "iy", "ix"])

@@ -165,6 +165,7 @@ def exact_quantiles(
     value range into about ``pieces`` even blocks; exact ranks follow from block
     counts, and only the two order statistics around each quantile are kept.
     """
+    df = df.withColumn(value, F.nanvl(F.col(value).cast("double"), F.lit(None)))  # not a number is missing
     v = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__c"))
     grid = F.array(*[F.lit(i / pieces) for i in range(1, pieces)])
     shape = df.groupBy(*keys).agg(F.percentile_approx(value, grid).alias("__cuts"), F.count(value).alias("__n"))

@@ -55,7 +55,9 @@ def monthly_series(source: DataFrame, targets: DataFrame, years: range, box=None
 
 @builder("climatology")
 def monthly_mean(source: DataFrame, targets: DataFrame, years: range, box=None, grid: Grid = Grid()) -> DataFrame:
-    """Monthly climatology over ``years`` on the target grid with the periodic axis."""
+    """Monthly climatology over ``years`` on the target grid with the periodic axis; ``box`` clips the source first."""
+    if box is not None:
+        source = rules.clip_box(source, *box)
     c = climatology.monthly_climatology(source, ["air_temp", "precipitation"], list(years), dtype="double")
     return series.periodic_month_axis(on_grid(c, targets, ["air_temp", "precipitation"], ["month"], None, grid))
 
@@ -69,9 +71,28 @@ def time_mean(source: DataFrame, targets: DataFrame, years: range, box=None, gri
 
 
 @builder("elevation_dependent")
-def elevation_dependent(*_args, **_kwargs) -> None:
-    """The parameterised climate needs no field."""
-    return None
+def elevation_dependent(source: DataFrame, targets: DataFrame, *_args, **_kwargs) -> DataFrame:
+    """The parameterised climate needs no field: the bare target cells."""
+    return targets.select("ty", "tx")
+
+
+@builder("climatology_with_spread")
+def climatology_with_spread(source: DataFrame, targets: DataFrame, years: range, box=None, grid: Grid = Grid()) -> DataFrame:
+    """Monthly mean temperature, its standard deviation and mean precipitation over ``years`` on the target grid."""
+    if box is not None:
+        source = rules.clip_box(source, *box)
+    s = source.where(F.col("year").between(years.start, years.stop - 1))
+    m = s.groupBy("month", "iy", "ix").agg(F.avg("air_temp").alias("air_temp"), F.stddev_pop("air_temp").alias("air_temp_sd"), F.avg("precipitation").alias("precipitation"))
+    return series.periodic_month_axis(on_grid(m, targets, ["air_temp", "air_temp_sd", "precipitation"], ["month"], None, grid))
+
+
+@builder("series_with_orography")
+def series_with_orography(source: DataFrame, targets: DataFrame, years: range, orography: DataFrame, box=None, grid: Grid = Grid(),
+                          secondary: DataFrame | None = None) -> DataFrame:
+    """The monthly series with the source's static orography (iy, ix, x, y, orography) resampled to the same cells."""
+    fields = monthly_series(source, targets, years, box, grid, secondary)
+    height = on_grid(orography, targets, ["orography"], [], box, grid)
+    return fields.join(height, ["ty", "tx"])
 
 
 def merge_forcings(
@@ -81,6 +102,7 @@ def merge_forcings(
 
     Variables are renamed, cleaned by kind, and pivoted by conditional
     aggregation, so all files of all models merge in one shuffle per cadence.
+    Missing salinity and thermal forcing take the nearest valid cell of their step.
     """
     names = F.create_map(*[F.lit(x) for kv in renames.items() for x in kv])
     kind = F.create_map(*[F.lit(x) for kv in kinds.items() for x in kv])
@@ -93,6 +115,13 @@ def merge_forcings(
     fast = [n for n in renames.values() if n not in slow]
     pivot = lambda g, cols: d.where(F.col("name").isin(cols)).groupBy(*keys, *g, "iy", "ix").agg(
         *[F.max(F.when(F.col("name") == c, F.col("value"))).alias(c) for c in cols])
-    return pivot(["year", "month"], fast), pivot(["year"], slow)
+    monthly, yearly = pivot(["year", "month"], fast), pivot(["year"], slow)
+    near = [renames[x] for x, k in kinds.items() if k in ("salinity", "thermal_forcing") and x in renames]
+    for name in near:
+        if name in fast:
+            monthly = regrid.fill_sparse(monthly, name, [*keys, "year", "month"])
+        else:
+            yearly = regrid.fill_sparse(yearly, name, [*keys, "year"])
+    return monthly, yearly
 
 

@@ -58,9 +58,10 @@ class ChunkReader(DataSourceReader):
     def read(self, partition):
         shape, chunks = self.meta["shape"], self.meta["chunks"]
         raw = _read(_folder(self.path, self.variable), ".".join(map(str, partition.key)))
-        if raw is None:
-            return  # a missing chunk holds only fill values
-        block = np.frombuffer(zlib.decompress(raw), dtype=self.meta["dtype"]).reshape(chunks)
+        if raw is None:  # a missing chunk holds only fill values
+            block = np.full(chunks, np.nan)
+        else:
+            block = np.frombuffer(zlib.decompress(raw), dtype=self.meta["dtype"]).reshape(chunks)
         start = [k * c for k, c in zip(partition.key, chunks)]
         size = [min(c, n - s) for c, n, s in zip(chunks, shape, start)]
         block = block[: size[0], : size[1], : size[2]].astype("float64")

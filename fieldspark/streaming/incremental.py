@@ -23,17 +23,31 @@ def rollup_new_files(
     """Sum ``value`` per tumbling window over the files that arrived since the last run, then stop.
 
     State and progress live in ``checkpoint``; a restart neither repeats nor
-    skips files.  Windows are written once the watermark has passed them.
+    skips files.  Every batch writes the windows it changed, open ones too, in a
+    folder of its own, which a repeated batch replaces; :func:`read_rollup`
+    gives the last state of each window.
     """
     stream = spark.readStream.schema(schema).parquet(source)
     stream = stream.withColumn(time, F.col(time).cast("timestamp"))
     agg = stream.withWatermark(time, lateness).groupBy(F.window(time, window), *keys).agg(
         F.count(F.lit(1)).alias("n"), F.sum(value).alias(value))
     flat = agg.select(F.col("window.start").alias("start"), *keys, "n", value)
-    q = flat.writeStream.outputMode("append").format("parquet").option("path", sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+    def save(rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{sink}/batch={batch}")
+
+    q = flat.writeStream.outputMode("update").foreachBatch(save).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
 
 
+def read_rollup(spark: SparkSession, sink: str, keys: Sequence[str]) -> DataFrame:
+    """The windows of a roll-up, each as its last batch left it."""
+    rows = spark.read.parquet(sink)
+    values = [c for c in rows.columns if c not in ("start", *keys, "batch")]
+    last = rows.groupBy("start", *keys).agg(F.max_by(F.struct(*values), "batch").alias("last"))
+    return last.select("start", *keys, "last.*")
+
+
 def process_new_files(spark: SparkSession, source: str, schema: StructType, checkpoint: str, batch: Callable[[DataFrame, int], None]) -> None:
     """Hand the rows of new files to ``batch`` (idempotent per batch id), then stop."""
     q = (spark.readStream.schema(schema).parquet(source).writeStream.foreachBatch(batch)
