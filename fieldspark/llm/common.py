@@ -11,14 +11,14 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from fieldspark.session import scratch_path
 
-ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
-#: Rows of one Arrow batch of texts, which are long, and of numbers.
-BATCH_ROWS, NUMBER_ROWS = "256", "20000"
+#: Arrow batches by bytes, so that long texts come few at a time and numbers many.
+BATCHES = {"spark.sql.execution.arrow.maxBytesPerBatch": "2097152", "spark.sql.execution.arrow.maxRecordsPerBatch": "20000"}
 
 
 def narrow(df: DataFrame, **columns: str) -> DataFrame:
     """The named columns only, under fixed names, so that further or clashing columns do not matter."""
-    df.sparkSession.conf.set(ROWS, BATCH_ROWS)
+    for key, value in BATCHES.items():
+        df.sparkSession.conf.set(key, value)
     return df.select(*[df[c].alias(name) for name, c in columns.items()])
 
 
@@ -33,16 +33,6 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def written_numbers(df: DataFrame, name: str) -> DataFrame:
-    """As :func:`written`, for plans whose Python steps get short rows: with long Arrow batches."""
-    conf = df.sparkSession.conf
-    conf.set(ROWS, NUMBER_ROWS)
-    try:
-        return written(df, name)
-    finally:
-        conf.set(ROWS, BATCH_ROWS)
-
-
 def release(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of frames that nobody holds any more; it finds them by collecting garbage."""
     gc.collect()
