@@ -230,6 +230,5 @@ def _(spark, sf):
 def _(spark, sf):
     mask = v.region_cells(spark, sf)
     fields = z.extract_regions(v.cells(spark, sf), mask, ["ice_mass"], [], crop=False)
-    shares = mask.groupBy("region").agg(F.ceil(F.count(F.lit(1)) / 100_000).alias("parts"))
-    back = sinks.write_and_read(spark, fields, "fields", ["region"], shares)
+    back = sinks.write_and_read(spark, fields, "fields", ["region"], packed=True)
     return back.groupBy("region").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("ice_mass"), 2).alias("ice_mass"))

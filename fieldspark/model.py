@@ -48,16 +48,6 @@ def require_rows(df: DataFrame, message: str) -> DataFrame:
     return df
 
 
-def small_side(df: DataFrame, max_rows: int = 1_000_000) -> DataFrame:
-    """Broadcast ``df`` only after counting that it has at most ``max_rows`` rows.
-
-    The count stops after ``max_rows + 1`` rows.  Beyond the bound the frame is
-    returned unhinted and the join shuffles, with AQE splitting skewed keys.
-    """
-    rows = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if rows <= max_rows else df
-
-
 def lookup_table(spark, rows: Iterable[tuple], schema: str) -> DataFrame:
     """A fixed lookup list as a broadcast frame; its size is that of the Python literal."""
     return F.broadcast(spark.createDataFrame(list(rows), schema))

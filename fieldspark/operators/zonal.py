@@ -7,7 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldspark.model import small_side
+from fieldspark.operators.regrid import every_slice
+from fieldspark.session import shared_dir
 
 
 def zonal_sum(
@@ -17,23 +18,25 @@ def zonal_sum(
     int_sums: Mapping[str, Column] | None = None,
     time: str = "t",
     regions: DataFrame | None = None,
-    mask_limit: int = 1_000_000,
 ) -> DataFrame:
     """Sum variables over every (region, time) in one pass.
 
-    Missing values are skipped and an all-missing sum is 0.  The mask is
-    broadcast only when its counted size allows; the aggregation is partial
-    before the shuffle, so a hot region costs one row per task.  With
-    ``regions`` every (region, step) is reported, even without cells.
+    Missing values are skipped and an all-missing sum is 0.  The aggregation is
+    partial before the shuffle, so a hot region costs one row per task; how the
+    mask is joined is left to Spark, which knows its size when it runs.  With
+    ``regions`` every (region, step) is reported, even without cells: cells
+    outside all regions are then reduced as well, for the steps, and the reduced
+    table is checkpointed, so that the cube is read once.
     """
     ints = dict(int_sums or {})
     total = {n: F.sum(F.nanvl(c.cast("double"), F.lit(None))) for n, c in {**sums, **ints}.items()}
-    out = cells.join(small_side(region_cells, mask_limit), ["iy", "ix"]).groupBy("region", time).agg(
+    out = cells.join(region_cells, ["iy", "ix"], "inner" if regions is None else "left").groupBy("region", time).agg(
         *[c.alias(n) for n, c in total.items()])
     if regions is not None:
-        steps = cells.groupBy(time).agg(F.lit(1).alias("one")).agg(F.collect_list(time).alias("s")).scalar()
-        frame = regions.select("region").distinct().withColumn(time, F.explode(steps))
-        out = frame.join(out, ["region", time], "left")
+        shared_dir(cells.sparkSession)
+        out = out.checkpoint()
+        frame = every_slice(regions.select("region").distinct(), out, [time])
+        out = frame.join(out.where("region is not null"), ["region", time], "left")
     fixed = {n: F.coalesce(F.col(n), F.lit(0.0)) for n in sums}
     fixed |= {n: F.coalesce(F.round(F.col(n)), F.lit(0)).cast("bigint") for n in ints}
     return out.withColumns(fixed)
@@ -58,7 +61,6 @@ def union_mask(region_cells: DataFrame, name: str) -> DataFrame:
 
 def extract_regions(
     cells: DataFrame, region_cells: DataFrame, floats: Sequence[str], keep: Sequence[str], crop: bool = True,
-    mask_limit: int = 1_000_000,
 ) -> DataFrame:
     """Per-region copies of a cube: floats missing outside the region, integers kept.
 
@@ -66,7 +68,7 @@ def extract_regions(
     the inside cells are returned.
     """
     if not crop:
-        return cells.join(small_side(region_cells, mask_limit), ["iy", "ix"]).select("region", "t", "iy", "ix", *floats, *keep)
+        return cells.join(region_cells, ["iy", "ix"]).select("region", "t", "iy", "ix", *floats, *keep)
     box = mask_boxes(region_cells)
     frame = (
         box.withColumn("iy", F.explode(F.sequence("iy0", "iy1")))
@@ -74,7 +76,7 @@ def extract_regions(
         .select("region", "iy", "ix")
         .join(region_cells.withColumn("inside", F.lit(True)), ["region", "iy", "ix"], "left")
     )
-    joined = cells.join(small_side(frame, mask_limit), ["iy", "ix"])
+    joined = cells.join(frame, ["iy", "ix"])
     return joined.select("region", "t", "iy", "ix", *[F.when(F.col("inside"), F.col(v)).alias(v) for v in floats], *keep)
 
 

@@ -9,8 +9,7 @@ from pyspark.sql import functions as F
 
 from fieldspark.functions import text as fx
 
-# The layout of monthly raster names, and the accepted link column names.
-RASTER_NAME = r"^.*/([a-zA-Z0-9]+)/\1_[A-Za-z0-9_]*_([A-Za-z]+)_[A-Za-z0-9_]+_(\d{2})_(\d{4})\.tif$"
+# The layout of group file names.
 GROUP_NAME = r"([^/=]+?)_target_([^/]+?)_RGI_id"
 
 
@@ -58,9 +57,17 @@ def empty_links(spark: SparkSession) -> DataFrame:
 
 def parse_rasters(listing: DataFrame, path: str = "path") -> tuple[DataFrame, DataFrame]:
     """(parsed, rejected) rasters: variable, unit, month start; bad names or months are rejected, not fatal."""
-    m = [F.regexp_extract(path, RASTER_NAME, i) for i in (1, 2, 3, 4)]
-    time = F.try_to_timestamp(F.concat(m[3], F.lit("-"), m[2], F.lit("-01")), F.lit("yyyy-MM-dd")).cast("date")
-    d = listing.select(path, m[0].alias("variable"), m[1].alias("units"), F.when(m[0] != "", time).alias("time"))
+    parts = F.split(path, "/")
+    folder, name = F.try_element_at(parts, F.lit(-2)), F.element_at(parts, -1)
+    tokens = F.split(F.regexp_replace(name, r"\.tif$", ""), "_")
+    last = lambda k: F.try_element_at(tokens, F.lit(-k))
+    # variable first, month and year last, at least one word in between; the unit is the last plain word with one before and one behind it
+    inner = F.slice(tokens, 3, F.greatest(F.size(tokens) - 5, F.lit(0)))
+    unit = F.try_element_at(F.filter(inner, lambda w: w.rlike("^[A-Za-z]+$")), F.lit(-1))
+    words = F.forall(tokens, lambda w: w.rlike("^[A-Za-z0-9]*$"))
+    good = name.endswith(".tif") & (tokens[0] == folder) & folder.rlike("^[a-zA-Z0-9]+$") & words & last(2).rlike(r"^\d{2}$") & last(1).rlike(r"^\d{4}$") & unit.isNotNull()
+    time = F.try_to_timestamp(F.concat(last(1), F.lit("-"), last(2), F.lit("-01")), F.lit("yyyy-MM-dd")).cast("date")
+    d = listing.select(path, F.when(good, folder).otherwise("").alias("variable"), F.when(good, unit).otherwise("").alias("units"), F.when(good, time).alias("time"))
     return d.where("time is not null"), d.where("time is null").select(path)
 
 

@@ -7,31 +7,17 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldspark.model import small_side
 from fieldspark.session import scratch_path
 
 
-def write_partitioned(
-    df: DataFrame, path: str, by: Sequence[str], max_records: int = 0, shares: DataFrame | None = None,
-    replace: bool = True,
-) -> None:
-    """One folder per key, one job for all keys.
+def write_partitioned(df: DataFrame, path: str, by: Sequence[str], max_records: int = 0, replace: bool = True) -> None:
+    """One folder per key, one job for all keys; for keys of few values.
 
     ``replace`` renews only the written keys of an existing table; a new table
-    (``replace=False``) saves that second move of every file.
-
-    Without ``shares`` a rebalance hint sends small keys to one file each and
-    lets AQE split a hot key.  ``shares`` (keys, ``parts``) says how many tasks a
-    key gets; tasks are then spread evenly however small the data is.
+    (``replace=False``) saves that second move of every file.  A rebalance hint
+    sends small keys to one file each and lets AQE split a hot key.
     """
-    keys = [F.col(c) for c in by]
-    if shares is None:
-        out = df.hint("rebalance", *keys)
-    else:
-        rest = [c for c in df.columns if c not in by]
-        out = df.join(small_side(shares), list(by))
-        out = out.repartition(*keys, F.pmod(F.xxhash64(*rest), F.col("parts"))).drop("parts")
-    w = out.write.mode("overwrite").partitionBy(*by)
+    w = df.hint("rebalance", *[F.col(c) for c in by]).write.mode("overwrite").partitionBy(*by)
     if max_records:
         w = w.option("maxRecordsPerFile", max_records)
     if replace:
@@ -39,6 +25,16 @@ def write_partitioned(
     w.parquet(path)
 
 
+def write_packed(df: DataFrame, path: str, by: Sequence[str], order: Sequence[str] = (), max_records: int = 5_000_000) -> None:
+    """Many keys in few files: rows of a key together and sorted, so that row-group statistics prune a key's read.
+
+    The number of files grows with the bytes and not with the keys; a hot key
+    is split over several tasks by the rebalance.
+    """
+    out = df.hint("rebalance", *[F.col(c) for c in by]).sortWithinPartitions(*by, *order)
+    out.write.mode("overwrite").option("maxRecordsPerFile", max_records).parquet(path)
+
+
 def write_time_slabs(df: DataFrame, path: str, time: str, steps: int, max_records: int = 1_000_000) -> None:
     """Slabs of ``steps`` time steps, range-partitioned so that a slab's files hold adjacent times."""
     (df.withColumn("slab", F.floor(F.col(time) / steps)).repartitionByRange(F.col(time), F.col("iy"))
@@ -51,11 +47,13 @@ def write_csv(df: DataFrame, path: str, order: Sequence[str] = ()) -> None:
     out.write.mode("overwrite").csv(path, header=True)
 
 
-def write_and_read(spark: SparkSession, df: DataFrame, name: str, by: Sequence[str] = (), shares: DataFrame | None = None) -> DataFrame:
+def write_and_read(spark: SparkSession, df: DataFrame, name: str, by: Sequence[str] = (), packed: bool = False) -> DataFrame:
     """Write to the shared folder and scan the result with the schema it was written with."""
     path = scratch_path(spark, name)
-    if by:
-        write_partitioned(df, path, by, shares=shares, replace=False)
+    if packed:
+        write_packed(df, path, by)
+    elif by:
+        write_partitioned(df, path, by, replace=False)
     else:
         df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
