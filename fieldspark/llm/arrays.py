@@ -101,8 +101,8 @@ class Words:
         return mix((self.prefix[end] - self.prefix[start]) * inverse[start] + (end - start).astype(U))
 
 
-def words_of(data: np.ndarray, offs: np.ndarray, kind: np.ndarray, lower: bool) -> Words:
-    """Cut the documents of one slice into words."""
+def words_of(data: np.ndarray, offs: np.ndarray, kind: np.ndarray, lower: bool, hashes: bool = True) -> Words:
+    """Cut the documents of one slice into words; without ``hashes`` these stay empty."""
     docs = len(offs) - 1
     lens = np.diff(offs)
     text = np.full(len(data) + docs, 10, np.uint8)
@@ -112,6 +112,8 @@ def words_of(data: np.ndarray, offs: np.ndarray, kind: np.ndarray, lower: bool)
     start, end = edge[0::2], edge[1::2]
     first = np.searchsorted(start, bounds)
     count = np.diff(first)
+    if not hashes:
+        return Words(text, bounds, start, end, np.repeat(np.arange(docs), count), count, first[:-1], np.zeros(0, U), None)
     values = BYTE_VALUE[text]
     values *= _power_table(BASE, len(text))
     prefix = np.zeros(len(text) + 1, U)
