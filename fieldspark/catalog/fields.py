@@ -132,13 +132,22 @@ def _(spark, sf):
     return v.rounded(align.add_anomaly(base, anomaly, ["month", "iy", "ix"], ["tas", "pr"]), ["tas", "pr"], 8)
 
 
-@query("J10_future_minus_present", """WITH m AS (SELECT scenario, month, iy, ix, avg(tas) AS tas, greatest(avg(pr), 0) * 86400 AS pr FROM {monthly} GROUP BY ALL)
-    SELECT model, f.month, f.iy, f.ix, round(f.tas - p.tas, 5) + 0.0 AS tas, round(f.pr - p.pr, 3) + 0.0 AS pr FROM (VALUES ('m1', 'R', 'A'), ('m2', 'N', 'A')) g(model, future, present)
-    JOIN m f ON f.scenario = future JOIN m p ON p.scenario = present AND p.month = f.month AND p.iy = f.iy AND p.ix = f.ix""")
+@query("J10_future_minus_present", """WITH m AS (SELECT scenario, month, iy, ix, avg(tas) AS tas, greatest(avg(pr), 0) * 86400 AS pr FROM {monthly} GROUP BY ALL),
+    st AS (SELECT DISTINCT scenario, month FROM m), n AS (SELECT s_suppkey AS ty, tx, s_suppkey AS iy, tx + d AS ix, CASE WHEN d = 1 THEN 0.25 ELSE 0.75 END AS w FROM supplier, range(6) a(tx), range(2) b(d)),
+    r AS (SELECT st.scenario, st.month, ty, tx, sum(w * tas) / sum(CASE WHEN tas IS NOT NULL THEN w END) AS tas, sum(w * pr) / sum(CASE WHEN pr IS NOT NULL THEN w END) AS pr
+      FROM n CROSS JOIN st LEFT JOIN m ON m.scenario = st.scenario AND m.month = st.month AND m.iy = n.iy AND m.ix = n.ix GROUP BY ALL),
+    g AS (SELECT x.scenario, x.month, x.ty, x.tx, min_by({'tas': o.tas, 'pr': o.pr}, ((x.ty - o.ty) ** 2 + (x.tx - o.tx) ** 2, o.ty, o.tx)) AS near FROM r x JOIN r o USING (scenario, month)
+      WHERE x.tas IS NULL AND o.tas IS NOT NULL GROUP BY ALL),
+    f AS (SELECT scenario, month, ty, tx, coalesce(r.tas, near.tas) AS tas, coalesce(r.pr, near.pr) AS pr FROM r LEFT JOIN g USING (scenario, month, ty, tx))
+    SELECT model, f.month, f.ty AS iy, f.tx AS ix, round(f.tas - p.tas, 5) + 0.0 AS tas, round(f.pr - p.pr, 3) + 0.0 AS pr FROM (VALUES ('m1', 'R', 'A'), ('m2', 'N', 'A')) q(model, future, present)
+    JOIN f ON f.scenario = future JOIN f p ON p.scenario = present AND p.month = f.month AND p.ty = f.ty AND p.tx = f.tx""")
 def _(spark, sf):
     pairs = F.broadcast(spark.createDataFrame([("m1", "R", "A"), ("m2", "N", "A")], "model string, future string, present string"))
-    out = align.pair_difference(_mean(spark, sf, "scenario"), pairs, "scenario", ["month", "iy", "ix"],
-                                {"tas": F.col("tas"), "pr": F.greatest("pr", F.lit(0.0)) * 86400})
+    t = v.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("ty"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(5).cast("bigint"))).alias("tx"))
+    t = t.withColumns({"sx": F.col("tx") + 0.75, "sy": F.col("ty") + 0.5})
+    mean = _mean(spark, sf, "scenario").withColumn("pr", F.greatest("pr", F.lit(0.0)) * 86400)
+    cells = align.on_target_cells(mean, t, ["scenario", "month"], ["tas", "pr"])
+    out = align.pair_difference(cells, pairs, "scenario", ["month", "iy", "ix"], {"tas": F.col("tas"), "pr": F.col("pr")})
     return v.rounded(v.rounded(out, ["tas"], 5), ["pr"], 3)
 
 

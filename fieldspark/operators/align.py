@@ -7,7 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldspark.operators import scan
+from fieldspark.operators import regrid, scan
+from fieldspark.operators.outlines import Grid
 
 
 def interpolate_onto(
@@ -50,6 +51,16 @@ def add_anomaly(baseline: DataFrame, anomaly: DataFrame, keys: Sequence[str], va
     return out.drop(*[f"__a_{v}" for v in values])
 
 
+def on_target_cells(
+    df: DataFrame, targets: DataFrame, slices: Sequence[str], values: Sequence[str], grid: Grid = Grid(),
+) -> DataFrame:
+    """``df`` resampled to ``targets`` (ty, tx, sx, sy), as cells (iy, ix); targets without cover take the nearest covered one."""
+    out = regrid.bilinear(targets, df, values, grid, slices=slices).withColumnsRenamed({"ty": "iy", "tx": "ix"})
+    for v in values:
+        out = regrid.fill_gaps(out, v, slices=slices)
+    return out
+
+
 def pair_difference(df: DataFrame, pairs: DataFrame, scenario: str, keys: Sequence[str], values: Mapping[str, Column]) -> DataFrame:
     """future - present for every (model, future, present) pair, on common keys."""
     v = df.select(scenario, *keys, *[c.alias(n) for n, c in values.items()])

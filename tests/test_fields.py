@@ -161,3 +161,54 @@ def test_mosaic_rules(spark):
     assert pick("max") == {(0, 0): 3.0, (0, 1): 4.0} and pick("first") == {(0, 0): 3.0, (0, 1): 4.0} and pick("sum") == {(0, 0): 3.0, (0, 1): 4.0}
     with pytest.raises(ValueError):
         regrid.mosaic(t, "v", "min")
+
+
+def test_bilinear_slices_return_every_target(spark):
+    from fieldspark.operators import regrid
+
+    src = spark.createDataFrame([(m, y, x, float(m + y + x)) for m in (1, 2) for y in range(4) for x in range(4)], "month int, iy bigint, ix bigint, a double")
+    t = spark.createDataFrame([(y, x, x + 0.5, y + 0.5) for y in range(8) for x in range(8)], "ty bigint, tx bigint, sx double, sy double")
+    out = regrid.bilinear(t, src, ["a"], slices=["month"])
+    assert out.count() == 128 and out.where("a is null").count() == 2 * (64 - 16)
+
+
+def test_missing_chunk_gives_missing_rows(spark):
+    import os
+
+    from fieldspark.session import scratch_path
+    from fieldspark.sources import chunkstore
+
+    path = scratch_path(spark, "holes")
+    df = spark.createDataFrame([(0, y, x, 1.0) for y in range(8) for x in range(8)], "t bigint, iy bigint, ix bigint, value double")
+    chunkstore.write_store(df, path, "v", (1, 8, 8), (1, 4, 4), {})
+    os.remove(f"{path.removeprefix('file:')}/v/0.1.1")
+    out = chunkstore.open_store(spark, path, "v")
+    assert out.count() == 64 and out.where("value is null").count() == 16
+
+
+def test_deep_specs_and_functions_of_several_arrays(spark):
+    import numpy as np
+
+    from fieldspark.functions import text
+    from fieldspark.operators import arrays
+
+    doc = '{"a": {"b": {"c": {"d": {"e": {"distribution": "norm"}}, "x": 1}}}, "f": {"distribution": "norm", "derived_from": "a"}}'
+    got = text.flatten_specs(spark.createDataFrame([(1, doc)], "doc int, text string"), "doc", "text").collect()
+    assert sorted((r["name"], r["error"]) for r in got) == [("a.b.c.d.e", None), ("f", "both")]
+    df = spark.createDataFrame([(1, [1.0, 2.0], [3.0, 4.0]), (2, None, [1.0, 1.0]), (3, [0.0, 1.0], None)], "k int, a array<double>, b array<double>")
+    dot = arrays.core_function(lambda a, b: (a * b).sum(axis=1), "double")
+    assert {r["k"]: r["d"] for r in df.select("k", dot(F.col("a"), F.col("b")).alias("d")).collect()} == {1: 11.0, 2: None, 3: None}
+    assert np.isfinite(11.0)
+
+
+def test_missing_and_zero_spread(spark):
+    from fieldspark.operators import calibrate, scan
+
+    nan = float("nan")
+    df = spark.createDataFrame([("k", x) for x in (0.0, 1.0, 2.0, 3.0, 4.0, nan)], "k string, v double")
+    assert scan.exact_quantiles(df, ["k"], "v", [0.5]).first()["q0"] == 2.0
+    obs = spark.createDataFrame([("k", 1.0, 1.5, 0.5), ("k", 1.0, 2.0, 0.0), ("k", 2.0, 2.0, 0.0)], "k string, x double, mu double, s double")
+    args = (F.col("x"), F.col("mu"), F.col("s"))
+    one = calibrate.mean_log_likelihood(obs, ["k"], calibrate.log_normal(*args)).first()[1]
+    two = calibrate.mean_log_likelihood(obs, ["k"], calibrate.log_pseudo_huber(*args)).first()[1]
+    assert abs(one - (-0.5 - 0.5 * 0.4515827052894548)) < 1e-9 and two == float("-inf")
