@@ -64,4 +64,4 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_license_scan, op2_decontamination, op3_quality_outliers, op4_bpe_transducer, op5_histogram_sort, op6_toxicity, op7_token_counts, op8_feistel_pseudonyms, op9_context_mixing, op10_jaccard_join)}
-ORACLES = {"op2_decontamination": decontaminate.SQL, "op10_jaccard_join": jaccard.SQL}
+ORACLES = {"op2_decontamination": decontaminate.SQL, "op5_histogram_sort": shards.SQL, "op10_jaccard_join": jaccard.SQL}

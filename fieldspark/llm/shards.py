@@ -144,3 +144,27 @@ def _within():
 def digest(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     return sharded(docs.select(id_col, text_col, F.crc32(F.coalesce(docs[text_col], F.lit("")).cast("binary")).alias("text_crc32")), shards, id_col, text_col).select(
         F.col(id_col).alias("doc_id"), "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+#: The same law in DuckDB: at each level of the key's prefixes the boundary next to a wanted place, from the first level that meets the tolerance.
+SQL = f"""
+WITH step AS (SELECT list_transform(range(256), lambda i: list_reduce(list_concat([i], range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS crc),
+d AS (SELECT doc_id, coalesce(text, '') AS t, (strlen(coalesce(text, '')) + {OVERHEAD})::BIGINT AS size, ('0x' || substr(md5(coalesce(text, '')), 1, 15))::BIGINT AS h1,
+  ('0x' || substr(md5('id:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15))::BIGINT AS h2 FROM documents),
+c AS (SELECT d.*, hex(encode(t)) AS x, crc FROM d, step),
+s AS (SELECT doc_id, size, h1, h2, xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(range(len(x) // 2), lambda i: ('0x' || substr(x, 2 * i + 1, 2))::BIGINT)),
+  lambda a, b: xor(a >> 8, crc[(xor(a, b) & 255) + 1])), 4294967295)::BIGINT AS text_crc32 FROM c),
+l AS (SELECT level, CASE WHEN level <= {LEVELS} THEN h1 >> ({BITS} * ({LEVELS} - level)) ELSE h1 END AS a, CASE WHEN level <= {LEVELS} THEN 0 ELSE h2 >> ({BITS} * ({2 * LEVELS} - level)) END AS b, size
+  FROM s, range(1, {2 * LEVELS + 1}) v(level)),
+g AS (SELECT level, a, b, sum(size) AS n FROM l GROUP BY ALL),
+e AS (SELECT level, a, b, n, sum(n) OVER (PARTITION BY level ORDER BY a, b) - n AS start FROM g),
+w AS (SELECT k, (SELECT sum(size) FROM s) * k / {float(SHARDS)} AS wanted FROM range(1, {SHARDS}) v(k)),
+m AS (SELECT k, wanted, level, max_by({{'a': a, 'b': b, 'n': n, 'start': start}}, start) AS i FROM w JOIN e ON start <= wanted GROUP BY ALL),
+p AS (SELECT k, level, i, abs(i.start + i.n - wanted) < abs(i.start - wanted) AS behind, least(abs(i.start - wanted), abs(i.start + i.n - wanted)) AS miss FROM m),
+q AS (SELECT k, min_by({{'level': level, 'i': i, 'behind': behind}}, level) AS f FROM p WHERE miss <= {TOLERANCE} * (SELECT sum(size) FROM s) / {SHARDS} OR level = {2 * LEVELS} GROUP BY k),
+b AS (SELECT k, CASE WHEN f.level <= {LEVELS} THEN (f.i.a + CAST(f.behind AS INT)) << ({BITS} * ({LEVELS} - f.level)) ELSE f.i.a END AS k1,
+  CASE WHEN f.level <= {LEVELS} THEN 0 ELSE (f.i.b + CAST(f.behind AS INT)) << ({BITS} * ({2 * LEVELS} - f.level)) END AS k2 FROM q),
+r AS (SELECT s.doc_id, s.size, s.text_crc32, s.h1, s.h2, CAST((SELECT count(*) FROM b WHERE k1 < s.h1 OR (k1 = s.h1 AND k2 <= s.h2)) AS INT) AS shard FROM s)
+SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, (row_number() OVER (PARTITION BY shard ORDER BY h2 % ((SELECT count(*) FROM s) // {SHARDS * PART_ROWS} + 1), h1, h2) - 1)::BIGINT AS slot,
+  CAST(NULL AS INT) AS grown_shard FROM r
+"""
