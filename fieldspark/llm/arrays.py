@@ -47,11 +47,11 @@ _powers: dict[int, np.ndarray] = {}
 def _power_table(base: int, n: int) -> np.ndarray:
     have = _powers.get(base)
     if have is None or len(have) < n:
-        size = 1 << max(16, int(n - 1).bit_length())
+        size = n + n // 16
         out = np.ones(size, U)
         done, step = 1, base
-        while done < size:  # doubling: the second half is the first times base**done
-            out[done:2 * done] = out[:done] * U(step)
+        while done < size:  # doubling: what follows is the part before times base**done
+            out[done:2 * done] = out[:size - done][:done] * U(step)
             done, step = 2 * done, step * step % 2**64
         have = _powers[base] = out
     return have[:n]

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from fieldspark.llm import segment as S
-from fieldspark.llm.common import arrow_type, narrow, sql_type
+from fieldspark.llm.common import arrow_type, narrow, sql_type, tidy
 
 WORD_END = "</w>"
 #: Bytes of a word from which on it is streamed; bytes added to the lookahead between two looks.
@@ -359,5 +359,5 @@ def encoded(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_c
                 yield pa.RecordBatch.from_arrays([columns[f.name] for f in schema], schema=schema)
                 row += len(part)
 
-    return docs.mapInArrow(run, f"doc_id {sql_type(docs, 'doc_id')}, n_tokens long, ids_sha256 string, decoded_sha256 string"
+    return docs.mapInArrow(tidy(run), f"doc_id {sql_type(docs, 'doc_id')}, n_tokens long, ids_sha256 string, decoded_sha256 string"
                            + (", ids string, decoded string" if keep else ""))

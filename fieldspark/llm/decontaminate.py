@@ -24,13 +24,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldspark.llm import arrays as A
-from fieldspark.llm.common import arrow_type, narrow, sql_type, written
+from fieldspark.llm.common import arrow_type, narrow, sql_type, tidy, written
 
 WINDOW = 13
 #: Words within which a proximity match has all words of a window, on either side of its rarest one.
 REACH = 26
 TEST_BYTES = 32 << 20
-SHARD_BYTES = 2 << 20
+SHARD_BYTES = 3 << 18
 GAP = 64  # positions left free between documents, more than REACH
 STRIDE = 1 << 32
 
@@ -64,7 +64,7 @@ def build_index(docs: DataFrame, terms: np.ndarray | None, id_col: str = "doc_id
                                  lengths=[w.count.astype(np.int64).tobytes()], terms=[h[head].tobytes()],
                                  ends=[ends.astype(np.int64).tobytes()], positions=[pos.astype(np.int64).astype(np.uint32).tobytes()])
 
-    return written(docs.mapInArrow(shards, f"docs array<{sql_type(docs, 'doc')}>, lengths binary, terms binary, "
+    return written(docs.mapInArrow(tidy(shards), f"docs array<{sql_type(docs, 'doc')}>, lengths binary, terms binary, "
                                            "ends binary, positions binary"), "positions")
 
 
@@ -85,7 +85,7 @@ def term_counts(index: DataFrame, terms: np.ndarray) -> np.ndarray:
 
     out = np.zeros(len(terms), np.int64)
     if len(terms):
-        for row in index.select("terms", "ends").mapInArrow(sums, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():
+        for row in index.select("terms", "ends").mapInArrow(tidy(sums), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():
             out[row["term"]] = row["n"]
     return out
 
@@ -170,14 +170,19 @@ def search(index: DataFrame, blocks: list[DataFrame], window: int = WINDOW, reac
               f"hit binary, exact {pair}, near {pair}")
     frame = index.select("*", F.lit(None).cast("binary").alias("hit"), F.array().cast(pair).alias("exact"),
                          F.array().cast(pair).alias("near"))
-    for block in blocks:
+    report = _report(arrow_type(index, "docs").value_type)
+    out = (f"doc_id {id_type}, n_words long, n_hit long, hits array<struct<start: long, length: long>>, "
+           "items array<string>, near_items array<string>")
+    for k, block in enumerate(blocks):
         q = Windows(block, window)
         q.rank(term_counts(index, q.terms))
-        frame = frame.mapInArrow(_probe(q, reach), schema)
-    doc_type = index.schema["docs"].dataType.elementType
-    return frame.mapInArrow(_report(arrow_type(index, "docs").value_type),
-                            f"doc_id {doc_type.simpleString()}, n_words long, n_hit long, hits array<struct<start: long, length: long>>, "
-                            "items array<string>, near_items array<string>")
+        last = k == len(blocks) - 1
+        frame = frame.mapInArrow(tidy(_then(_probe(q, reach), report) if last else _probe(q, reach)), out if last else schema)
+    return frame
+
+
+def _then(first, second):
+    return lambda batches: second(first(batches))
 
 
 def _probe(q: Windows, reach: int):

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldspark.llm import arrays as A
-from fieldspark.llm.common import arrow_type, narrow, release, sql_type, written
+from fieldspark.llm.common import arrow_type, narrow, release, sql_type, tidy, written
 from fieldspark.llm.components import components
 
 WORDS = 5
@@ -111,7 +111,7 @@ def profile(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         if pile:
             yield heavy()
 
-    return written(docs.mapInArrow(run, f"doc {sql_type(docs, 'doc')}, text_hash long, n long, node long, hot long"), "sets")
+    return written(docs.mapInArrow(tidy(run), f"doc {sql_type(docs, 'doc')}, text_hash long, n long, node long, hot long"), "sets")
 
 
 def _postings(docs: DataFrame, hot: np.ndarray, rank: np.ndarray) -> DataFrame:
@@ -141,7 +141,7 @@ def _postings(docs: DataFrame, hot: np.ndarray, rank: np.ndarray) -> DataFrame:
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out).view(np.int64)), pa.array(np.repeat(np.array(nodes, np.int64), sizes))], schema=schema)
 
-    return docs.select("text").mapInArrow(run, "shingle long, node long")
+    return docs.select("text").mapInArrow(tidy(run), "shingle long, node long")
 
 
 def _lists(postings: DataFrame) -> DataFrame:
@@ -191,7 +191,7 @@ def _lists(postings: DataFrame) -> DataFrame:
         if len(h):
             yield emit(h, v, open_hash, open_node)
 
-    return postings.sortWithinPartitions("shingle", "node").mapInArrow(run, "shingle long, a long, b long")
+    return postings.sortWithinPartitions("shingle", "node").mapInArrow(tidy(run), "shingle long, a long, b long")
 
 
 def _node_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -219,7 +219,7 @@ def _node_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             if nodes:
                 yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.binary())], schema=schema)
 
-    return docs.select("text").mapInArrow(run, "node long, set binary").groupBy("node").agg(F.first("set").alias("set"))
+    return docs.select("text").mapInArrow(tidy(run), "node long, set binary").groupBy("node").agg(F.first("set").alias("set"))
 
 
 def _linked(docs: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -241,7 +241,7 @@ def _linked(docs: DataFrame, pairs: DataFrame) -> DataFrame:
                 keep[r] = 100 * common >= PERCENT * (len(x) + len(y) - common)
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep)), batch.column(1).filter(pa.array(keep))], schema=schema)
 
-    out = written(both.mapInArrow(run, "a long, b long"), "links")
+    out = written(both.mapInArrow(tidy(run), "a long, b long"), "links")
     release(docs.sparkSession)
     return out
 

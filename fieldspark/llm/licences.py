@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldspark.llm import arrays as A
-from fieldspark.llm.common import arrow_type, narrow, sql_type
+from fieldspark.llm.common import arrow_type, narrow, sql_type, tidy
 
 GRAM = 3
 WINDOW = 3
@@ -175,7 +175,7 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, id_col: str =
                 picked = pa.array([r[0] for r in rows])
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(picked), *[pa.array([r[k] for r in rows], schema.field(k).type) for k in range(1, 8)]], schema=schema)
 
-    return docs.mapInArrow(run, f"doc_id {sql_type(docs, 'doc_id')}, template string, n_matched long, n_template long, coverage double, "
+    return docs.mapInArrow(tidy(run), f"doc_id {sql_type(docs, 'doc_id')}, template string, n_matched long, n_template long, coverage double, "
                                 "first_word long, last_word long, matched_text string")
 
 

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldspark.llm import arrays as A
-from fieldspark.llm.common import arrow_type, narrow, sql_type, written
+from fieldspark.llm.common import arrow_type, narrow, sql_type, tidy, written
 
 SHARE = 0.75
 MIN_ROWS = 60
@@ -91,7 +91,7 @@ def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                                  source=batch.column(3).slice(i, j - i), **text_counts(data, offs))
 
     types = ", ".join(f"{c} {sql_type(docs, c)}" for c in ("doc_id", "lang", "source"))
-    return docs.mapInArrow(run, types + "".join(f", {c} long" for c in COUNTS))
+    return docs.mapInArrow(tidy(run), types + "".join(f", {c} long" for c in COUNTS))
 
 
 def base_failed() -> F.Column:

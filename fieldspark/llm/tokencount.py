@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldspark.llm import segment as S
-from fieldspark.llm.common import arrow_type, narrow, sql_type
+from fieldspark.llm.common import arrow_type, narrow, sql_type, tidy
 
 CHUNK = 16384
 OVERLAP = 64
@@ -136,4 +136,4 @@ def token_counts(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
             texts = [t or "" for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(count_texts(counter, texts))], schema=schema)
 
-    return docs.mapInArrow(run, f"doc_id {sql_type(docs, 'doc_id')}, n_bytes long, n_tokens long").withColumn("over_limit", F.col("n_tokens") > limit)
+    return docs.mapInArrow(tidy(run), f"doc_id {sql_type(docs, 'doc_id')}, n_bytes long, n_tokens long").withColumn("over_limit", F.col("n_tokens") > limit)

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldspark.llm import arrays as A
-from fieldspark.llm.common import arrow_type, narrow, sql_type, written
+from fieldspark.llm.common import arrow_type, narrow, sql_type, tidy, written
 
 #: General word lists of abuse, by kind.
 LEXICONS = {
@@ -129,7 +129,7 @@ def mined_words(labelled: DataFrame) -> tuple[tuple[list[int], list[int]], list[
             n, t = np.bincount(inverse), np.bincount(inverse, weights=labels).astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(n), pa.array(t)], ["word", "n", "t"])
 
-    words = written(labelled.select("text", "toxic").mapInArrow(count, "word long, n long, t long").groupBy("word")
+    words = written(labelled.select("text", "toxic").mapInArrow(tidy(count), "word long, n long, t long").groupBy("word")
                     .agg(F.sum("n").alias("n"), F.sum("t").alias("t")).where((F.col("t") >= MINED_ROWS) | (F.col("n") >= VET_ROWS)), "rates")
     listed = _hashes(" ".join(LEXICONS.values()).split()).view(np.int64).tolist()
     dropped = [r["word"] for r in words.where(F.col("word").isin(listed) & (F.col("n") >= VET_ROWS) & (F.col("t") < VET_SHARE * F.col("n"))).collect()]
@@ -148,7 +148,7 @@ def mined_words(labelled: DataFrame) -> tuple[tuple[list[int], list[int]], list[
                 pair = np.unique(np.stack([w.hash[at], np.r_[w.hash, A.U(0)][at + 1]]), axis=1).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(pair[0]), pa.array(pair[1])], ["word", "next"])
 
-    spread = (labelled.select("text", "toxic").mapInArrow(followers, "word long, next long").distinct().groupBy("word").agg(F.count("*").alias("f")).collect())
+    spread = (labelled.select("text", "toxic").mapInArrow(tidy(followers), "word long, next long").distinct().groupBy("word").agg(F.count("*").alias("f")).collect())
     good = sorted((-r["f"], r["word"]) for r in spread if r["f"] >= max(MINED_ROWS, MINED_SPREAD * times[r["word"]]))[:MINED_WORDS]
     found = sorted(word for _, word in good)
     return (found[0::2], found[1::2]), dropped
@@ -199,7 +199,7 @@ def vote_sums(docs: DataFrame, voters: Voters) -> tuple[float, np.ndarray, np.nd
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], ["k", "v"])
 
     out = np.zeros(1 + M + 2 * M * M)
-    for row in docs.select("text").mapInArrow(run, "k long, v double").groupBy("k").agg(F.sum("v").alias("v")).collect():
+    for row in docs.select("text").mapInArrow(tidy(run), "k long, v double").groupBy("k").agg(F.sum("v").alias("v")).collect():
         out[row["k"]] = row["v"]
     return out[0], out[1:1 + M], out[1 + M:1 + M + M * M].reshape(M, M), out[1 + M + M * M:].reshape(M, M)
 
@@ -274,7 +274,7 @@ def fitted(docs: DataFrame, labels: DataFrame, train: F.Column, id_col: str = "d
         yield pa.RecordBatch.from_arrays([pa.array([0, 1]), pa.array(n)], ["likely", "n"])
 
     count = dict.fromkeys((0, 1), 0)
-    for row in docs.where("learn").select("text").mapInArrow(likely, "likely long, n long").groupBy("likely").agg(F.sum("n").alias("n")).collect():
+    for row in docs.where("learn").select("text").mapInArrow(tidy(likely), "likely long, n long").groupBy("likely").agg(F.sum("n").alias("n")).collect():
         count[row["likely"]] = row["n"]
     below = [min(1.0, SAMPLE / max(1, count[x])) * 2.0**64 for x in (0, 1)]
     sample_type = pa.schema([("at", pa.int64()), ("p", pa.float64()), ("bucket", pa.binary()), ("value", pa.binary())])
@@ -294,7 +294,7 @@ def fitted(docs: DataFrame, labels: DataFrame, train: F.Column, id_col: str = "d
                 yield pa.RecordBatch.from_arrays([pa.array(whole[want].view(np.int64)), pa.array(p[want]), pa.array([bucket[s].astype(np.int32).tobytes() for s in part], pa.binary()),
                                                   pa.array([value[s].astype(np.float32).tobytes() for s in part], pa.binary())], schema=sample_type)
 
-    rows = docs.where("learn").select("text").mapInArrow(sample, "at long, p double, bucket binary, value binary").dropDuplicates(["at"])
+    rows = docs.where("learn").select("text").mapInArrow(tidy(sample), "at long, p double, bucket binary, value binary").dropDuplicates(["at"])
     # about 2 * SAMPLE rows, whatever the corpus
     classifier = Linear.fit([(np.frombuffer(r["bucket"], np.int32), np.frombuffer(r["value"], np.float32).astype(np.float64), float(r["p"]), 1.0)
                              for r in written(rows, "sample").orderBy("at").toLocalIterator()])
@@ -316,7 +316,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, train: F.Column, id_col: str =
                                                   pa.array(model.posterior(voters.votes(w, shouted).astype(np.float64))),
                                                   pa.array(classifier.scores(doc, bucket, value, j - i))], schema=schema)
 
-    out = docs.mapInArrow(score, f"doc_id {sql_type(docs, 'doc')}, learned boolean, posterior double, score double")
+    out = docs.mapInArrow(tidy(score), f"doc_id {sql_type(docs, 'doc')}, learned boolean, posterior double, score double")
     return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
@@ -332,7 +332,7 @@ def without_toxic(docs: DataFrame, labels: DataFrame, train: F.Column, id_col: s
                 clean.append(classifier.scores(*_features(w, voters.mined, voters.lists), j - i) < 0.5)
             yield batch.filter(pa.array(np.concatenate(clean))) if clean else batch
 
-    return docs.mapInArrow(keep, docs.schema)
+    return docs.mapInArrow(tidy(keep), docs.schema)
 
 
 def held_out(id_col: str = "doc_id") -> F.Column:
