@@ -61,7 +61,14 @@ def _(spark, sf):
     return v.rounded(out, ["rmse_mean"], 6).orderBy("rmse_mean")
 
 
-@query("A15_decorrelation_length")  # brute force on a small fixture in tests
+# direct sums over the lags up to twelve cells, behind the crossing of all fields; tests compare with the transform
+@query("A15_decorrelation_length", """WITH f AS (SELECT field, iy, ix, q + 20 * sin(iy / 5.0::DOUBLE) + 15 * cos(ix / 3.0::DOUBLE) AS v FROM (SELECT l_returnflag AS field, l_suppkey AS iy, l_partkey % 60 AS ix, avg(l_quantity) AS q FROM lineitem GROUP BY ALL)),
+    k AS (SELECT count(*) AS n FROM supplier), a AS (SELECT field, iy % n AS iy, ix, v - avg(v) OVER (PARTITION BY field) AS a FROM f, k),
+    z AS (SELECT field, sum(a * a) AS v0 FROM a GROUP BY field),
+    l AS (SELECT dy, dx, CAST(floor(sqrt(dy * dy + dx * dx)) AS INT) AS r FROM range(-13, 14) y(dy), range(-13, 14) x(dx), k WHERE sqrt(dy * dy + dx * dx) < 13 AND dy >= -(n // 2) AND dy < n - n // 2),
+    c AS (SELECT r, count(*) AS lags FROM l GROUP BY r),
+    h AS (SELECT field, a, r, (iy + dy + n) % n AS iy, (ix + dx + 60) % 60 AS ix FROM a, l, k), s AS (SELECT h.field, r, sum(h.a * q.a) AS s FROM h JOIN a q ON q.field = h.field AND q.iy = h.iy AND q.ix = h.ix GROUP BY ALL)
+    SELECT field, CAST(coalesce(min(CASE WHEN s / lags / v0 < exp(-1) THEN r END), min(least(n // 2, 30))) AS DOUBLE) AS length FROM s JOIN c USING (r) JOIN z USING (field) CROSS JOIN k GROUP BY field""")
 def _(spark, sf):
     shared_dir(spark)
     ny = v.table(spark, sf, "supplier").count()
