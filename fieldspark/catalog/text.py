@@ -214,7 +214,7 @@ def _(spark, sf):
     return mf.sync_plan(remote, local, delete_extra=True)
 
 
-@query("S13_batched_sinks", "SELECT t, TRUE AS agrees, count(*) AS n FROM {cells} GROUP BY t")
+@query("S13_batched_sinks", "SELECT t, TRUE AS agrees, count(*) AS n, round(sum(ice_mass), 2) AS total FROM {cells} GROUP BY t")
 def _(spark, sf):
     from fieldspark.operators import zonal as z
 
@@ -225,7 +225,7 @@ def _(spark, sf):
     slabs = spark.read.parquet(path)
     n = slabs.groupBy("t").agg(F.count(L(1)).alias("n"), F.sum("ice_mass").alias("s"))
     same = z.agree(n, whole.groupBy("t").agg(F.sum("ice_mass").alias("s")), ["t"], "s")
-    return same.join(n.select("t", "n"), "t")
+    return same.join(n.select("t", "n", F.round("s", 2).alias("total")), "t")
 
 
 @query("S14_series_sink", "SELECT exp_id, gcm_id, month, round(value, 2) AS value FROM {series}")
