@@ -5,10 +5,11 @@ import math
 import random
 import re
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 from datetime import date, timedelta
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -388,6 +389,42 @@ def test_mixing_beats_fixed_coding(spark):
     assert got["bits_per_byte"].mean() < 3.0 and got["score"].sum() > 1.3 * got["base_score"].sum()
 
 
+def test_context_counts_are_exact_and_grow(spark, monkeypatch):
+    """Every (context, node) has the count of its own bits in all training texts, over many blocks and ranges."""
+    monkeypatch.setattr(mixing, "BLOCK_BYTES", 3000)
+    texts = sentences(13, 60)
+    frame = spark.createDataFrame([(k, k % 3 > 0, t) for k, t in enumerate(texts)], "doc long, learn boolean, text string").repartition(3)
+    blocks = mixing.text_blocks(frame, 50)
+    values = mixing.path_values(blocks.where("range IS NOT NULL")).collect()
+
+    def steps(t):
+        data = "\n".join([" ".join(blank_words(t)), ""]).encode()
+        for i, b in enumerate(data):
+            back = bytes(4) + data[:i]
+            word = data[:i].split(b" ")[-1]
+            for d in range(int(mixing.LENGTH[b])):
+                node = int(mixing.NODE[mixing.PLACE[b] + d])
+                yield [(k, c, node) for k, c in enumerate((back[-1:], back[-2:], back[-4:], word))], int(mixing.BIT[mixing.PLACE[b] + d])
+
+    counts = defaultdict(lambda: [0, 0])
+    for k, t in enumerate(texts):
+        if k % 3 > 0:
+            for slots, bit in steps(t):
+                for s in slots:
+                    counts[s][bit] += 1
+    seen = 0
+    for name in {r.block for r in blocks.select("block").collect()}:
+        rows = blocks.where(f"range IS NULL AND block = {name}").collect()
+        _, text, first, length = mixing.block_texts(pa.array([r.words for r in rows], pa.binary()))
+        known = mixing.Known(text, [(r.range, r.n, r["values"]) for r in values if r.block == name])
+        at = np.flatnonzero(text)
+        got = known(text, at, *mixing._paths(text[at]))
+        want = [[math.log((counts[s][1] + mixing.PRIOR) / (counts[s][0] + mixing.PRIOR)) for s in slots] for r in rows for slots, _ in steps(texts[r.doc])]
+        assert np.abs(got - np.array(want)).max() < 0.01
+        seen += len(rows)
+    assert seen == len(texts) and mixing.PREDICTORS == 4
+
+
 def test_bit_model_is_a_distribution():
     """The probabilities of all one-byte continuations of a context sum to one."""
     rng = np.random.default_rng(0)
