@@ -425,6 +425,23 @@ def test_context_counts_are_exact_and_grow(spark, monkeypatch):
     assert seen == len(texts) and mixing.PREDICTORS == 4
 
 
+def test_weights_move_from_the_first_bytes_to_the_last():
+    """Predictors that are always wrong cost less and less, in short texts and behind any length."""
+    text = np.r_[np.zeros(mixing.PAD, np.uint8), np.random.default_rng(3).choice(np.frombuffer(b"etaoin shr", np.uint8), 400_000)]
+    weights = np.full((mixing.GATES, mixing.PREDICTORS), 0.4)
+
+    def cost(n, turn=1 << 60):
+        def look(t, at, of, depth):
+            right = 2 * mixing.BIT[mixing.PLACE[t[at]][of] + depth].astype(np.float32) - 1
+            return np.repeat(np.where(at[of] < turn, -right, right)[:, None], mixing.PREDICTORS, 1)
+
+        return -mixing.text_scores(text[:mixing.PAD + n], np.array([mixing.PAD]), np.array([n]), look, weights)[0]
+
+    assert (cost(400) - cost(336)) / 64 < 0.8 * cost(64) / 64
+    soon, late = cost(141_000, 140_000) - cost(140_000, 140_000), cost(400_000, 140_000) - cost(300_000, 140_000)
+    assert late / 100_000 < 0.8 * soon / 1000  # what helps turns round at byte 140,000
+
+
 def test_bit_model_is_a_distribution():
     """The probabilities of all one-byte continuations of a context sum to one."""
     rng = np.random.default_rng(0)
