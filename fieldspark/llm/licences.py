@@ -2,7 +2,8 @@
 
 Of each template and text, hashes of GRAM consecutive words are winnowed: the smallest of every
 WINDOW ones is kept, so a shared run of GRAM + WINDOW - 1 words always shares a fingerprint.  An
-inverted index from fingerprint to (template, place) gives hits with their diagonal, the place in the
+inverted index from fingerprint to (template, place) gives hits (of templates of up to SHORT words also by every run of
+NEAR words, so that any two neighbouring words of a notice are enough to try it).  These hits come with their diagonal, the place in the
 text less the place in the template.  Hits of one template on near diagonals and places are one
 candidate, which is aligned with the template inside a band around its diagonal; the alignment's
 matched words give the covered share of the template and the span of the text.
@@ -15,6 +16,8 @@ matches; extra columns are not read.
 
 from __future__ import annotations
 
+from pathlib import Path
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -25,13 +28,15 @@ from fieldspark.llm.common import arrow_type, narrow, sql_type, tidy
 
 GRAM = 3
 WINDOW = 3
+#: Templates of so many words are found by all runs of NEAR words too.
+SHORT, NEAR = 40, 2
 #: Diagonals on either side of a candidate's that the alignment may use.
 BAND = 6
 #: Least share of a template's words that a match covers.
 COVERAGE = 0.7
 TEMPLATE_WORDS = 2_000_000
 
-#: Short notices by which works state their licence.
+#: Notices by which works state their licence, and the whole texts of licences.
 TEMPLATES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0",
     "Apache-2.0-header": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. "
@@ -50,6 +55,14 @@ TEMPLATES = {
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0",
     "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted",
     "all-rights": "All rights reserved. No part of this publication may be reproduced, distributed, or transmitted in any form or by any means",
+    "all-rights-bare": "All rights reserved",
+    "AGPL-3.0-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by "
+                       "the Free Software Foundation, either version 3 of the License, or (at your option) any later version",
+    "LGPL-header": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by "
+                   "the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version",
+    "BSD-disclaimer": "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, "
+                      "THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED",
+    **{f"{p.stem}-text": p.read_text("utf-8") for p in sorted((Path(__file__).parent / "licence_texts").glob("*.txt"))},
 }
 
 
@@ -66,9 +79,9 @@ def _grams(w: A.Words) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Index:
-    """Inverted index of the templates' fingerprints."""
+    """Inverted index of the templates' fingerprints, runs of ``gram`` words; of those of up to ``most`` words."""
 
-    def __init__(self, templates: dict[str, str]):
+    def __init__(self, templates: dict[str, str], gram: int = GRAM, most: int = TEMPLATE_WORDS):
         self.names = list(templates)
         if sum(len(t) for t in templates.values()) > 12 * TEMPLATE_WORDS:
             raise ValueError("templates are too long for one index: scan with parts of them")
@@ -77,10 +90,10 @@ class Index:
         keys, owners, places = [], [], []
         for i, j, data, offs in A.text_slices(column):
             w = A.words_of(data, offs, A.ALNUM, lower=True)
-            at, h = _grams(w)
+            at, h = A.windows(w, gram, short=True)
             for d in range(j - i):
                 self.words.append(w.hash[w.first[d]:w.first[d] + w.count[d]])
-                mine = w.doc[at] == d
+                mine = (w.doc[at] == d) & (w.count[d] <= most)
                 # every gram of a template is in the index, so that a text's winnowed grams always meet it
                 keys.append(h[mine])
                 owners.append(np.full(mine.sum(), i + d))
@@ -90,6 +103,18 @@ class Index:
         self.key, self.owner, self.place = self.key[order], self.owner[order], self.place[order]
 
 
+def _known(index: Index, h: np.ndarray) -> np.ndarray:
+    if not len(index.key):
+        return np.zeros(len(h), bool)
+    return index.key[np.minimum(np.searchsorted(index.key, h), len(index.key) - 1)] == h
+
+
+def within_reach(text: np.ndarray, template: np.ndarray, diagonal: int, least: float) -> bool:
+    """Whether the words that the band reaches can match so many of the template's; a bound, so no match is lost."""
+    reach = text[max(0, diagonal - BAND):max(0, diagonal + len(template) + BAND)]
+    return len(reach) >= least and np.isin(template, reach).sum() >= least
+
+
 def align(text: np.ndarray, template: np.ndarray, diagonal: int) -> tuple[int, int, int]:
     """(matched words, first, behind last word of the text) of the best common subsequence in the band.
 
@@ -120,17 +145,21 @@ def align(text: np.ndarray, template: np.ndarray, diagonal: int) -> tuple[int, i
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, id_col: str = "doc_id", text_col: str = "text", coverage: float = COVERAGE) -> DataFrame:
     """One row per document and match: template, matched and all words of it, coverage, span of words and its text."""
     docs = narrow(docs, doc_id=id_col, text=text_col)
-    index = Index(templates or TEMPLATES)
+    index, near = Index(templates or TEMPLATES), Index(templates or TEMPLATES, NEAR, SHORT)
     schema = pa.schema([("doc_id", arrow_type(docs, "doc_id")), ("template", pa.string()), ("n_matched", pa.int64()), ("n_template", pa.int64()),
                         ("coverage", pa.float64()), ("first_word", pa.int64()), ("last_word", pa.int64()), ("matched_text", pa.string())])
 
-    def candidates(h: np.ndarray, at: np.ndarray):
-        """(template, diagonal, place in the text) of hits, together where they belong to one candidate."""
+    def hits(index: Index, h: np.ndarray, at: np.ndarray) -> list[tuple[int, int, int]]:
+        """(template, place in the text, diagonal) of fingerprints."""
         lo, hi = np.searchsorted(index.key, h, "left"), np.searchsorted(index.key, h, "right")
         n = hi - lo
         hit = np.repeat(lo, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
         place = np.repeat(at, n)
-        rows = sorted(zip(index.owner[hit].tolist(), place.tolist(), (place - index.place[hit]).tolist()))
+        return list(zip(index.owner[hit].tolist(), place.tolist(), (place - index.place[hit]).tolist()))
+
+    def candidates(rows: list[tuple[int, int, int]]):
+        """(template, diagonal, place in the text) of hits, together where they belong to one candidate."""
+        rows = sorted(set(rows))
         out: list[list[int]] = []
         for t, p, d in rows:
             if out and out[-1][0] == t and abs(out[-1][1] - d) <= BAND // 2 and p - out[-1][2] <= len(index.words[t]) + BAND:
@@ -145,9 +174,11 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, id_col: str =
             for i, j, data, offs in A.text_slices(batch.column(1)):
                 w = A.words_of(data, offs, A.ALNUM, lower=True)
                 at, h = _grams(w)
-                known = index.key[np.minimum(np.searchsorted(index.key, h), len(index.key) - 1)] == h
                 doc = w.doc[at]
-                for d in np.unique(doc[known]).tolist():
+                at2, h2 = A.windows(w, NEAR, short=True)
+                known2 = np.flatnonzero(_known(near, h2))
+                at2, h2, doc2 = at2[known2], h2[known2], w.doc[at2[known2]]
+                for d in np.unique(np.r_[doc[_known(index, h)], doc2]).tolist():
                     first, n = int(w.first[d]), int(w.count[d])
                     text = w.hash[first:first + n]
                     if n < GRAM:
@@ -158,7 +189,10 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, id_col: str =
                         kept = winnow(grams)
                         grams, places = grams[kept], places[kept]
                     found: dict[tuple, tuple] = {}
-                    for t, diagonal, _ in candidates(grams, places):
+                    mine = doc2 == d
+                    for t, diagonal, _ in candidates(hits(index, grams, places) + hits(near, h2[mine], at2[mine] - first)):
+                        if not within_reach(text, index.words[t], diagonal, coverage * len(index.words[t])):
+                            continue
                         m, a, b = align(text, index.words[t], diagonal)
                         if m >= coverage * len(index.words[t]) and m:
                             found[(t, a, b)] = (m, diagonal)

@@ -91,6 +91,27 @@ def test_licences_exact_and_edited(spark, none):
     assert licences.scan(none).count() == 0
 
 
+def test_every_notice_is_found_bare_and_edited(spark, none):
+    """Against brute force: each template, alone and within other words, and short ones with any one word changed."""
+    data, want = [], {}
+    for name, body in licences.TEMPLATES.items():
+        words = licences_words(body)
+        forms = [words]
+        if len(words) <= licences.SHORT:
+            forms += [words[:k] + ["zzyzx"] + words[k + 1:] for k in range(len(words))]
+        for form in forms:
+            if brute_matches(form, body)[0] >= licences.COVERAGE * len(words) if len(words) < 100 else True:
+                for text in (" ".join(form), "some words before " + " ".join(form) + " and some behind"):
+                    data.append((len(data), text))
+                    want[len(data) - 1] = (name, brute_matches(form, body)[0] if len(words) < 100 else len(words))
+    got = {}
+    for r in licences.scan(spark.createDataFrame(data, "doc_id long, text string")).collect():
+        got.setdefault(r.doc_id, []).append((r.template, r.n_matched))
+    lost = [(want[k], data[k][1][:80], got.get(k)) for k in want if want[k] not in got.get(k, []) and not any(n >= want[k][1] for _, n in got.get(k, []))]
+    assert not lost, lost[:5]
+    assert got[len(data) - 1] and {"all-rights-bare", "MPL-2.0-text", "CC0-1.0-text", "Unlicense-text", "LGPL-3-text", "BSD-text"} <= {t for x in got.values() for t, _ in x}
+
+
 # 2 decontamination
 
 def brute_decontamination(rows, tests, window=13):
