@@ -323,6 +323,16 @@ def test_toxicity_ignores_held_out_labels(spark):
     assert np.allclose(one["score"], two["score"])
 
 
+def test_every_training_label_is_mined(spark, monkeypatch):
+    """All labelled training rows are counted, however many there are."""
+    n, seen = 45_000, []
+    frame = spark.range(n).selectExpr("id AS doc_id", "concat('plain text number ', id) AS text")
+    labels = spark.range(n).selectExpr("id AS doc_id", "0 AS toxic")
+    monkeypatch.setattr(toxicity, "mined_words", lambda labelled: (seen.append(labelled.count()), (([], []), []))[1])
+    toxicity.fitted(frame, labels, ~toxicity.held_out())
+    assert seen == [frame.where(~toxicity.held_out()).count()]
+
+
 def test_toxicity_without_labels_or_rows(spark, docs, none):
     empty = spark.createDataFrame([], "doc_id long, toxic int")
     assert toxicity.toxicity(none, empty, ~toxicity.held_out()).count() == 0
