@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fieldspark.llm import bpe, decontaminate, jaccard, licences, mixing, pii, quality, repair, shards, tokencount, toxicity
+from fieldspark.llm import bpe, decontaminate, jaccard, licences, mixing, pii, quality, repair, shards, tokencount, toxicity, whitening
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,6 +68,10 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.digest(repair.damaged(conversations), conversations)
 
 
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {f.__name__: f for f in (op1_license_scan, op2_decontamination, op3_quality_outliers, op4_bpe_transducer, op5_histogram_sort, op6_toxicity, op7_token_counts, op8_feistel_pseudonyms, op9_context_mixing, op10_jaccard_join,
-                                  op11_conversation_repair)}
+                                  op11_conversation_repair, op12_embedding_whitening)}
 ORACLES = {"op2_decontamination": decontaminate.SQL, "op5_histogram_sort": shards.SQL, "op10_jaccard_join": jaccard.SQL, "op11_conversation_repair": repair.SQL}
