@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fieldspark.llm import bpe, decontaminate, jaccard, licences, mixing, pii, quality, repair, shards, tokencount, toxicity, whitening
+from fieldspark.llm import bpe, decontaminate, jaccard, licences, mixing, pii, quality, repair, shards, tokencount, toxicity, voronoi, whitening
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -72,6 +72,11 @@ def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
 
 
+def op13_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return voronoi.digest(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {f.__name__: f for f in (op1_license_scan, op2_decontamination, op3_quality_outliers, op4_bpe_transducer, op5_histogram_sort, op6_toxicity, op7_token_counts, op8_feistel_pseudonyms, op9_context_mixing, op10_jaccard_join,
-                                  op11_conversation_repair, op12_embedding_whitening)}
-ORACLES = {"op2_decontamination": decontaminate.SQL, "op5_histogram_sort": shards.SQL, "op10_jaccard_join": jaccard.SQL, "op11_conversation_repair": repair.SQL}
+                                  op11_conversation_repair, op12_embedding_whitening, op13_exact_top_k)}
+ORACLES = {"op2_decontamination": decontaminate.SQL, "op5_histogram_sort": shards.SQL, "op10_jaccard_join": jaccard.SQL, "op11_conversation_repair": repair.SQL,
+           "op13_exact_top_k": voronoi.SQL}
