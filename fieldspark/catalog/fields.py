@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from fieldspark.catalog import views as v
 from fieldspark.catalog.registry import query
-from fieldspark.operators import align, climatology, regrid
+from fieldspark.operators import align, climatology, distance, regrid
 from fieldspark.operators import series as s
 from fieldspark.operators.outlines import Grid
 
@@ -71,12 +71,12 @@ GAPS = """WITH p AS (SELECT g.iy, g.ix, h.v, (g.iy - h.iy) ** 2 + (g.ix - h.ix)
 
 @query("J22_nearest_fill", GAPS % 1)
 def _(spark, sf):
-    return v.rounded(regrid.fill_gaps(v.holed(spark, sf), "v"), ["v"], 6)
+    return v.rounded(distance.fill_gaps(v.holed(spark, sf), "v"), ["v"], 6)
 
 
 @query("J22_distance_weighted_fill", GAPS % 4)
 def _(spark, sf):
-    return v.rounded(regrid.fill_gaps(v.holed(spark, sf), "v", neighbours=4), ["v"], 6)
+    return v.rounded(distance.fill_gaps(v.holed(spark, sf), "v", neighbours=4), ["v"], 6)
 
 
 def _tiles(spark, sf):

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldspark.operators import regrid, scan
+from fieldspark.operators import distance, regrid, scan
 from fieldspark.operators.outlines import Grid
 
 
@@ -56,9 +56,7 @@ def on_target_cells(
 ) -> DataFrame:
     """``df`` resampled to ``targets`` (ty, tx, sx, sy), as cells (iy, ix); targets without cover take the nearest covered one."""
     out = regrid.bilinear(targets, df, values, grid, slices=slices).withColumnsRenamed({"ty": "iy", "tx": "ix"})
-    for v in values:
-        out = regrid.fill_gaps(out, v, slices=slices)
-    return out
+    return distance.fill_gaps(out, values, slices=slices)
 
 
 def pair_difference(df: DataFrame, pairs: DataFrame, scenario: str, keys: Sequence[str], values: Mapping[str, Column]) -> DataFrame:

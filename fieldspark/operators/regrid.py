@@ -123,76 +123,3 @@ def two_phase_mosaic(tiles: DataFrame, value: str, region_cells: DataFrame, memb
     one = mosaic(tiles.join(region_cells, ["iy", "ix"]), value, "max", keys=("region", "iy", "ix"))
     two = mosaic(one.join(membership.select("region", "aggregate"), "region"), value, "max", keys=("aggregate", "iy", "ix"))
     return one.unionByName(two.withColumnRenamed("aggregate", "region"))
-
-
-def _around(df: DataFrame, reach: int, keep: Sequence[str]) -> DataFrame:
-    steps = F.sequence(F.lit(-reach), F.lit(reach))
-    return (df.withColumn("__dy", F.explode(steps)).withColumn("__dx", F.explode(steps))
-            .select(*keep, (F.col("iy") + F.col("__dy")).alias("iy"), (F.col("ix") + F.col("__dx")).alias("ix")).distinct())
-
-
-def fill_gaps(field: DataFrame, value: str, neighbours: int = 1, slices: Sequence[str] = (), start: int = 2) -> DataFrame:
-    """Fill missing cells from the nearest valid ones (1) or their inverse-distance mean (k).
-
-    Gap cells are explicit rows with a NULL value; ties in distance go by (iy, ix).
-    The k nearest valid cells of any gap lie within k cells of some gap, so only
-    that rim is searched.  Search radii double until every gap has k neighbours
-    inside the radius (or the rim is exhausted): exact, and deep gaps alone pay
-    for wide rings.  Pending gaps are checkpointed between radii.
-    """
-    k, sl = neighbours, list(slices)
-    spark = field.sparkSession
-    from fieldspark.session import shared_dir
-
-    shared_dir(spark)
-    f = field.select(*sl, "iy", "ix", F.nanvl(F.col(value).cast("double"), F.lit(None)).alias("__v"))
-    valid, gaps = f.where("__v is not null"), f.where("__v is null").drop("__v")
-    inner_edge = _around(gaps, 1, sl).join(valid, [*sl, "iy", "ix"], "left_semi")
-    edge_gaps = _around(inner_edge, 1, sl).join(gaps, [*sl, "iy", "ix"], "left_semi")
-    rim = valid.join(_around(edge_gaps, k, sl), [*sl, "iy", "ix"], "left_semi").checkpoint()
-    extent = rim.agg(F.max("iy") - F.min("iy") + F.max("ix") - F.min("ix")).first()[0]
-    reach = gaps.agg(F.max("iy") - F.min("iy") + F.max("ix") - F.min("ix")).first()[0]
-    rest = [c for c in field.columns if c != value]
-    if extent is None or reach is None:
-        return field
-    stop, radius, pending, parts = 2 * (extent + reach) + 2, start, gaps, []
-    order = Window.partitionBy(*sl, "iy", "ix").orderBy("__d2", "__sy", "__sx")
-    while True:
-        size = radius
-        near = [F.lit(d) for d in (-1, 0, 1)]
-        p = (pending.withColumns({"__by": F.floor(F.col("iy") / size), "__bx": F.floor(F.col("ix") / size)})
-             .withColumn("__by", F.explode(F.transform(F.array(*near), lambda d: F.col("__by") + d)))
-             .withColumn("__bx", F.explode(F.transform(F.array(*near), lambda d: F.col("__bx") + d))))
-        c = rim.select(*sl, F.col("iy").alias("__sy"), F.col("ix").alias("__sx"), "__v",
-                       F.floor(F.col("iy") / size).alias("__by"), F.floor(F.col("ix") / size).alias("__bx"))
-        d2 = (F.col("iy") - F.col("__sy")) ** 2 + (F.col("ix") - F.col("__sx")) ** 2
-        hits = p.join(c, [*sl, "__by", "__bx"]).withColumn("__d2", d2).where(F.col("__d2") <= float(radius * radius))
-        best = hits.withColumn("__rk", F.row_number().over(order)).where(F.col("__rk") <= k)
-        w = 1 / F.sqrt("__d2")
-        got = best.groupBy(*sl, "iy", "ix").agg(
-            F.count(F.lit(1)).alias("__n"), (F.sum(F.col("__v") * w) / F.sum(w)).alias("__f")).checkpoint()
-        last = radius >= stop
-        done = got if last else got.where(F.col("__n") >= k)
-        parts.append(done.drop("__n"))
-        if last:
-            break
-        pending = pending.join(done, [*sl, "iy", "ix"], "left_anti").checkpoint()
-        if pending.isEmpty():
-            break
-        radius *= 2
-    filled = parts[0]
-    for extra in parts[1:]:
-        filled = filled.unionByName(extra)
-    out = field.join(filled, [*sl, "iy", "ix"], "left")
-    return out.select(*rest, F.coalesce(F.nanvl(F.col(value).cast("double"), F.lit(None)), "__f").alias(value))
-
-
-def fill_sparse(field: DataFrame, value: str, slices: Sequence[str]) -> DataFrame:
-    """Nearest fill of NULL cells in fields of which some cells have no row: those count as missing, and get no row."""
-    sl = list(slices)
-    box = field.agg(*[f(c).alias(f"{n}{c}") for c in ("iy", "ix") for n, f in (("lo", F.min), ("hi", F.max))])
-    cells = box.where("loiy is not null").select(F.explode(F.sequence("loiy", "hiiy")).alias("iy"), "loix", "hiix")
-    cells = cells.select("iy", F.explode(F.sequence("loix", "hiix")).alias("ix"))
-    dense = every_slice(cells, field, sl).join(field.select(*sl, "iy", "ix", value), [*sl, "iy", "ix"], "left")
-    done = fill_gaps(dense, value, slices=sl).select(*sl, "iy", "ix", value)
-    return field.drop(value).join(done, [*sl, "iy", "ix"])

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldspark.functions import rules
-from fieldspark.operators import align, climatology, regrid
+from fieldspark.operators import align, climatology, distance, regrid
 from fieldspark.operators import series
 from fieldspark.operators.outlines import Grid
 
@@ -117,11 +117,11 @@ def merge_forcings(
         *[F.max(F.when(F.col("name") == c, F.col("value"))).alias(c) for c in cols])
     monthly, yearly = pivot(["year", "month"], fast), pivot(["year"], slow)
     near = [renames[x] for x, k in kinds.items() if k in ("salinity", "thermal_forcing") and x in renames]
-    for name in near:
-        if name in fast:
-            monthly = regrid.fill_sparse(monthly, name, [*keys, "year", "month"])
-        else:
-            yearly = regrid.fill_sparse(yearly, name, [*keys, "year"])
+    for_fast, for_slow = [n for n in near if n in fast], [n for n in near if n in slow]
+    if for_fast:
+        monthly = distance.fill_gaps(monthly, for_fast, slices=[*keys, "year", "month"])
+    if for_slow:
+        yearly = distance.fill_gaps(yearly, for_slow, slices=[*keys, "year"])
     return monthly, yearly
 
 

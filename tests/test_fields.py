@@ -95,26 +95,6 @@ def test_conservative_keeps_the_integral(spark):
     assert out.agg(F.sum("v")).first()[0] * 2.5 * 1.5 == pytest.approx(a.sum())
 
 
-@pytest.mark.parametrize("k", [1, 4])
-def test_fill_gaps(spark, k):
-    rng = np.random.default_rng(k)
-    a = rng.random((30, 26))
-    a[4:22, 5:20] = np.nan  # deep hole
-    a[rng.random(a.shape) < 0.1] = np.nan
-    two = to_frame(spark, a, s=0).unionByName(to_frame(spark, np.full((4, 4), np.nan), s=1))  # second slice has nothing
-    out = regrid.fill_gaps(two, "v", neighbours=k, slices=["s"])
-    got = to_array(out.where("s = 0"), a.shape)
-    ys, xs = np.nonzero(~np.isnan(a))
-    want = a.copy()
-    for y, x in zip(*np.nonzero(np.isnan(a))):
-        d2 = (ys - y) ** 2 + (xs - x) ** 2
-        best = np.lexsort((xs, ys, d2))[:k]
-        w = 1 / np.sqrt(d2[best])
-        want[y, x] = (a[ys[best], xs[best]] * w).sum() / w.sum()
-    np.testing.assert_allclose(got, want, atol=1e-12)
-    assert out.where("s = 1 and v is not null").isEmpty()
-
-
 @pytest.mark.parametrize("boundary, tile, tol", [("neumann", 12, 1e-4), ("dirichlet", 32, 1e-9), ("periodic", 32, 1e-9)])
 def test_laplace(spark, boundary, tile, tol):
     rng = np.random.default_rng(3)
