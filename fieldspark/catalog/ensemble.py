@@ -16,16 +16,41 @@ U = "('0x' || substr(md5(%s), 1, 8))::BIGINT / 4294967296.0::DOUBLE"
 BLOCKS = """(SELECT exp_id, iy // 4 AS "by", ix // 4 AS bx, sum((sim - obs) ** 2) AS s, count(*) AS c FROM
     (SELECT *, count(sim - obs) OVER (PARTITION BY iy, ix) AS n FROM {simobs}) WHERE n = (SELECT count(DISTINCT exp_id) FROM {simobs})
     AND (iy // 4 + 1) * 4 <= (SELECT max(iy) + 1 FROM {simobs}) AND (ix // 4 + 1) * 4 <= 60 GROUP BY ALL)"""
-BOOT = f"""(WITH b AS MATERIALIZED (SELECT * FROM {BLOCKS}), k AS MATERIALIZED (SELECT "by", bx, row_number() OVER (ORDER BY "by", bx) - 1 AS k FROM (SELECT DISTINCT "by", bx FROM b)),
-    w AS (SELECT boot, CAST(floor({U % "'0|' || boot || '|' || k"} * (SELECT count(*) FROM k)) AS BIGINT) AS k, count(*) AS w FROM k, range(%d) r(boot) GROUP BY ALL)
+M32 = 4294967296
+
+
+def _mix(x: str, source: str, keep: str = "*") -> str:
+    """SQL: ``source`` with the mixed 32-bit number of its expression ``x`` as column h."""
+    a = f"(SELECT {keep}, ({x})::UBIGINT AS h0 FROM {source})"
+    b = f"(SELECT * EXCLUDE h0, xor(h0, h0 >> 16) * 2246822507 % {M32} AS h1 FROM {a})"
+    c = f"(SELECT * EXCLUDE h1, xor(h1, h1 >> 13) * 3266489909 % {M32} AS h2 FROM {b})"
+    return f"(SELECT * EXCLUDE h2, xor(h2, h2 >> 16) AS h FROM {c})"
+
+
+def _start(source: str, node: str) -> str:
+    """SQL: ``source`` (boot, ...) with the start number of a node of the draw tree as column a."""
+    return _mix(f"(h + {node}) % {M32}", _mix("boot", source), "* EXCLUDE h")
+
+
+def _drawn(source: str, i: str) -> str:
+    """SQL: ``source`` (start a, draw i) with the draw's number as column h."""
+    return _mix("xor(a, h)", _mix(i, source), "* EXCLUDE h")
+
+
+def _boot(n_boot: int) -> str:
+    """SQL: RMSE per member and resample, by the same draws."""
+    return f"""(WITH b AS MATERIALIZED (SELECT * FROM {BLOCKS}), k AS MATERIALIZED (SELECT "by", bx, row_number() OVER (ORDER BY "by", bx) - 1 AS k FROM (SELECT DISTINCT "by", bx FROM b)),
+    n AS (SELECT count(*)::UBIGINT AS n FROM k), e AS (SELECT * RENAME (h AS a) FROM {_start(f"(SELECT boot FROM range({n_boot}) r(boot))", "0")}),
+    m AS (SELECT boot, ((h * n) >> 32) // {c.CHUNK} AS chunk, count(*) AS m FROM {_drawn("(SELECT * FROM e, k)", "k")}, n GROUP BY ALL),
+    f AS (SELECT * RENAME (h AS a) FROM {_start("m", "chunk + 1")}),
+    w AS (SELECT boot, (chunk * {c.CHUNK} + ((h * least({c.CHUNK}, n - chunk * {c.CHUNK})) >> 32))::BIGINT AS k, count(*) AS w FROM {_drawn("(SELECT * FROM f, unnest(range(m)) u(i))", "i")}, n GROUP BY ALL)
     SELECT exp_id, CAST(boot AS INT) AS boot, sqrt(sum(w * s) / greatest(sum(w * c), 1)) AS rmse FROM w JOIN k USING (k) JOIN b ON b."by" = k."by" AND b.bx = k.bx GROUP BY exp_id, boot)"""
 
 
 def _blocks(spark, sf):
     li = v.table(spark, sf, "lineitem")
-    size = li.agg(F.max("l_suppkey") + 1).scalar()
-    members = li.agg(F.count_distinct("l_linenumber")).scalar()
-    return c.squared_error_blocks(v.simobs(spark, sf), 4, shape=(size, F.lit(v.NX)), members=members)
+    known = li.agg(F.struct((F.max("l_suppkey") + 1).alias("ny"), F.count_distinct("l_linenumber").alias("members"))).scalar()
+    return c.squared_error_blocks(v.simobs(spark, sf), 4, shape=(known["ny"], F.lit(v.NX)), members=known["members"])
 
 
 @query("A13_squared_error_blocks", f'SELECT exp_id, "by", bx, round(s, 3) AS s, c FROM {BLOCKS}')
@@ -33,12 +58,12 @@ def _(spark, sf):
     return v.rounded(_blocks(spark, sf), ["s"], 3)
 
 
-@query("A14_block_bootstrap_rmse", f"SELECT exp_id, boot, round(rmse, 6) AS rmse FROM {BOOT % 500}")
+@query("A14_block_bootstrap_rmse", f"SELECT exp_id, boot, round(rmse, 6) AS rmse FROM {_boot(500)}")
 def _(spark, sf):
     return v.rounded(c.bootstrap_rmse(_blocks(spark, sf)), ["rmse"], 6)
 
 
-RANK = f"""(WITH r AS (SELECT exp_id, avg(rmse) AS rmse_mean, quantile_cont(rmse, 0.05) AS rmse_lo, quantile_cont(rmse, 0.95) AS rmse_hi FROM {BOOT % 200} GROUP BY exp_id)
+RANK = f"""(WITH r AS (SELECT exp_id, avg(rmse) AS rmse_mean, quantile_cont(rmse, 0.05) AS rmse_lo, quantile_cont(rmse, 0.95) AS rmse_hi FROM {_boot(200)} GROUP BY exp_id)
     SELECT *, rmse_lo <= (SELECT min_by(rmse_hi, (rmse_mean, exp_id)) FROM r) AS tied_with_best FROM r)"""
 RANKS = ["rmse_mean", "rmse_lo", "rmse_hi"]
 

@@ -139,7 +139,7 @@ def _(spark, sf):
     g AS (SELECT x.scenario, x.month, x.ty, x.tx, min_by({'tas': o.tas, 'pr': o.pr}, ((x.ty - o.ty) ** 2 + (x.tx - o.tx) ** 2, o.ty, o.tx)) AS near FROM r x JOIN r o USING (scenario, month)
       WHERE x.tas IS NULL AND o.tas IS NOT NULL GROUP BY ALL),
     f AS (SELECT scenario, month, ty, tx, coalesce(r.tas, near.tas) AS tas, coalesce(r.pr, near.pr) AS pr FROM r LEFT JOIN g USING (scenario, month, ty, tx))
-    SELECT model, f.month, f.ty AS iy, f.tx AS ix, round(f.tas - p.tas, 5) + 0.0 AS tas, round(f.pr - p.pr, 3) + 0.0 AS pr FROM (VALUES ('m1', 'R', 'A'), ('m2', 'N', 'A')) q(model, future, present)
+    SELECT model, f.month, f.ty AS iy, f.tx AS ix, round(f.tas - p.tas, 5) + 0.0 AS tas, round((f.pr - p.pr) / 86400, 9) + 0.0 AS pr FROM (VALUES ('m1', 'R', 'A'), ('m2', 'N', 'A')) q(model, future, present)
     JOIN f ON f.scenario = future JOIN f p ON p.scenario = present AND p.month = f.month AND p.ty = f.ty AND p.tx = f.tx""")
 def _(spark, sf):
     pairs = F.broadcast(spark.createDataFrame([("m1", "R", "A"), ("m2", "N", "A")], "model string, future string, present string"))
@@ -148,7 +148,8 @@ def _(spark, sf):
     mean = _mean(spark, sf, "scenario").withColumn("pr", F.greatest("pr", F.lit(0.0)) * 86400)
     cells = align.on_target_cells(mean, t, ["scenario", "month"], ["tas", "pr"])
     out = align.pair_difference(cells, pairs, "scenario", ["month", "iy", "ix"], {"tas": F.col("tas"), "pr": F.col("pr")})
-    return v.rounded(v.rounded(out, ["tas"], 5), ["pr"], 3)
+    # compared per second: amounts a day lie on halves of a last digit
+    return v.rounded(v.rounded(out, ["tas"], 5).withColumn("pr", F.col("pr") / 86400), ["pr"], 9)
 
 
 @query("J11_experiment_minus_baseline", """SELECT s.exp_id, s.gcm_id, s.month, round(s.value - b.value, 2) + 0.0 AS value FROM {series} s

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from fieldspark.functions.hashing import hashed_uniform
 from fieldspark.operators import align, scan
@@ -37,30 +39,95 @@ def squared_error_blocks(
     ny, nx = shape
     side_y, side_x = F.least(F.lit(block), ny), F.least(F.lit(block), nx)
     err = _finite(F.col(sim).cast("double")) - _finite(F.col(obs).cast("double"))
-    cell = Window.partitionBy("iy", "ix")  # one row per member
-    d = df.withColumn("__e", err).withColumn("__n", F.count("__e").over(cell))
-    d = d.where(F.col("__n") == members).withColumns({"by": F.floor(F.col("iy") / side_y), "bx": F.floor(F.col("ix") / side_x)})
-    d = d.where(((F.col("by") + 1) * side_y <= ny) & ((F.col("bx") + 1) * side_x <= nx))
-    return d.groupBy(member, "by", "bx").agg(F.sum(F.col("__e") * F.col("__e")).alias("s"), F.count(F.lit(1)).alias("c"))
-
-
-def bootstrap_rmse(blocks: DataFrame, n_boot: int = 500, seed: int = 0, member: str = "exp_id") -> DataFrame:
+    by, bx = F.floor(F.col("iy") / side_y).alias("by"), F.floor(F.col("ix") / side_x).alias("bx")
+    inside = ((by + 1) * side_y <= ny) & ((bx + 1) * side_x <= nx)
+    cells = df.where(inside).select("iy", "ix", F.struct(F.col(member).alias("member"), err.alias("e")).alias("x")).groupBy("iy", "ix").agg(
+        F.collect_list("x").alias("x"), F.count("x.e").alias("n"))  # one row a cell, with the errors of its members
+    each = cells.where(F.col("n") == members).select(by, bx, F.inline("x")).where("e is not null")
+    return each.groupBy(F.col("member").alias(member), "by", "bx").agg(F.sum(F.col("e") * F.col("e")).alias("s"), F.count(F.lit(1)).alias("c"))
+
+
+#: Blocks of a chunk, and draws that a task counts at a time.
+CHUNK, DRAWS = 1024, 1 << 20
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """Well spread 32-bit numbers for 32-bit numbers (held as unsigned longs)."""
+    low = np.uint64(0xFFFFFFFF)
+    for shift, factor in ((16, 0x85EBCA6B), (13, 0xC2B2AE35)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor) & low
+    return x ^ (x >> np.uint64(16))
+
+
+def draw_indices(seed: int, boot: np.ndarray, node: int, draws: np.ndarray, size: int) -> np.ndarray:
+    """Numbers below ``size`` of the draws of a node of the tree: 0 is the root, k + 1 chunk k."""
+    as_uint = lambda v: np.asarray(v).astype(np.uint64)
+    low = np.uint64(0xFFFFFFFF)
+    start = _mixed((_mixed((as_uint(boot) + np.uint64(seed % 2**32)) & low) + np.uint64(node)) & low)
+    return (_mixed(start ^ _mixed(as_uint(draws))) * np.uint64(size)) >> np.uint64(32)
+
+
+def _chunk_draws(spark, n: int, n_boot: int, seed: int, chunk: int) -> DataFrame:
+    """How many of the n draws of each resample fall into each chunk: one row for each, counted before the exchange."""
+    boots = spark.range(n_boot).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit((n - 1) // DRAWS)))).repartition("id", "part")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for boot, part in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                draws = np.arange(part * DRAWS, min(n, (part + 1) * DRAWS))
+                m = np.bincount((draw_indices(seed, boot, 0, draws, n) // np.uint64(chunk)).astype(np.int64))
+                there = np.flatnonzero(m)
+                yield pa.RecordBatch.from_arrays([pa.array(there), pa.array(np.full(len(there), boot, dtype=np.int32)), pa.array(m[there])], ["chunk", "boot", "m"])
+
+    return boots.mapInArrow(run, "chunk long, boot int, m long").groupBy("chunk", "boot").agg(F.sum("m").alias("m"))
+
+
+def _chunk_sums(n: int, n_boot: int, seed: int, chunk: int, kind: pa.DataType):
+    """Of one chunk: (resamples x blocks) draw counts times (blocks x members) sums."""
+    names = ["member", "boot", "s", "c"]
+
+    def run(blocks: pa.Table, draws: pa.Table) -> pa.Table:
+        if not blocks.num_rows or not draws.num_rows:
+            return pa.table([pa.array([], t) for t in (kind, pa.int32(), pa.float64(), pa.float64())], names)
+        number = blocks.column("chunk")[0].as_py()
+        size = min(chunk, n - number * chunk)
+        boots, m = draws.column("boot").to_numpy(), draws.column("m").to_numpy()
+        counts = np.zeros((n_boot, size))
+        for boot, k in zip(boots, m):
+            counts[boot] = np.bincount(draw_indices(seed, boot, number + 1, np.arange(k), size).astype(np.int64), minlength=size)
+        members = blocks.column("member").combine_chunks().dictionary_encode()
+        at, who = blocks.column("at").to_numpy(), members.indices.to_numpy()
+        out = []
+        for name in ("s", "c"):
+            sums = np.zeros((size, len(members.dictionary)))
+            sums[at, who] = blocks.column(name).to_numpy()
+            out.append(pa.array((counts @ sums).ravel()))
+        who = pa.array(np.tile(np.arange(len(members.dictionary)), n_boot))
+        return pa.table([members.dictionary.take(who), pa.array(np.repeat(np.arange(n_boot, dtype=np.int32), len(members.dictionary))), *out], names)
+
+    return run
+
+
+def bootstrap_rmse(blocks: DataFrame, n_boot: int = 500, seed: int = 0, member: str = "exp_id", chunk: int = CHUNK) -> DataFrame:
     """RMSE per member and resample of the non-empty blocks, the same draw for all members.
 
-    Every resample draws as many blocks as there are.  Draws are counted per
-    block first, so members join weights, not single draws.  The block sums are
-    checkpointed: the fields behind them are read once.
+    Every resample draws as many blocks as there are, down a seeded tree: the draws of a resample are first
+    counted by chunks of blocks, and those of a chunk spread over its blocks in the task that holds the
+    chunk's sums, as a product of matrices.  Only (resample, chunk) counts and (resample, member) sums are
+    exchanged.  The block sums are checkpointed: the fields behind them are read once.
     """
-    shared_dir(blocks.sparkSession)
+    spark = blocks.sparkSession
+    shared_dir(spark)
     blocks = blocks.checkpoint()
     b = blocks.groupBy("by", "bx").agg(F.max("c").alias("c")).where(F.col("c") > 0)
-    b = scan.dense_index(b, [], ["by", "bx"], F.col("by"), "k")
-    n = b.agg(F.count(F.lit(1))).scalar()
-    draws = b.select("k", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))).alias("boot"))
-    pick = F.floor(hashed_uniform(F.lit(seed), F.col("boot"), F.col("k")) * n)
-    weights = draws.groupBy("boot", pick.alias("k")).agg(F.count(F.lit(1)).alias("w"))
-    sums = blocks.join(b.select("by", "bx", "k"), ["by", "bx"]).select(member, "k", "s", "c")
-    out = weights.join(sums, "k").groupBy(member, "boot").agg(F.sum(F.col("w") * F.col("s")).alias("s"), F.sum(F.col("w") * F.col("c")).alias("c"))
+    b = scan.dense_index(b, [], ["by", "bx"], F.col("by"), "k").select("by", "bx", "k").checkpoint()
+    n = b.count()
+    sums = blocks.join(b, ["by", "bx"]).select(
+        F.floor(F.col("k") / chunk).alias("chunk"), (F.col("k") % chunk).alias("at"), F.col(member).alias("member"), "s", F.col("c").cast("double").alias("c"))
+    type_ = dict(blocks.dtypes)[member]
+    parts = sums.groupBy("chunk").cogroup(_chunk_draws(spark, max(n, 1), n_boot, seed, chunk).groupBy("chunk")).applyInArrow(
+        _chunk_sums(n, n_boot, seed, chunk, to_arrow_type(sums.schema["member"].dataType)), f"member {type_}, boot int, s double, c double")
+    out = parts.groupBy(F.col("member").alias(member), "boot").agg(F.sum("s").alias("s"), F.sum("c").alias("c"))
     return out.select(member, "boot", F.sqrt(F.col("s") / F.greatest("c", F.lit(1))).alias("rmse"))
 
 

@@ -17,7 +17,6 @@ from fieldspark.operators import calibrate as c
 from fieldspark.operators import design as d
 from fieldspark.operators import quality
 from fieldspark.plans import forcing
-from fieldspark.streaming import incremental
 
 
 @pytest.mark.parametrize("shape", [(40, 33), (70, 64)])
@@ -63,12 +62,37 @@ def test_blocks_and_bootstrap(spark, block):
                     s, k = got.pop((e, j, i))
                     assert k == n and s == pytest.approx(((sim[e] - obs)[part][ok[part]] ** 2).sum())
     assert not got
-    rmse = c.bootstrap_rmse(blocks, n_boot=40)
-    assert rmse.count() == 160
+    rmse = c.bootstrap_rmse(blocks, n_boot=40, seed=5, chunk=3)
+    sums = {(r.exp_id, r.by, r.bx): (r.s, r.c) for r in blocks.collect()}
+    places = sorted({k[1:] for k in sums})
+    n, want = len(places), {}
+    for boot in range(40):
+        drawn = []
+        chunks = np.bincount((c.draw_indices(5, boot, 0, np.arange(n), n) // np.uint64(3)).astype(int))
+        for k, m in enumerate(chunks):
+            drawn += [places[3 * k + int(i)] for i in c.draw_indices(5, boot, k + 1, np.arange(m), min(3, n - 3 * k))]
+        assert len(drawn) == n
+        for e in range(4):
+            s, k = (sum(sums[e, *p][i] for p in drawn) for i in (0, 1))
+            want[e, boot] = math.sqrt(s / max(k, 1))
+    assert {(r.exp_id, r.boot): pytest.approx(r.rmse) for r in rmse.collect()} == want
     ranked = c.rank_members(rmse).collect()
     assert min(ranked, key=lambda r: r.rmse_mean).tied_with_best
 
 
+def test_draws_are_uniform_and_differ():
+    """Counts of a chunk's draws over resamples against the multinomial law."""
+    x = np.array([np.bincount(c.draw_indices(1, boot, 0, np.arange(1000), 50).astype(int), minlength=50) for boot in range(400)])
+    assert (x.sum(axis=1) == 1000).all() and abs(x.mean() - 20) < 1e-9
+    assert abs(x.var() - 1000 * 0.02 * 0.98) < 1.0 and np.abs(x.mean(axis=0) - 20).max() < 1.2
+    assert np.abs(np.corrcoef(x[:, 0], x[:, 1:].T)[0, 1:]).mean() < 0.1
+
+
+def test_bootstrap_without_blocks(spark):
+    none = spark.createDataFrame([], "exp_id int, by long, bx long, s double, c long")
+    assert c.bootstrap_rmse(none, 10).collect() == []
+
+
 def test_resampling(spark):
     w = spark.createDataFrame([(i, x) for i, x in enumerate((0.5, 0.0, 0.3, 0.2))], "exp_id int, w double")
     n = {r.exp_id: r["n"] for r in c.draw_counts(c.resample(w, "exp_id", "w", 4000), "exp_id").collect()}
@@ -175,15 +199,3 @@ def test_health_checks(spark):
     rep = quality.check_cubes(spark.createDataFrame(pdf), "n", ["v"], ["v"], window=2)
     assert {r.n: list(r.errors) for r in rep.collect()} == {"good": [], "bad": ["ValueError: y is not strictly monotonic"]}
     assert quality.exit_code(rep) == 1 and quality.exit_code(rep.where("n = 'good'")) == 0
-
-
-def test_incremental_runs_do_not_repeat(spark, tmp_path):
-    schema = "ts timestamp, k string, v double"
-    src, out, ck = (str(tmp_path / n) for n in ("in", "out", "ck"))
-    rows = lambda days: spark.createDataFrame([(f"2024-01-{x:02d} 00:00:00", "a", 1.0) for x in days], "ts string, k string, v double").withColumn("ts", F.to_timestamp("ts"))
-    total = 0
-    for days in ((1, 2, 9), (10, 16), (28,)):
-        rows(days).write.mode("append").parquet(src)
-        incremental.rollup_new_files(spark, src, spark.createDataFrame([], schema).schema, out, ck, "ts", "v", ["k"])
-        total = spark.read.parquet(out).agg(F.sum("n")).first()[0] or 0
-    assert total == 5  # all but the open window of the 28th
