@@ -6,7 +6,6 @@ import math
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -269,77 +268,95 @@ def importance_sampling(
 # -------------------------------------------------------- correlation length
 
 
-def _tile_lags(radius: int, tile: int, ny: int, nx: int, keys: list[str]):
-    """Partial circular autocovariances of one tile, summed per integer radius."""
-    cy, cx = ny // 2, nx // 2
-    lags = [(dy, dx, int(math.hypot(dy, dx))) for dy in range(-radius - 1, radius + 2) for dx in range(-radius - 1, radius + 2)
-            if -cy <= dy < ny - cy and -cx <= dx < nx - cx and int(math.hypot(dy, dx)) <= radius]
-    halo = radius + 1
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        a = np.zeros((tile + 2 * halo, tile + 2 * halo))
-        a[pdf["py"].to_numpy() + halo, pdf["px"].to_numpy() + halo] = pdf["a"].to_numpy()
-        ty, tx = int(pdf["ty"].iloc[0]), int(pdf["tx"].iloc[0])
-        h, w = min(tile, ny - ty * tile), min(tile, nx - tx * tile)
-        core = a[halo:halo + h, halo:halo + w]
-        out = np.zeros(radius + 1)
-        for dy, dx, r in lags:
-            out[r] += float((core * a[halo + dy:halo + dy + h, halo + dx:halo + dx + w]).sum())
-        res = pd.DataFrame({"r": np.arange(radius + 1), "s": out})
-        for k in keys:
-            res[k] = pdf[k].iloc[0]
-        return res[[*keys, "r", "s"]]
-
-    counts = [0] * (radius + 1)
-    for _, _, r in lags:
-        counts[r] += 1
-    return run, counts
+#: Rows of a band in the first pass of the transform, and columns of a band in the second.
+FOURIER_BAND = 64
+#: Lags along y that are turned back at a time.
+LAG_ROWS = 256
+
+
+def _row_spectra(nx: int, band: int, keys: Sequence[str]):
+    """Of a band of rows: their transforms along x, cut into bands of columns, as blocks of complex numbers."""
+
+    def run(table: pa.Table) -> pa.Table:
+        y, x = table.column("iy").to_numpy(), table.column("ix").to_numpy()
+        ys, r = np.unique(y, return_inverse=True)
+        rows = np.zeros((len(ys), nx))
+        np.add.at(rows, (r, x), table.column("a").to_numpy())
+        spectra = np.fft.rfft(rows, axis=1)
+        cuts = range(0, spectra.shape[1], band)
+        return pa.table({**{k: pa.array([table.column(k)[0].as_py()] * len(cuts), table.schema.field(k).type) for k in keys},
+                         "kx": pa.array([c // band for c in cuts], pa.int64()), "rows": pa.array([ys.tolist()] * len(cuts), pa.list_(pa.int64())),
+                         "block": pa.array([np.ascontiguousarray(spectra[:, c:c + band]).tobytes() for c in cuts])})
+
+    return run
+
+
+def _column_radials(ny: int, nx: int, band: int, keys: Sequence[str]):
+    """Of a band of columns: their share of the autocovariance sums by whole radius."""
+    rmax = min(ny // 2, nx // 2)
+    lags = lambda n: np.arange(max(-(n // 2), -rmax), min(n - n // 2, rmax + 1))
+
+    def run(table: pa.Table) -> pa.Table:
+        first = table.column("kx")[0].as_py() * band
+        width = min(band, nx // 2 + 1 - first)
+        spectra = np.zeros((ny, width), dtype=np.complex128)
+        for rows, block in zip(table.column("rows").to_pylist(), table.column("block").to_pylist()):
+            spectra[rows] = np.frombuffer(block, dtype=np.complex128).reshape(len(rows), width)
+        covariance = np.fft.ifft(np.abs(np.fft.fft(spectra, axis=0)) ** 2, axis=0)
+        kx, dy, dx = first + np.arange(width), lags(ny), lags(nx)
+        twice = np.where((kx == 0) | (2 * kx == nx), 1.0, 2.0)  # columns that stand for their mirror image too
+        angle = (np.outer(kx, dx) % nx) * (2 * math.pi / nx)
+        back = np.exp(1j * angle) * twice[:, None] / nx
+        out = np.zeros(rmax + 1)
+        for k in range(0, len(dy), LAG_ROWS):
+            part = dy[k:k + LAG_ROWS]
+            acf = covariance[part].real @ back.real - covariance[part].imag @ back.imag
+            radius = np.hypot(part[:, None], dx[None, :]).astype(np.int64)
+            near = radius <= rmax
+            out += np.bincount(radius[near], acf[near], minlength=rmax + 1)
+        return pa.table({**{k: pa.array([table.column(k)[0].as_py()] * (rmax + 1), table.schema.field(k).type) for k in keys},
+                         "r": pa.array(np.arange(rmax + 1, dtype=np.int32)), "s": pa.array(out)})
+
+    return run
+
+
+def _lag_counts(ny: int, nx: int) -> list[int]:
+    """Lags of each whole radius, up to half the shorter side."""
+    rmax = min(ny // 2, nx // 2)
+    out = np.zeros(rmax + 1, dtype=np.int64)
+    dx = np.arange(-(nx // 2), nx - nx // 2)
+    for dy in range(max(-(ny // 2), -rmax), min(ny - ny // 2, rmax + 1)):
+        r = np.hypot(dy, dx).astype(np.int64)
+        out += np.bincount(r[r <= rmax], minlength=rmax + 1)
+    return out.tolist()
 
 
 def decorrelation_length(
-    df: DataFrame, value: str, ny: int, nx: int, keys: Sequence[str], pixel: float = 1.0, threshold: float = math.exp(-1), tile: int = 64,
+    df: DataFrame, value: str, ny: int, nx: int, keys: Sequence[str], pixel: float = 1.0, threshold: float = math.exp(-1), band: int = FOURIER_BAND,
 ) -> DataFrame:
     """Lag at which the radially averaged circular autocorrelation falls below ``threshold``, per field.
 
-    Missing cells count as the field's mean.  Tiles with a halo bound each
-    task; radii double until every field has crossed the threshold or the
-    largest radius is reached.
+    Missing cells count as the field's mean; cells beyond the grid wrap around.  The autocovariance comes from
+    a Fourier transform in two passes: bands of rows, one exchange that transposes their blocks, bands of
+    columns, which turn their power back along y and add their share of every lag to the sums by radius.  So
+    all radii are exact at once, and a task holds a band of rows or columns only.
     """
     ks, rmax = list(keys), min(ny // 2, nx // 2)
     v = _finite(F.col(value).cast("double"))
     mean = df.groupBy(*ks).agg(F.avg(v).alias("__m"), F.count(v).alias("__n"))
-    a = df.where(v.isNotNull()).join(mean, ks).select(*ks, "iy", "ix", (v - F.col("__m")).alias("a"))
-    var = a.groupBy(*ks).agg(F.sum(F.col("a") * F.col("a")).alias("v0"))
-    fields = mean.join(var, ks, "left")
-    types = dict(df.dtypes)
-    schema = ", ".join([*[f"`{k}` {types[k]}" for k in ks], "r int", "s double"])
-    done, open_fields, radius = None, fields.where("__n > 0").select(*ks, "v0").checkpoint(), min(4, rmax)
-    while True:
-        run, counts = _tile_lags(radius, tile, ny, nx, ks)
-        halo = radius + 1
-        axis = lambda i, n: F.explode(F.array(*[F.col(i) + k * n for k in (-1, 0, 1)]))
-        home = lambda p, n: F.explode(F.expr(
-            f"filter(sequence(cast(floor(({p} - {halo}) / {tile}) as int), cast(floor(({p} + {halo}) / {tile}) as int)), "
-            f"t -> t >= 0 and t <= {(n - 1) // tile})"))
-        t = a.join(open_fields.select(*ks), ks).withColumn("gy", axis("iy", ny)).where(f"gy >= {-halo} and gy < {ny + halo}")
-        t = t.withColumn("ty", home("gy", ny)).withColumn("gx", axis("ix", nx)).where(f"gx >= {-halo} and gx < {nx + halo}")
-        t = t.withColumn("tx", home("gx", nx)).withColumns({
-            "py": (F.col("gy") - F.col("ty") * tile).cast("int"), "px": (F.col("gx") - F.col("tx") * tile).cast("int")})
-        inside = " and ".join(f"{p} >= {-halo} and {p} < {tile + halo}" for p in ("py", "px"))
-        parts = t.where(inside).select(*ks, "ty", "tx", "py", "px", "a").groupBy(*ks, "ty", "tx").applyInPandas(run, schema)
-        n = F.element_at(F.array(*[F.lit(float(max(c, 1))) for c in counts]), F.col("r") + 1)
-        radial = parts.groupBy(*ks, "r").agg(F.sum("s").alias("s")).join(open_fields, ks).select(
-            *ks, "r", F.try_divide(F.col("s") / n, F.col("v0")).alias("acf"))
-        hit = radial.groupBy(*ks).agg(F.min(F.when(F.col("acf") < threshold, F.col("r"))).alias("lag"))
-        if radius >= rmax:
-            hit = hit.withColumn("lag", F.coalesce("lag", F.lit(rmax)))
-        found = hit.where("lag is not null").checkpoint()
-        done = found if done is None else done.unionByName(found)
-        open_fields = open_fields.join(found, ks, "left_anti").checkpoint()
-        if radius >= rmax or open_fields.isEmpty():
-            break
-        radius = min(radius * 2, rmax)
-    return fields.select(*ks).join(done, ks, "left").select(*ks, (F.col("lag") * float(pixel)).alias("length"))
+    a = df.where(v.isNotNull()).join(mean.select(*ks, "__m"), ks).select(
+        *ks, F.pmod(F.col("iy").cast("long"), F.lit(ny)).alias("iy"), F.pmod(F.col("ix").cast("long"), F.lit(nx)).alias("ix"), (v - F.col("__m")).alias("a"))
+    names = "".join(f"`{k}` {dict(df.dtypes)[k]}, " for k in ks)
+    blocks = a.withColumn("__rows", F.floor(F.col("iy") / band)).groupBy(*ks, "__rows").applyInArrow(
+        _row_spectra(nx, band, ks), f"{names}kx long, rows array<bigint>, block binary")
+    sums = blocks.groupBy(*ks, "kx").applyInArrow(_column_radials(ny, nx, band, ks), f"{names}r int, s double").groupBy(*ks, "r").agg(F.sum("s").alias("s"))
+    n = df.sparkSession.createDataFrame([(r, float(max(c, 1))) for r, c in enumerate(_lag_counts(ny, nx))], "r int, n double")
+    radial = sums.join(n, "r").select(*ks, "r", (F.col("s") / F.col("n")).alias("c"))
+    first = radial.groupBy(*ks).agg(F.sum(F.when(F.col("r") == 0, F.col("c"))).alias("v0"), F.sort_array(F.collect_list(F.struct("r", "c"))).alias("x"))  # rmax values
+    below = F.filter("x", lambda e: e["c"] < threshold * F.col("v0"))
+    lag = F.when(F.col("v0") > 0, F.try_element_at(below, F.lit(1))["r"])
+    return mean.join(first.select(*ks, lag.alias("lag")), ks, "left").select(
+        *ks, F.when(F.col("__n") > 0, F.coalesce("lag", F.lit(rmax)) * float(pixel)).alias("length"))
 
 
 # ------------------------------------------------------------------ reports

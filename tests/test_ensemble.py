@@ -19,16 +19,16 @@ from fieldspark.operators import quality
 from fieldspark.plans import forcing
 
 
-@pytest.mark.parametrize("shape", [(40, 33), (70, 64)])
+@pytest.mark.parametrize("shape", [(40, 33), (70, 64), (5, 90), (31, 31)])
 def test_decorrelation_length(spark, shape):
     rng = np.random.default_rng(0)
     ny, nx = shape
     yy, xx = np.indices(shape)
     fields = {"wave": np.sin(yy / 4.0) + np.cos(xx / 5.0) + 0.1 * rng.normal(size=shape), "noise": rng.normal(size=shape),
-              "ramp": yy * 1.0, "empty": np.full(shape, np.nan)}
+              "ramp": yy * 1.0, "empty": np.full(shape, np.nan), "flat": np.full(shape, 3.0), "column": xx % 2 * 1.0}
     fields["wave"][3:6, 4:9] = np.nan
     pdf = pd.concat([pd.DataFrame({"f": n, "iy": yy.ravel(), "ix": xx.ravel(), "v": a.ravel()}) for n, a in fields.items()])
-    got = {r.f: r.length for r in c.decorrelation_length(spark.createDataFrame(pdf), "v", ny, nx, ["f"], pixel=10.0, tile=16).collect()}
+    got = {r.f: r.length for r in c.decorrelation_length(spark.createDataFrame(pdf), "v", ny, nx, ["f"], pixel=10.0, band=16).collect()}
     for name, a in fields.items():
         if name == "empty":
             assert got[name] is None
