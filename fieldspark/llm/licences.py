@@ -4,9 +4,12 @@ Of each template and text, hashes of GRAM consecutive words are winnowed: the sm
 WINDOW ones is kept, so a shared run of GRAM + WINDOW - 1 words always shares a fingerprint.  An
 inverted index from fingerprint to (template, place) gives hits (of templates of up to SHORT words also by every run of
 NEAR words, so that any two neighbouring words of a notice are enough to try it).  These hits come with their diagonal, the place in the
-text less the place in the template.  Hits of one template on near diagonals and places are one
-candidate, which is aligned with the template inside a band around its diagonal; the alignment's
-matched words give the covered share of the template and the span of the text.
+text less the place in the template.  Hits of a short template on near diagonals and places are one
+candidate.  Those of a long one are chained, so that they rise in both texts, and cut where more words
+than a passage put in may have lie between; pieces with enough anchors are candidates.  A candidate is
+aligned with its template inside a band around its anchors' diagonals, which widens to the gap between
+two anchors; the alignment's matched words give the covered share of the template and the span of the
+text, an inserted passage included.  Of matches that overlap the one with the most words is reported.
 
 The index holds templates alone, whose number and length the caller gives, and goes to the tasks
 after a check of its size.  Defined cases: null, empty and wordless texts have no matches; a template
@@ -16,6 +19,7 @@ matches; extra columns are not read.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from pathlib import Path
 
 import numpy as np
@@ -32,6 +36,10 @@ WINDOW = 3
 SHORT, NEAR = 40, 2
 #: Diagonals on either side of a candidate's that the alignment may use.
 BAND = 6
+#: Words that may be put into a long template in one place, and the share of its words that must be anchors of a piece.
+PASSAGE, ANCHORS = 200, 0.02
+#: Anchors in a row on near diagonals that bend the band, at least (and the share ANCHORS of a piece).
+STEADY = 3
 #: Least share of a template's words that a match covers.
 COVERAGE = 0.7
 TEMPLATE_WORDS = 2_000_000
@@ -109,59 +117,130 @@ def _known(index: Index, h: np.ndarray) -> np.ndarray:
     return index.key[np.minimum(np.searchsorted(index.key, h), len(index.key) - 1)] == h
 
 
-def within_reach(text: np.ndarray, template: np.ndarray, diagonal: int, least: float) -> bool:
+def within_reach(text: np.ndarray, template: np.ndarray, lo: int, hi: int, least: float) -> bool:
     """Whether the words that the band reaches can match so many of the template's; a bound, so no match is lost."""
-    reach = text[max(0, diagonal - BAND):max(0, diagonal + len(template) + BAND)]
+    reach = text[max(0, lo):max(0, hi)]
     return len(reach) >= least and np.isin(template, reach).sum() >= least
 
 
-def align(text: np.ndarray, template: np.ndarray, diagonal: int) -> tuple[int, int, int]:
+def band(n: int, places: np.ndarray, diagonals: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each word of a template of n words, the text words that may match it: BAND around the anchors' diagonals.
+
+    Anchors rise in both texts; between two of them the band holds both diagonals, so that it widens to a gap.
+    """
+    after = np.searchsorted(places, np.arange(n))
+    before, after = np.clip(after - 1, 0, None), np.clip(after, None, len(places) - 1)
+    d, e = diagonals[before], diagonals[after]
+    lo, hi = np.arange(n) + np.minimum(d, e) - BAND, np.arange(n) + np.maximum(d, e) + BAND + 1
+    return np.minimum.accumulate(lo[::-1])[::-1], np.maximum.accumulate(hi)
+
+
+#: A match weighs more than any place in a text.
+MATCH = 1 << 32
+
+
+def align(text: np.ndarray, template: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[int, int, int]:
     """(matched words, first, behind last word of the text) of the best common subsequence in the band.
 
-    Among alignments with equally many matches the one with the shortest span of the text counts.
+    Row by row of the template; a cell holds matches and, among equally many, the last first word.  Among
+    alignments with equally many matches the one with the shortest span of the text counts.
     """
-    width = 2 * BAND + 1
-    best = [(0, 0)] * (width + 2)  # by diagonal offset: (matches, -first word); shifted by one
-    end_best, end_at, first = (0, -(1 << 60)), 0, 0
-    for i in range(len(template)):
-        row = [(0, -(1 << 60))] * (width + 2)
-        for k in range(width):
-            j = i + diagonal + k - BAND
-            stay = row[k]  # one text word is skipped
-            skip = best[k + 2]  # one template word is skipped
-            here = max(stay, skip)
-            if 0 <= j < len(text) and text[j] == template[i]:
-                before = best[k + 1]
-                took = (before[0] + 1, before[1] if before[0] else -j)
-                here = max(here, took)
-                if here == took and (took[0], took[1] - j) > (end_best[0], end_best[1]):
-                    end_best, end_at = (took[0], took[1] - j), j + 1
-                    first = -took[1]
-            row[k + 1] = here
-        best = row
-    return (end_best[0], first, end_at) if end_best[0] else (0, 0, 0)
+    start, end = max(0, int(lo[0])), min(len(text), int(hi[-1]))
+    if start >= end:
+        return 0, 0, 0
+    words, best, reached = text[start:end], np.zeros(end - start + 1, dtype=np.int64), 0
+    for word, a, b in zip(template.tolist(), np.clip(lo - start, 0, end - start).tolist(), np.clip(hi - start, 0, end - start).tolist()):
+        if b > reached:
+            best[reached + 1:b + 1] = best[reached]
+            reached = b
+        if a >= b:
+            continue
+        same = np.flatnonzero(words[a:b] == word)
+        if len(same):
+            before = best[a + same]
+            row = best[a + 1:b + 1].copy()
+            row[same] = np.maximum(row[same], np.where(before > 0, before + MATCH, MATCH + a + same))
+            best[a + 1:b + 1] = np.maximum.accumulate(row)
+            np.maximum(best[b + 1:reached + 1], best[b], out=best[b + 1:reached + 1])
+    n = int(best[reached] // MATCH)
+    if not n:
+        return 0, 0, 0
+    ends = np.flatnonzero(best[:reached + 1] // MATCH == n)
+    first = best[ends] % MATCH
+    k = int(np.argmin(ends - first))
+    return n, start + int(first[k]), start + int(ends[k])
+
+
+def chain(at: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Hits (numbers) of a longest chain that rises in the text and in the template."""
+    order = np.lexsort((-place, at))
+    tails, last, back = [], [], np.full(len(at), -1)
+    for k in order.tolist():
+        q = int(place[k])
+        i = bisect_left(tails, q)
+        back[k] = last[i - 1] if i else -1
+        tails[i:i + 1], last[i:i + 1] = [q], [k]
+    out, k = [], last[-1] if last else -1
+    while k >= 0:
+        out.append(k)
+        k = int(back[k])
+    return np.array(out[::-1], dtype=np.int64)
+
+
+def long_matches(text: np.ndarray, template: np.ndarray, at: np.ndarray, place: np.ndarray, coverage: float) -> list[tuple[int, int, int]]:
+    """(matched words, first, behind last) of a long template, from its hits by chains of anchors.
+
+    A chain is cut where more words lie between two anchors than a passage put in may have; a piece with too few
+    anchors is not aligned.  The band goes on to both ends of the template, so that a piece finds all of its match.
+    """
+    n, out = len(template), []
+    passage, least = min(PASSAGE, max(BAND, n // 2)), ANCHORS * n
+    while len(at) >= least:
+        anchors = chain(at, place)
+        if len(anchors) < least:
+            break
+        p, q = at[anchors], place[anchors]
+        used = np.zeros(len(at), dtype=bool)
+        for piece in np.split(np.arange(len(p)), np.flatnonzero(np.diff(p) - np.diff(q) > passage) + 1):
+            done = np.zeros(len(at), dtype=bool)
+            done[anchors[piece]] = True  # unless a match is found: then what lies outside it stays for another one
+            if len(piece) < least:
+                used |= done
+                continue
+            runs = np.split(piece, np.flatnonzero(np.abs(np.diff((p - q)[piece])) > BAND // 2) + 1)
+            piece = np.concatenate([r for r in runs if len(r) >= max(STEADY, ANCHORS * len(piece))] or [piece])  # chance hits stand alone on their diagonals
+            lo, hi = band(n, q[piece], (p - q)[piece])
+            if within_reach(text, template, int(lo[0]), int(hi[-1]), coverage * n):
+                m, a, b = align(text, template, lo, hi)
+                if m and m >= coverage * n:
+                    out.append((m, a, b))
+                    within = (at >= a) & (at < b)
+                    done = within if within.any() else done
+            used |= done
+        at, place = at[~used], place[~used]
+    return out
 
 
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, id_col: str = "doc_id", text_col: str = "text", coverage: float = COVERAGE) -> DataFrame:
     """One row per document and match: template, matched and all words of it, coverage, span of words and its text."""
     docs = narrow(docs, doc_id=id_col, text=text_col)
     index, near = Index(templates or TEMPLATES), Index(templates or TEMPLATES, NEAR, SHORT)
+    size = np.array([len(w) for w in index.words], dtype=np.int64)
     schema = pa.schema([("doc_id", arrow_type(docs, "doc_id")), ("template", pa.string()), ("n_matched", pa.int64()), ("n_template", pa.int64()),
                         ("coverage", pa.float64()), ("first_word", pa.int64()), ("last_word", pa.int64()), ("matched_text", pa.string())])
 
-    def hits(index: Index, h: np.ndarray, at: np.ndarray) -> list[tuple[int, int, int]]:
-        """(template, place in the text, diagonal) of fingerprints."""
+    def hits(index: Index, h: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Rows of (template, place in the text, diagonal) of fingerprints."""
         lo, hi = np.searchsorted(index.key, h, "left"), np.searchsorted(index.key, h, "right")
         n = hi - lo
         hit = np.repeat(lo, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
         place = np.repeat(at, n)
-        return list(zip(index.owner[hit].tolist(), place.tolist(), (place - index.place[hit]).tolist()))
+        return np.stack([index.owner[hit], place, place - index.place[hit]], axis=1).astype(np.int64)
 
-    def candidates(rows: list[tuple[int, int, int]]):
-        """(template, diagonal, place in the text) of hits, together where they belong to one candidate."""
-        rows = sorted(set(rows))
+    def candidates(rows: np.ndarray):
+        """(template, diagonal, place in the text) of hits of short templates, together where they belong to one candidate."""
         out: list[list[int]] = []
-        for t, p, d in rows:
+        for t, p, d in sorted(set(map(tuple, rows.tolist()))):
             if out and out[-1][0] == t and abs(out[-1][1] - d) <= BAND // 2 and p - out[-1][2] <= len(index.words[t]) + BAND:
                 out[-1][2] = p
             else:
@@ -189,13 +268,19 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, id_col: str =
                         kept = winnow(grams)
                         grams, places = grams[kept], places[kept]
                     found: dict[tuple, tuple] = {}
-                    mine = doc2 == d
-                    for t, diagonal, _ in candidates(hits(index, grams, places) + hits(near, h2[mine], at2[mine] - first)):
-                        if not within_reach(text, index.words[t], diagonal, coverage * len(index.words[t])):
-                            continue
-                        m, a, b = align(text, index.words[t], diagonal)
-                        if m >= coverage * len(index.words[t]) and m:
-                            found[(t, a, b)] = (m, diagonal)
+                    wide = hits(index, grams, places)
+                    mine, long = doc2 == d, size[wide[:, 0]] > SHORT
+                    for t, diagonal, _ in candidates(np.concatenate([wide[~long], hits(near, h2[mine], at2[mine] - first)])):
+                        lo, hi = band(size[t], np.zeros(1, np.int64), np.array([diagonal]))
+                        if within_reach(text, index.words[t], int(lo[0]), int(hi[-1]), coverage * size[t]):
+                            m, a, b = align(text, index.words[t], lo, hi)
+                            if m and m >= coverage * size[t]:
+                                found[(t, a, b)] = (m, diagonal)
+                    wide = wide[long]
+                    for t in np.unique(wide[:, 0]).tolist():
+                        own = wide[wide[:, 0] == t]
+                        for m, a, b in long_matches(text, index.words[t], own[:, 1], own[:, 1] - own[:, 2], coverage):
+                            found[(t, a, b)] = (m, 0)
                     taken: list[tuple[int, int]] = []  # of matches of the same words the one with the most of them counts
                     ranked = sorted(found.items(), key=lambda x: (-x[1][0], -x[1][0] / len(index.words[x[0][0]]), x[0]))
                     for (t, a, b), (m, _) in ranked:

@@ -112,6 +112,59 @@ def test_every_notice_is_found_bare_and_edited(spark, none):
     assert got[len(data) - 1] and {"all-rights-bare", "MPL-2.0-text", "CC0-1.0-text", "Unlicense-text", "LGPL-3-text", "BSD-text"} <= {t for x in got.values() for t, _ in x}
 
 
+def test_alignment_in_a_full_band_is_the_longest_common_subsequence():
+    rng = np.random.default_rng(2)
+    for _ in range(60):
+        text, template = rng.integers(0, 6, rng.integers(1, 30)), rng.integers(0, 6, rng.integers(1, 15))
+        n = len(template)
+        m, a, b = licences.align(text, template, np.full(n, 0), np.full(n, len(text)))
+        table = np.zeros((len(text) + 1, n + 1), int)
+        for i, j in np.ndindex(len(text), n):
+            table[i + 1, j + 1] = table[i, j] + 1 if text[i] == template[j] else max(table[i, j + 1], table[i + 1, j])
+        assert m == table[-1, -1]
+        spans = [(y - x, x, y) for x in range(len(text)) for y in range(x, len(text) + 1) if lcs(text[x:y], template) == m] if m else [(0, 0, 0)]
+        assert b - a == min(spans)[0] and lcs(text[a:b], template) == m
+
+
+def lcs(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        row = _lcs_row(row, x, b)
+    return row[-1]
+
+
+def _lcs_row(row, x, b):
+    out = [0]
+    for k, y in enumerate(b):
+        out.append(row[k] + 1 if x == y else max(row[k + 1], out[-1]))
+    return out
+
+
+def test_whole_licences_with_passages_and_twice(spark):
+    """A passage put in, one left out, the text twice, and each whole licence in little time."""
+    import time
+
+    t, data = licences.TEMPLATES, []
+    whole = [n for n in t if n.endswith("-text")]
+    for name in whole:
+        w = t[name].split()
+        put = " ".join(w[:len(w) // 2] + [f"own{k}" for k in range(40)] + w[len(w) // 2:])
+        out = " ".join(w[:len(w) // 3] + w[len(w) // 3 + len(w) // 10:])
+        data += [(name, 0, t[name]), (name, 1, put), (name, 2, "before " + out + " behind"), (name, 3, t[name] + " between " + t[name])]
+    docs = spark.createDataFrame([(k, d[2], 1, None) for k, d in enumerate(data)], "doc_id long, text string, template int, coverage string").coalesce(1)
+    began = time.time()
+    got = [r for r in licences.scan(docs).collect()]
+    assert (time.time() - began) / len(data) < 1.0
+    for k, (name, kind, text) in enumerate(data):
+        mine = [r for r in got if r.doc_id == k and r.template == name]
+        n = len(licences_words(t[name]))
+        assert len(mine) == (2 if kind == 3 else 1), (name, kind, [(r.template, r.n_matched) for r in got if r.doc_id == k])
+        if kind != 2:
+            assert all(r.n_matched == n for r in mine), (name, kind)
+        else:
+            assert mine[0].coverage > 0.85
+
+
 # 2 decontamination
 
 def brute_decontamination(rows, tests, window=13):
