@@ -28,10 +28,14 @@ def _(spark, sf):
     return v.rounded(d.latin_hypercube(_members(spark, sf), ["a", "b.c", "d"], 7), ["u"], 10)
 
 
-@query("R2_full_factorial", "SELECT row_number() OVER (ORDER BY a.s_suppkey, b.s_suppkey) - 1 AS sample, round((a.s_suppkey + 1) / n::DOUBLE, 10) AS a, round((b.s_suppkey + 1) / n::DOUBLE, 10) AS b FROM supplier a, supplier b, (SELECT count(*) AS n FROM supplier)")
-def _(spark, sf):
-    n = v.table(spark, sf, "supplier").count()
-    return v.rounded(d.full_factorial(spark, ["a", "b"], n), ["a", "b"], 10)
+@query("R2_full_factorial", "SELECT row_number() OVER (ORDER BY a.s_suppkey, b.s_suppkey) - 1 AS sample, round((a.s_suppkey + 1) / n::DOUBLE, 10) AS a, round((b.s_suppkey + 1) / n::DOUBLE, 10) AS b, a.s_acctbal AS low, b.s_acctbal AS high FROM supplier a, supplier b, (SELECT count(*) AS n FROM supplier)")
+def _(spark, sf):
+    levels = v.table(spark, sf, "supplier").select("s_suppkey", "s_acctbal")  # the values that the levels stand for
+    n = levels.count()
+    out = d.full_factorial(spark, ["a", "b"], n)
+    for name, value in (("a", "low"), ("b", "high")):
+        out = out.withColumn("s_suppkey", F.round(C(name) * n).cast("bigint") - 1).join(levels.withColumnRenamed("s_acctbal", value), "s_suppkey").drop("s_suppkey")
+    return v.rounded(out, ["a", "b"], 10)
 
 
 def _poly(cs, x):

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from fieldspark.catalog import views as v
 from fieldspark.catalog.registry import query
 from fieldspark.functions import projection as pj
+from fieldspark.functions import rules
 from fieldspark.operators import arrays, grids, outlines, quality, relax
 from fieldspark.plans import boot, forcing
 from fieldspark.session import scratch_path
@@ -48,6 +49,17 @@ AE = AL.ellipsoid.e
 Q = f"((1 - {AE!r} * {AE!r}) * (sin(radians(lat)) / (1 - {AE!r} * {AE!r} * sin(radians(lat)) ** 2) - ln((1 - {AE!r} * sin(radians(lat))) / (1 + {AE!r} * sin(radians(lat)))) / (2 * {AE!r})))"
 
 
+BOX = """(SELECT -62 + 34 * i / 20.0::DOUBLE AS lon, lat FROM range(21) r(i), (VALUES (61.0::DOUBLE), (76.5::DOUBLE)) v(lat)
+    UNION ALL SELECT lon, 61 + 15.5 * i / 20.0::DOUBLE AS lat FROM range(21) r(i), (VALUES (-62.0::DOUBLE), (-28.0::DOUBLE)) v(lon))"""
+
+
+@query("P13_box_transform", f"""WITH b AS (SELECT min({RHO} * sin(radians(lon + 45))) AS x0, max({RHO} * sin(radians(lon + 45))) AS x1, min(-{RHO} * cos(radians(lon + 45))) AS y0, max(-{RHO} * cos(radians(lon + 45))) AS y1 FROM {BOX})
+    SELECT c_custkey, round(x, 3) + 0.0 AS x, round(y, 3) + 0.0 AS y FROM (SELECT c_custkey, {RHO} * sin(radians(lon + 45)) AS x, -{RHO} * cos(radians(lon + 45)) AS y FROM {GEO}), b WHERE x BETWEEN x0 AND x1 AND y BETWEEN y0 AND y1""")
+def _(spark, sf):
+    p = _project(spark, sf, "EPSG:3413").select("c_custkey", "x", "y")
+    return v.rounded(rules.clip_box(p, (-62.0, -28.0), (61.0, 76.5), "EPSG:4326", "EPSG:3413"), ["x", "y"], 3)
+
+
 @query("M1_albers", f"""SELECT c_custkey, round(rho * sin({AN!r} * radians(dl)), 3) + 0.0 AS x, round({AR!r} - rho * cos({AN!r} * radians(dl)), 3) + 0.0 AS y FROM
     (SELECT c_custkey, CASE WHEN lon + 154 >= 180 THEN lon - 206 ELSE lon + 154 END AS dl, {AL.ellipsoid.a!r} * sqrt({AC!r} - {AN!r} * {Q}) / {AN!r} AS rho FROM {GEO})""")
 def _(spark, sf):
@@ -90,11 +102,13 @@ def _(spark, sf):
     return v.rounded(p.select("c_custkey", vx.alias("vx"), vy.alias("vy")), ["vx", "vy"], 4)
 
 
-@query("M4_grid_generation", "SELECT iy, ix, round(ix * 2.5 + 1.25, 6) AS x, round(iy * 2.5 + 1.25, 6) AS y, round(ix * 2.5, 6) AS x_lo, round((ix + 1) * 2.5, 6) AS x_hi FROM (SELECT s_suppkey AS iy, s_suppkey FROM supplier), range(60) r(ix)".replace("2.5", "2.5::DOUBLE").replace("1.25", "1.25::DOUBLE"))
+@query("M4_grid_generation", """SELECT iy, ix, f.v, round(ix * 2.5::DOUBLE + 1.25::DOUBLE, 6) AS x, round(iy * 2.5::DOUBLE + 1.25::DOUBLE, 6) AS y, round(ix * 2.5::DOUBLE, 6) AS x_lo, round((ix + 1) * 2.5::DOUBLE, 6) AS x_hi
+    FROM (SELECT s_suppkey AS iy, ix FROM supplier, range(60) r(ix)) LEFT JOIN (SELECT iy, ix, round(v, 6) AS v FROM {flat}) f USING (iy, ix)""")
 def _(spark, sf):
     ny = v.table(spark, sf, "supplier").count()
     g = grids.create_domain(spark, (0.0, v.NX * 2.5), (0.0, ny * 2.5), 2.5)
-    return v.rounded(g.select("iy", "ix", "x", "y", "x_lo", "x_hi"), ["x", "y", "x_lo", "x_hi"], 6)
+    g = g.join(v.flat(spark, sf).select("iy", "ix", "v"), ["iy", "ix"], "left")
+    return v.rounded(g.select("iy", "ix", "x", "y", "x_lo", "x_hi", "v"), ["x", "y", "x_lo", "x_hi", "v"], 6)
 
 
 @query("M5_covering_range", """SELECT t, round((lo + hi) / 2, 6) AS centre, round(ceil((d + hi - lo) / 7) * 3.5, 6) AS half_width, CAST(ceil((d + hi - lo) / 7) AS BIGINT) AS n FROM
@@ -244,6 +258,19 @@ def _(spark, sf):
     return v.rounded(out, ["surface", "thickness", "bed", "tillwat", "u_observed"], 6)
 
 
+@query("X5_bed_override", """WITH f AS (SELECT iy, ix, v FROM {holed}), m AS (SELECT DISTINCT iy, ix FROM {region_cells}),
+    d AS (SELECT f.iy, f.ix, coalesce(v * 30 - 800, 0) AS s, CASE WHEN m.iy IS NULL THEN 0 ELSE greatest(coalesce(v * 20 - 450, 0), 0) END AS h, v - 40 AS b, CASE WHEN m.iy IS NOT NULL AND f.ix % 3 <> 0 THEN v * 25 - 900 END AS o FROM f LEFT JOIN m USING (iy, ix))
+    SELECT iy, ix, round(CASE WHEN o IS NOT NULL AND s <= o THEN 0 ELSE s END, 6) + 0.0 AS surface, round(CASE WHEN o IS NOT NULL THEN greatest(s - o, 0) ELSE h END, 6) + 0.0 AS thickness,
+      round(CASE WHEN o IS NOT NULL THEN o WHEN s <= 0 THEN coalesce(b, s - h) ELSE s - h END, 6) + 0.0 AS bed FROM d""")
+def _(spark, sf):
+    h = v.holed(spark, sf)
+    t = v.grid(spark, sf).withColumns({"sx": C("ix") + 0.5, "sy": C("iy") + 0.5})
+    layer = lambda **c: h.select("iy", "ix", *[x.alias(n) for n, x in c.items()])
+    out = boot.boot_fields(t, layer(surface=C("v") * 30 - 800), layer(thickness=C("v") * 20 - 450), layer(bathymetry=C("v") - 40), layer(vx=C("v") * 5, vy=C("v") * 3),
+                           v.region_cells(spark, sf), bed_override=layer(bed_override=F.when(C("ix") % 3 != 0, C("v") * 25 - 900)))
+    return v.rounded(out.select("iy", "ix", "surface", "thickness", "bed"), ["surface", "thickness", "bed"], 6)
+
+
 @query("X6_forcing_merge", """WITH f AS (SELECT l_returnflag AS gcm, l_linestatus AS pathway, CAST(year(l_shipdate) AS INT) AS year, CAST(month(l_shipdate) AS INT) AS month, l_suppkey AS iy, l_partkey % 4 AS ix, avg(l_quantity) AS tas, avg(l_quantity) - 25 AS so FROM lineitem GROUP BY ALL),
     c AS (SELECT *, CASE WHEN so NOT BETWEEN -1 AND 1 THEN so END AS s FROM f),
     n AS (SELECT g.gcm, g.pathway, g.year, g.month, g.iy, g.ix, min_by(o.s, ((g.iy - o.iy) ** 2 + (g.ix - o.ix) ** 2, o.iy, o.ix)) AS s FROM c g

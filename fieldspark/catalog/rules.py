@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from fieldspark.catalog import views as v
 from fieldspark.catalog.registry import query
+from fieldspark.catalog.zonal import TOUCHED
 from fieldspark.functions import rules as r
+from fieldspark.operators import outlines
 from fieldspark.model import rename_checked
 
 KEYS = ["t", "iy", "ix"]
@@ -170,6 +172,15 @@ def _(spark, sf):
     return v.rounded(d.drop("bed", "f"), ["thickness"], 6)
 
 
+@query("P25_deep_ocean_polygon", f"""WITH d AS (SELECT DISTINCT iy, ix FROM {TOUCHED} WHERE CAST(substr(region, 2) AS BIGINT) % 3 = 0)
+    SELECT t, iy, ix, CASE WHEN d.iy IS NULL THEN round(thk * 10, 6) ELSE 0 END AS surface, CASE WHEN d.iy IS NULL THEN round(thk, 6) ELSE 0 END AS thickness, CASE WHEN d.iy IS NULL THEN round(thk * 9, 6) ELSE -2000 END AS bed
+    FROM {{cells}} LEFT JOIN d USING (iy, ix)""")
+def _(spark, sf):
+    polygons = v.edges(spark, sf).where(F.substring("region", 2, 20).cast("bigint") % 3 == 0)
+    d = r.deep_ocean(_cells(spark, sf, surface=C("thk") * 10, thickness=C("thk"), bed=C("thk") * 9), outlines.touched_cells(polygons))
+    return v.rounded(d.select("t", "iy", "ix", "surface", "thickness", "bed"), ["surface", "thickness", "bed"], 6)
+
+
 @query("P26_observation_masks", """SELECT t, iy, ix, round(sqrt(vx * vx + vy * vy), 6) AS v, round(coalesce(vx, 0), 6) + 0.0 AS u_observed, round(coalesce(vy, 0), 6) + 0.0 AS v_observed, CAST(ok AS INT) AS vel_misfit_weight, CAST(NOT ok AS INT) AS zeta_fixed_mask
     FROM (SELECT t, iy, ix, mask <> 3 AS ok, CASE WHEN mask % 2 = 1 THEN CASE WHEN mask <> 5 THEN thk - 25 END ELSE 0 END AS vx, CASE WHEN mask % 2 = 1 THEN thk * 2 ELSE 0 END AS vy FROM {cells})""")
 def _(spark, sf):

@@ -140,11 +140,11 @@ def _(spark, sf):
 # ------------------------------------------------------------- sources
 
 
-@query("S1_cube_scan", "SELECT t, count(*) AS n, round(sum(ice_mass), 2) AS ice_mass FROM {cells} WHERE iy BETWEEN 3 AND 60 GROUP BY t")
+@query("S1_cube_scan", "SELECT t, count(*) AS n, round(sum(ice_mass), 2) AS ice_mass FROM {cells} GROUP BY t")
 def _(spark, sf):
     path = scratch_path(spark, "cube")
     v.cells(spark, sf).repartitionByRange(C("t"), F.floor(C("iy") / 16)).sortWithinPartitions("t", "iy").write.parquet(path)
-    cube = spark.read.parquet(path).where(C("iy").between(3, 60))
+    cube = spark.read.parquet(path)
     return cube.groupBy("t").agg(F.count(L(1)).alias("n"), F.round(F.sum("ice_mass"), 2).alias("ice_mass"))
 
 

@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fieldspark.functions.projection import transform_box
 from fieldspark.model import require_columns, require_rows, when_chain
 
 # Physical constants and thresholds of the rules below.
@@ -67,8 +68,17 @@ def time_window(df: DataFrame, time: str, start, end) -> DataFrame:
     return out
 
 
-def clip_box(df: DataFrame, x: tuple[float, float], y: tuple[float, float]) -> DataFrame:
-    """Bounding box in source coordinates as literal predicates, which reach the Parquet scan; either order of bounds."""
+def clip_box(
+    df: DataFrame, x: tuple[float, float], y: tuple[float, float], box_crs: str | None = None, data_crs: str | None = None,
+) -> DataFrame:
+    """Bounding box as literal predicates, which reach the Parquet scan; either order of bounds.
+
+    A box in another system than the data's is transformed first, with its edges, to the box around them.
+    """
+    if box_crs != data_crs:
+        corners = [F.lit(float(c)) for c in (min(x), min(y), max(x), max(y))]
+        x0, y0, x1, y1 = df.sparkSession.range(1).select(*transform_box(box_crs, data_crs, tuple(corners))).first()
+        x, y = (x0, x1), (y0, y1)
     return df.where(F.col("x").between(min(x), max(x)) & F.col("y").between(min(y), max(y)))
 
 
@@ -90,6 +100,13 @@ def ocean_moat(df: DataFrame, moat: Column) -> DataFrame:
         "bed": F.when(moat, DEEP_OCEAN).otherwise(F.col("bed"))})
 
 
+def deep_ocean(df: DataFrame, cells: DataFrame) -> DataFrame:
+    """Surface, thickness and bed of the open deep ocean in the given cells, such as those that a polygon touches."""
+    marked = cells.select("iy", "ix").distinct().withColumn("__deep", F.lit(True))
+    d = df.join(marked, ["iy", "ix"], "left")
+    return ocean_moat(d, F.coalesce("__deep", F.lit(False))).drop("__deep")
+
+
 def region_masks(df: DataFrame, region_cells: DataFrame, mode: str = "glacier") -> DataFrame:
     """land_ice_area_fraction_retreat = inside; ftt_mask = outside, all or none."""
     cells = region_cells.select("iy", "ix").distinct().withColumn("__in", F.lit(1))

@@ -79,6 +79,21 @@ def merge_layers(left: DataFrame, right: DataFrame, keys: Sequence[str], shared:
     return out.withColumns(fixed).drop(*[f"__r_{c}" for c in shared])
 
 
+def merge_many(layers: Sequence[DataFrame], keys: Sequence[str], shared: Sequence[str]) -> DataFrame:
+    """Outer merge of any number of layers, each with one row a key at most, in one exchange.
+
+    Shared columns may be in several layers: a missing value yields to a present one, differing values raise at
+    run time.  Every other column belongs to one layer.
+    """
+    rows = layers[0]
+    for layer in layers[1:]:
+        rows = rows.unionByName(layer, allowMissingColumns=True)
+    own = [c for c in rows.columns if c not in (*keys, *shared)]
+    both = rows.groupBy(*keys).agg(*[F.max(c).alias(c) for c in (*shared, *own)], *[F.min(c).alias(f"__lo_{c}") for c in shared])
+    agreed = {c: F.when(F.col(c) != F.col(f"__lo_{c}"), F.raise_error(F.lit(f"conflicting values of {c}"))).otherwise(F.col(c)) for c in shared}
+    return both.withColumns(agreed).drop(*[f"__lo_{c}" for c in shared])
+
+
 def fill_from(primary: DataFrame, secondary: DataFrame, keys: Sequence[str], values: Sequence[str]) -> DataFrame:
     """Missing primary values take the secondary product's value."""
     s = secondary.select(*keys, *[F.nanvl(F.col(v), F.lit(None)).alias(f"__s_{v}") for v in values])

@@ -157,6 +157,16 @@ def test_merge_conflict_raises(spark):
         align.merge_layers(a, b.withColumn("v", F.col("v") + 1), ["k"], ["v"]).collect()
 
 
+def test_many_layers_merge_in_one_exchange(spark):
+    a = spark.createDataFrame([(1, 2.0, 7), (2, None, 8)], "k int, v double, a int")
+    b = spark.createDataFrame([(1, 2.0, 1), (2, 5.0, 2), (3, 1.0, 3)], "k int, v double, b int")
+    c = spark.createDataFrame([(4, None, 9)], "k int, v double, c int")
+    got = {r.k: (r.v, r.a, r.b, r.c) for r in align.merge_many([a, b, c], ["k"], ["v"]).collect()}
+    assert got == {1: (2.0, 7, 1, None), 2: (5.0, 8, 2, None), 3: (1.0, None, 3, None), 4: (None, None, None, 9)}
+    with pytest.raises(PySparkException, match="conflicting"):
+        align.merge_many([a, b.withColumn("v", F.col("v") + 1), c], ["k"], ["v"]).collect()
+
+
 def test_mosaic_rules(spark):
     t = spark.createDataFrame([(0, 0, 2, 0.0), (0, 0, 1, 3.0), (0, 1, 1, None), (0, 1, 2, 4.0)], "iy int, ix int, o int, v double")
     pick = lambda rule: {(r.iy, r.ix): r.v for r in regrid.mosaic(t, "v", rule, "o").collect()}
