@@ -2,12 +2,12 @@
 
 Many weak voters look at a text: counts of words from general lexicons of abuse, patterns of shouting
 and insult, word lists mined from the labelled training rows, and voters for clean text.  Each votes
-toxic, clean or abstains.  A generative label model learns how accurate each voter is from the
-agreement of their votes alone: for conditionally independent voters i, j, k the accuracies satisfy
-E[ij] E[ik] / E[jk] = a_i ** 2.  Pairs that agree more than their accuracies explain are correlated;
-they are left out of the triplets, and their weight in the posterior is shared.  All it needs are the
-sums of pairwise votes, one aggregation over all documents.  A linear classifier on hashed words and
-the voters' counts is fitted on the posteriors of a bounded sample of rows and scores every text.
+toxic, clean or abstains.  A generative label model learns from the votes alone how often each voter
+casts which vote on toxic and on clean texts: the different vote patterns are counted over all documents,
+one aggregation, and expectation and maximisation run on these counts.  Voters that vote together more
+than the class explains are correlated and share their weight in the posterior.  A linear classifier on
+hashed words and the voters' counts is fitted on the posteriors of a bounded sample of rows and scores
+every text.
 
 Labels, language, source and id are no inputs of a score.  Labels are read of rows with
 ``crc32(doc_id) % 5 <> 0`` alone, to mine word lists and to estimate the share of toxic rows.
@@ -45,6 +45,10 @@ PRIOR = 0.05
 MINED_ROWS, MINED_SHARE, MINED_SPREAD, MINED_WORDS, MINED_TRIED = 8, 0.75, 0.5, 200, 5000
 #: Listed words that so many training rows have are dropped if less than this share of these rows is toxic.
 VET_ROWS, VET_SHARE = 20, 0.5
+#: Pairs of (row, word) that a task counts before it merges them, and then sends them if most are different words.
+WORDS_HELD = 4_000_000
+#: Steps of the label model, if it does not rest before.
+STEPS = 500
 #: Rows of the classifier's sample, about, of each likely class, by the least hashes of their texts; its hashed words.
 SAMPLE = 4000
 BUCKETS = 1 << 16
@@ -105,21 +109,28 @@ def _slices(column: pa.Array):
 def mined_words(labelled: DataFrame) -> tuple[tuple[list[int], list[int]], list[int]]:
     """Words of toxic training rows (columns text, toxic), in two halves by their hash; listed words that are common in clean rows."""
 
+    def flushed(tables):
+        """The tables of some batches as one: a word, its rows, its toxic rows."""
+        words, inverse = np.unique(np.concatenate([t[0] for t in tables]), return_inverse=True)
+        return [words, *[np.bincount(inverse, weights=np.concatenate([t[k] for t in tables])).astype(np.int64) for k in (1, 2)]]
+
     def count(batches):
-        tables: dict[int, list[int]] = {}
+        tables, held = [], 0
         for batch in batches:
             toxic = np.array(batch.column(1).to_pylist(), np.int64)
-            keys, labels = [], []
             for i, j, w, _ in _slices(batch.column(0)):
                 pair = np.unique(np.stack([w.doc.astype(A.U), w.hash]), axis=1)
-                keys.append(pair[1])
-                labels.append(toxic[i + pair[0].astype(np.int64)])
-            if not keys:
-                continue
-            words, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-            labels = np.concatenate(labels)
-            n, t = np.bincount(inverse), np.bincount(inverse, weights=labels).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(n), pa.array(t)], ["word", "n", "t"])
+                tables.append((pair[1], np.ones(pair.shape[1]), toxic[i + pair[0].astype(np.int64)]))
+                held += pair.shape[1]
+            if held > WORDS_HELD and tables:
+                tables = [flushed(tables)]
+                held = 2 * len(tables[0][0])
+                if held > WORDS_HELD:
+                    yield pa.RecordBatch.from_arrays([pa.array(tables[0][0].view(np.int64)), *map(pa.array, tables[0][1:])], ["word", "n", "t"])
+                    tables, held = [], 0
+        if tables:
+            table = flushed(tables)
+            yield pa.RecordBatch.from_arrays([pa.array(table[0].view(np.int64)), *map(pa.array, table[1:])], ["word", "n", "t"])
 
     words = written(labelled.select("text", "toxic").mapInArrow(tidy(count), "word long, n long, t long").groupBy("word")
                     .agg(F.sum("n").alias("n"), F.sum("t").alias("t")).where((F.col("t") >= MINED_ROWS) | (F.col("n") >= VET_ROWS)), "rates")
@@ -147,53 +158,75 @@ def mined_words(labelled: DataFrame) -> tuple[tuple[list[int], list[int]], list[
 
 
 class LabelModel:
-    """Accuracies, correlated pairs and posteriors from the sums of pairwise votes."""
-
-    def __init__(self, n: float, one: np.ndarray, both: np.ndarray, cast: np.ndarray, prior: float):
-        """Sums over documents: one[i] of votes, both[i, j] of products, cast[i, j] of documents on which both vote."""
-        self.prior = prior
-        rate = np.diag(cast) / max(n, 1)
-        moment = np.divide(both, cast, out=np.zeros(both.shape), where=cast >= 20)
-        usable = cast >= 20
-        self.linked = np.zeros((M, M), bool)
-        acc = np.full(M, 0.7)
-        for _ in range(3):
-            for i in range(M):
-                got = []
-                for j in range(M):
-                    for k in range(j + 1, M):
-                        if len({i, j, k}) == 3 and usable[i, j] and usable[i, k] and usable[j, k] \
-                                and not (self.linked[i, j] or self.linked[i, k] or self.linked[j, k]) and abs(moment[j, k]) > 0.05:
-                            got.append(np.sqrt(abs(moment[i, j] * moment[i, k] / moment[j, k])))
-                acc[i] = np.clip(np.median(got), 0.3, 0.98) if got else 0.7
-            excess = np.where(usable, moment - np.outer(acc, acc), 0)
-            self.linked = (excess > 0.25) & ~np.eye(M, dtype=bool)
-        self.accuracy = (1 + acc) / 2
-        # votes that go together share their weight
-        share = 1 / (1 + np.where(self.linked, np.abs(excess), 0).sum(1))
-        self.weight = np.log(self.accuracy / (1 - self.accuracy)) * share * np.where(rate > 0, 1, 0)
+    """Class-conditional rates of the voters, their correlations, and posteriors, from counted vote patterns.
+
+    A voter has a rate for each of toxic, clean and no vote given either class; abstaining tells as well.  Rates
+    and posteriors of the patterns are found by expectation and maximisation from the votes alone, with the share
+    of toxic texts held fixed.  Voters that vote together more than the class explains are correlated: in the
+    posterior each has the share 1 / (1 + sum of its correlations) of its weight.
+    """
+
+    def __init__(self, patterns: np.ndarray, counts: np.ndarray, prior: float):
+        self.prior, m = prior, patterns.shape[1]
+        total = max(float(counts.sum()), 1.0)
+        votes = np.stack([patterns == c for c in (-1, 0, 1)], axis=2).astype(np.float64)  # patterns, voters, votes
+        base = (counts @ votes.reshape(len(counts), 3 * m)).reshape(m, 3) / total
+        post = 1 / (1 + np.exp(-2.0 * patterns.sum(1) - np.log(prior / (1 - prior))))  # to begin with, every vote counts alike
+        self.table, self.rates, self.correlation, self.rested = np.zeros((m, 3)), np.stack([base, base]), np.zeros((m, m)), not len(counts)
+        for _ in range(STEPS):
+            mass = [counts * (1 - post), counts * post]
+            self.rates = np.stack([((w @ votes.reshape(len(w), 3 * m)).reshape(m, 3) + base) / (w.sum() + 1) for w in mass])  # one text's worth of the mean
+            active = np.abs(patterns).astype(np.float64)
+            self.correlation = np.maximum(*[self._correlation(active, w) for w in mass])
+            share = 1 / (1 + self.correlation.sum(1))
+            self.table = share[:, None] * (np.log(np.maximum(self.rates[1], 1e-9)) - np.log(np.maximum(self.rates[0], 1e-9)))
+            new = self.posterior(patterns)
+            if not len(new) or np.abs(new - post).max() < 1e-7:
+                self.rested = True
+                break
+            post = new
+
+    @staticmethod
+    def _correlation(active: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """Positive correlations of casting a vote, within a class."""
+        n = max(w.sum(), 1e-9)
+        mean = w @ active / n
+        cov = (active * w[:, None]).T @ active / n - np.outer(mean, mean)
+        var = np.maximum(np.diag(cov), 0)
+        scale = np.sqrt(np.outer(var, var))
+        out = np.divide(cov, scale, out=np.zeros(cov.shape), where=(scale > 1e-12) & (np.outer(mean, mean) * n * n >= 400))
+        np.fill_diagonal(out, 0)
+        return np.clip(out, 0, 1)
+
+    @property
+    def precision(self) -> np.ndarray:
+        """How likely a text is toxic, given each voter's toxic vote (clean, given its clean vote)."""
+        toxic, clean = self.prior * self.rates[1], (1 - self.prior) * self.rates[0]
+        sure = np.where(self.rates[:, :, 2].sum(0) > self.rates[:, :, 0].sum(0), toxic[:, 2] / (toxic[:, 2] + clean[:, 2] + 1e-12), clean[:, 0] / (toxic[:, 0] + clean[:, 0] + 1e-12))
+        return sure
 
     def posterior(self, votes: np.ndarray) -> np.ndarray:
-        z = votes @ self.weight + np.log(self.prior / (1 - self.prior))
-        return 1 / (1 + np.exp(-z))
+        z = self.table[np.arange(votes.shape[1])[None, :], votes.astype(np.int64) + 1].sum(1) + np.log(self.prior / (1 - self.prior))
+        return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
+
 
+def vote_patterns(docs: DataFrame, voters: Voters) -> tuple[np.ndarray, np.ndarray]:
+    """The different votes on all documents and how many documents have each; a task counts before it sends.
 
-def vote_sums(docs: DataFrame, voters: Voters) -> tuple[float, np.ndarray, np.ndarray, np.ndarray]:
-    """Sums over all documents: number, votes, products of votes, joint votes."""
+    The voters are functions of few counts, so there are some hundreds of patterns, whatever the corpus (2 ** M at most).
+    """
 
     def run(batches):
-        total = np.zeros(1 + M + 2 * M * M)
+        total: dict[bytes, int] = {}
         for batch in batches:
             for _, _, w, shouted in _slices(batch.column(0)):
-                v = voters.votes(w, shouted).astype(np.float64)
-                a = np.abs(v)
-                total += np.concatenate([[len(v)], v.sum(0), (v.T @ v).ravel(), (a.T @ a).ravel()])
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], ["k", "v"])
+                found, n = np.unique(voters.votes(w, shouted), axis=0, return_counts=True)
+                for row, k in zip(found, n.tolist()):
+                    total[row.tobytes()] = total.get(row.tobytes(), 0) + k
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.binary()), pa.array(list(total.values()), pa.int64())], ["votes", "n"])
 
-    out = np.zeros(1 + M + 2 * M * M)
-    for row in docs.select("text").mapInArrow(tidy(run), "k long, v double").groupBy("k").agg(F.sum("v").alias("v")).collect():
-        out[row["k"]] = row["v"]
-    return out[0], out[1:1 + M], out[1 + M:1 + M + M * M].reshape(M, M), out[1 + M + M * M:].reshape(M, M)
+    rows = docs.select("text").mapInArrow(tidy(run), "votes binary, n long").groupBy("votes").agg(F.sum("n").alias("n")).orderBy("votes").collect()
+    return (np.array([np.frombuffer(r["votes"], np.int8) for r in rows], np.int8).reshape(-1, M), np.array([r["n"] for r in rows], np.float64))
 
 
 def _features(w: A.Words, mined: list[np.ndarray], lists: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -243,6 +276,19 @@ class Linear:
         return cls(w, b)
 
 
+def _maybe_labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose id is in ``labels``, and few others, without moving any.
+
+    A bitmap of the labelled ids' hashes, 16 bits an id and 2^27 bits (2^21 rows to broadcast) at most, is a filter
+    before the join, so that texts without labels stay where they are; beyond that size more of them pass.
+    """
+    bits = 1 << min(27, max(10, (16 * labels.count()).bit_length()))
+    at = F.pmod(F.xxhash64("doc"), F.lit(bits))
+    word, bit = F.shiftright(at, 6), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(at, F.lit(64)).cast("int"))
+    bitmap = labels.groupBy(word.alias("word")).agg(F.bit_or(bit).alias("bits"))
+    return docs.withColumns({"word": word, "bit": bit}).join(F.broadcast(bitmap), "word").where(F.col("bits").bitwiseAND(F.col("bit")) != 0).drop("word", "bit", "bits")
+
+
 def fitted(docs: DataFrame, labels: DataFrame, train: F.Column, id_col: str = "doc_id", text_col: str = "text",
            label_col: str = "toxic") -> tuple[Voters, LabelModel, Linear]:
     """Voters, label model and classifier; ``train`` (over columns of ``docs``) says which rows' labels may be read."""
@@ -250,11 +296,11 @@ def fitted(docs: DataFrame, labels: DataFrame, train: F.Column, id_col: str = "d
     docs = narrow(docs, doc="doc", text="text", learn="learn")
     labels = (labels.select(labels[id_col].alias("doc"), labels[label_col].cast("int").alias("toxic")).where("doc IS NOT NULL AND toxic IN (0, 1)")
               .groupBy("doc").agg(F.max("toxic").alias("toxic")))
-    labelled = written(docs.where("learn").join(labels, "doc").select("text", "toxic").dropDuplicates(["text"]), "labelled")
+    labelled = written(_maybe_labelled(docs.where("learn"), labels).join(labels, "doc").select("text", "toxic"), "labelled")
     mined, dropped = mined_words(labelled)
     share = labelled.agg(F.avg("toxic")).first()[0]
     voters = Voters(mined, dropped)
-    model = LabelModel(*vote_sums(docs, voters), float(np.clip(PRIOR if share is None else share, 0.005, 0.5)))
+    model = LabelModel(*vote_patterns(docs, voters), float(np.clip(PRIOR if share is None else share, 0.005, 0.5)))
 
     def likely(batches):
         n = np.zeros(2, np.int64)

@@ -392,15 +392,52 @@ def test_toxicity_without_labels_or_rows(spark, docs, none):
     assert toxicity.toxicity(docs, empty, ~toxicity.held_out()).where("predicted = 1").count() == 0
 
 
-def test_label_model_finds_accuracies_and_links():
+def test_label_model_finds_rates_and_links():
+    """Planted one-sided voters that abstain, two of them copies: rates, correlation and classes come back."""
     rng = np.random.default_rng(1)
-    y = np.where(rng.random(40000) < 0.5, 1, -1)
-    acc = np.linspace(0.65, 0.95, toxicity.M)
-    votes = np.stack([np.where(rng.random(len(y)) < a, y, -y) for a in acc], 1)
-    votes[:, 1] = votes[:, 0]  # one voter copies another
-    model = toxicity.LabelModel(len(y), votes.sum(0), votes.T @ votes, np.full((toxicity.M, toxicity.M), float(len(y))), 0.5)
-    assert model.linked[0, 1] and np.abs(model.accuracy - np.where(np.arange(toxicity.M) == 1, acc[0], acc)).max() < 0.05
-    assert ((model.posterior(votes.astype(float)) > 0.5) == (y > 0)).mean() > 0.97
+    y = rng.random(60000) < 0.1
+    hit, false = np.linspace(0.2, 0.8, 8), np.linspace(0.05, 0.01, 8)
+    votes = np.stack([rng.random(len(y)) < np.where(y, h, f) for h, f in zip(hit, false)], 1).astype(np.int8)
+    votes[:, 1] = votes[:, 0]
+    votes = np.hstack([votes, -(rng.random(len(y)) < np.where(y, 0.1, 0.7)).astype(np.int8)[:, None]])
+    patterns, counts = np.unique(votes, axis=0, return_counts=True)
+    model = toxicity.LabelModel(patterns, counts.astype(float), 0.1)
+    assert model.rested and model.correlation[0, 1] > 0.9 and model.correlation[2:8, 2:8].max() < 0.2
+    want = np.r_[hit[:1], hit[:1], hit[2:]]
+    assert np.abs(model.rates[1, :8, 2] - want).max() < 0.08 and np.abs(model.rates[0, 2:8, 2] - false[2:]).max() < 0.02
+    assert abs(model.rates[0, 8, 0] - 0.7) < 0.02 and abs(model.rates[1, 8, 0] - 0.1) < 0.06
+    assert ((model.posterior(votes) > 0.5) == y).mean() > 0.96
+
+
+def test_label_model_on_the_real_voters(spark):
+    """Precisions differ between voters and rank as the labels say that were not read."""
+    sf = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    voters, model, _ = toxicity.fitted(docs, labels, ~toxicity.held_out())
+    rows = docs.join(labels, "doc_id").where(toxicity.held_out()).select("text", "toxic").collect()
+    truth = np.array([r.toxic for r in rows])
+    votes = np.concatenate([voters.votes(w, s) for _, _, w, s in toxicity._slices(pa.array([r.text for r in rows]))])
+    used = [k for k in range(toxicity.M) if (votes[:, k] == 1).sum() >= 3]
+    assert np.ptp(model.rates[1, used, 2]) > 0.05
+    got = model.posterior(votes)
+    assert ((got > 0.5) == truth).mean() > 0.95 and got[truth == 1].mean() > got[truth == 0].mean() + 0.5
+    hit = np.array([(votes[truth == 1, k] == 1).mean() for k in used])
+    assert np.corrcoef(hit, model.rates[1, used, 2])[0, 1] > 0.7
+
+
+def test_labels_of_equal_texts_all_count(spark):
+    frame = spark.createDataFrame([(k, "same words in all of these", "x") for k in range(40)] + [(100 + k, "other text", "x") for k in range(5)], "doc_id long, text string, toxic string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(40)] + [(7, None), (None, 1)], "doc_id long, toxic int")
+    seen = []
+    real = toxicity.mined_words
+    try:
+        toxicity.mined_words = lambda labelled: (seen.extend(labelled.groupBy("toxic").count().collect()), real(labelled))[1]
+        one = toxicity.digest(toxicity.toxicity(frame, labels, ~toxicity.held_out())).collect()
+    finally:
+        toxicity.mined_words = real
+    learn = [k for k in range(40) if zlib.crc32(str(k).encode()) % 5]
+    assert {r["toxic"]: r["count"] for r in seen} == Counter(k % 2 for k in learn)
+    assert len({r.score for r in one if r.doc_id < 100}) == 1
 
 
 # 8 pseudonyms
