@@ -151,65 +151,95 @@ def representative_points(edges: DataFrame) -> DataFrame:
     ).select("region", "px", "py")
 
 
-def _tiles(df: DataFrame, xmin: str, xmax: str, ymin: str, ymax: str, tile: float) -> DataFrame:
-    bins = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / tile), F.floor(F.col(b) / tile)))
+#: The smallest level of a box, for points and hair lines; tiles of level l are 2^l wide.
+LEAST_LEVEL = -60
+#: Edges of an outline in a band of its scan lines, about.
+BAND_EDGES = 8
+
+
+def _leveled(df: DataFrame, xmin: str, xmax: str, ymin: str, ymax: str) -> DataFrame:
+    """Add the level of each box: its tiles are no smaller than it, so that it lies in four of them at most."""
+    extent = F.greatest(F.col(xmax) - F.col(xmin), F.col(ymax) - F.col(ymin))
+    return df.withColumn("__l", F.greatest(F.when(extent > 0, F.ceil(F.log2(extent))).otherwise(LEAST_LEVEL), F.lit(LEAST_LEVEL)).cast("int"))
+
+
+def _levels(df: DataFrame) -> list[int]:
+    """The levels that occur: one for each power of two of the extents at most."""
+    return sorted(r[0] for r in df.select("__l").distinct().collect())
+
+
+def _tiles(df: DataFrame, level: Column, xmin: str, xmax: str, ymin: str, ymax: str) -> DataFrame:
+    """A row for each tile of a level (column ``__at``) that the box lies in."""
+    df = df.withColumn("__at", level)
+    bins = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / F.pow(2.0, "__at")), F.floor(F.col(b) / F.pow(2.0, "__at"))))
     return df.withColumn("__ty", bins(ymin, ymax)).withColumn("__tx", bins(xmin, xmax))
 
 
-def points_in_polygons(
-    points: DataFrame, edges: DataFrame, group: str | None = None, tile: float = 8.0
-) -> DataFrame:
+def points_in_polygons(points: DataFrame, edges: DataFrame, group: str | None = None) -> DataFrame:
     """(point, region) pairs with the point inside; ``points`` has ``pid, px, py``.
 
-    Candidates meet through tile keys of the boxes (plus ``group`` when given);
-    the crossing count then reads only the edges in the point's band.
+    A region's box lies in few tiles of its own size; a point looks them up at every size that occurs (plus
+    ``group`` when given).  The crossing count then reads only the edges in the point's band of the region,
+    whose height goes by the number of its edges.
     """
     key = [group] if group else []
     boxes = edges.groupBy(*key, "region").agg(
-        F.min("x0").alias("xmin"), F.max("x0").alias("xmax"), F.min("y0").alias("ymin"), F.max("y0").alias("ymax"))
-    boxes = _tiles(boxes, "xmin", "xmax", "ymin", "ymax", tile)
-    p = points.withColumns({"__ty": F.floor(F.col("py") / tile), "__tx": F.floor(F.col("px") / tile)})
-    cand = p.join(boxes, [*key, "__ty", "__tx"]).where(
+        F.min("x0").alias("xmin"), F.max("x0").alias("xmax"), F.min("y0").alias("ymin"), F.max("y0").alias("ymax"), F.count(F.lit(1)).alias("n"))
+    boxes = _leveled(boxes, "xmin", "xmax", "ymin", "ymax")
+    boxes = boxes.withColumn("__h", F.pow(2.0, F.col("__l") - F.ceil(F.log2(F.greatest(F.col("n") / BAND_EDGES, F.lit(1.0))))))
+    p = points.withColumn("__at", F.explode(F.array(*[F.lit(x) for x in _levels(boxes)]).cast("array<int>")))
+    p = p.withColumns({"__ty": F.floor(F.col("py") / F.pow(2.0, "__at")), "__tx": F.floor(F.col("px") / F.pow(2.0, "__at"))})
+    homes = _tiles(boxes, F.col("__l"), "xmin", "xmax", "ymin", "ymax")
+    cand = p.join(homes, [*key, "__at", "__ty", "__tx"]).where(
         F.col("px").between(F.col("xmin"), F.col("xmax")) & F.col("py").between(F.col("ymin"), F.col("ymax"))
-    ).select(*key, "pid", "px", "py", "region", "__ty")
-    band = edges.where(F.col("y0") != F.col("y1")).withColumn(
-        "__ty", F.explode(F.sequence(F.floor(F.least("y0", "y1") / tile), F.floor(F.greatest("y0", "y1") / tile))))
+    ).select(*key, "pid", "px", "py", "region", F.floor(F.col("py") / F.col("__h")).alias("__band"))
+    band = edges.where(F.col("y0") != F.col("y1")).join(boxes.select(*key, "region", "__h"), [*key, "region"]).withColumn(
+        "__band", F.explode(F.sequence(F.floor(F.least("y0", "y1") / F.col("__h")), F.floor(F.greatest("y0", "y1") / F.col("__h")))))
     hit = (F.least("y0", "y1") <= F.col("py")) & (F.col("py") < F.greatest("y0", "y1")) & (
         F.col("px") < F.col("x0") + (F.col("py") - F.col("y0")) * (F.col("x1") - F.col("x0")) / (F.col("y1") - F.col("y0")))
-    n = cand.join(band.select(*key, "region", "__ty", "x0", "y0", "x1", "y1"), [*key, "region", "__ty"])
+    n = cand.join(band.select(*key, "region", "__band", "x0", "y0", "x1", "y1"), [*key, "region", "__band"])
     return (n.groupBy(*key, "pid", "region").agg(F.count_if(hit).alias("n"))
             .where(F.col("n") % 2 == 1).select(*key, "pid", "region"))
 
 
-def overlapping_boxes(left: DataFrame, right: DataFrame, tile: float = 8.0) -> DataFrame:
+def overlapping_boxes(left: DataFrame, right: DataFrame) -> DataFrame:
     """(lid, rid) of boxes that intersect (closed); boxes have ``xmin ymin xmax ymax``.
 
-    Each pair is reported only by the tile holding the corner of its
-    intersection, so no distinct is needed.
+    A box lies in few tiles of its own size, and looks up the other side's larger ones at each size that occurs.
+    Each pair is reported only by the tile holding the corner of its intersection, so no distinct is needed.
     """
-    a = _tiles(left.select("lid", *[F.col(c).alias(f"l_{c}") for c in ("xmin", "ymin", "xmax", "ymax")]),
-               "l_xmin", "l_xmax", "l_ymin", "l_ymax", tile)
-    b = _tiles(right.select("rid", *[F.col(c).alias(f"r_{c}") for c in ("xmin", "ymin", "xmax", "ymax")]),
-               "r_xmin", "r_xmax", "r_ymin", "r_ymax", tile)
-    return a.join(b, ["__ty", "__tx"]).where(
-        (F.col("l_xmin") <= F.col("r_xmax")) & (F.col("r_xmin") <= F.col("l_xmax"))
-        & (F.col("l_ymin") <= F.col("r_ymax")) & (F.col("r_ymin") <= F.col("l_ymax"))
-        & (F.floor(F.greatest("l_ymin", "r_ymin") / tile) == F.col("__ty"))
-        & (F.floor(F.greatest("l_xmin", "r_xmin") / tile) == F.col("__tx"))
+    sides = {}
+    for side, df in (("l", left), ("r", right)):
+        names = {c: f"{side}_{c}" for c in ("xmin", "ymin", "xmax", "ymax")}
+        sides[side] = _leveled(df.select(f"{side}id", *[F.col(c).alias(n) for c, n in names.items()]), *[f"{side}_{c}" for c in ("xmin", "xmax", "ymin", "ymax")])
+    levels = {side: _levels(df) for side, df in sides.items()}
+
+    def tiles(side: str, others: list[int]) -> DataFrame:
+        larger = F.filter(F.array(*[F.lit(x) for x in others]).cast("array<int>"), lambda x: x > F.col("__l"))
+        df = sides[side].withColumn("__each", F.explode(F.concat(F.array("__l"), larger)))
+        df = _tiles(df, F.col("__each"), *[f"{side}_{c}" for c in ("xmin", "xmax", "ymin", "ymax")])
+        return df.withColumnRenamed("__l", f"{side}_l").drop("__each")
+
+    corner = lambda a: F.floor(F.greatest(f"l_{a}min", f"r_{a}min") / F.pow(2.0, "__at")) == F.col(f"__t{a}")
+    return tiles("l", levels["r"]).join(tiles("r", levels["l"]), ["__at", "__ty", "__tx"]).where(
+        (F.col("__at") == F.greatest("l_l", "r_l"))
+        & (F.col("l_xmin") <= F.col("r_xmax")) & (F.col("r_xmin") <= F.col("l_xmax"))
+        & (F.col("l_ymin") <= F.col("r_ymax")) & (F.col("r_ymin") <= F.col("l_ymax")) & corner("y") & corner("x")
     ).select("lid", "rid")
 
 
-def containing_code(boxes: DataFrame, footprints: DataFrame, tile: float = 8.0) -> DataFrame:
+def containing_code(boxes: DataFrame, footprints: DataFrame) -> DataFrame:
     """First footprint (by ``order``) that fully contains each box, NULL code when none does.
 
-    A containing footprint covers the box's lower corner, so tiles of that corner suffice.
+    A containing footprint covers the box's lower corner, which is looked up at every size of footprints that occurs.
     """
-    f = _tiles(footprints.select("code", "order", *[F.col(c).alias(f"f_{c}") for c in ("xmin", "ymin", "xmax", "ymax")]),
-               "f_xmin", "f_xmax", "f_ymin", "f_ymax", tile)
-    b = boxes.withColumns({"__ty": F.floor(F.col("ymin") / tile), "__tx": F.floor(F.col("xmin") / tile)})
+    f = _leveled(footprints.select("code", "order", *[F.col(c).alias(f"f_{c}") for c in ("xmin", "ymin", "xmax", "ymax")]), "f_xmin", "f_xmax", "f_ymin", "f_ymax")
+    b = boxes.withColumn("__at", F.explode(F.array(*[F.lit(x) for x in _levels(f)]).cast("array<int>")))
+    b = b.withColumns({"__ty": F.floor(F.col("ymin") / F.pow(2.0, "__at")), "__tx": F.floor(F.col("xmin") / F.pow(2.0, "__at"))})
+    f = _tiles(f, F.col("__l"), "f_xmin", "f_xmax", "f_ymin", "f_ymax")
     inside = ((F.col("f_xmin") <= F.col("xmin")) & (F.col("f_ymin") <= F.col("ymin"))
               & (F.col("f_xmax") >= F.col("xmax")) & (F.col("f_ymax") >= F.col("ymax")))
-    found = b.join(f, ["__ty", "__tx"]).where(inside).groupBy("lid").agg(F.min_by("code", "order").alias("code"))
+    found = b.join(f, ["__at", "__ty", "__tx"]).where(inside).groupBy("lid").agg(F.min_by("code", "order").alias("code"))
     return boxes.select("lid").join(found, "lid", "left")
 
 

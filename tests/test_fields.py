@@ -157,6 +157,48 @@ def test_merge_conflict_raises(spark):
         align.merge_layers(a, b.withColumn("v", F.col("v") + 1), ["k"], ["v"]).collect()
 
 
+@pytest.mark.parametrize("scale", [1.0, 2.5e5])
+def test_boxes_of_all_sizes_meet(spark, scale):
+    """Boxes from points to continents, in degrees and in metres, against every pair; few rows a box."""
+    rng = np.random.default_rng(11)
+    boxes = []
+    for n in (60, 50):
+        low = rng.uniform(-40, 40, (n, 2)) * scale
+        side = np.exp(rng.uniform(-9, 4, (n, 2))) * scale * (rng.random((n, 1)) > 0.1)
+        boxes.append(np.hstack([low, low + side]))
+    boxes[1][0] = boxes[0][0]
+    boxes[1][1] = [boxes[0][1][2], boxes[0][1][3], boxes[0][1][2] + scale, boxes[0][1][3] + scale]  # touches in a corner
+    frame = lambda name, b: spark.createDataFrame([(k, *map(float, r)) for k, r in enumerate(b)], f"{name} long, xmin double, ymin double, xmax double, ymax double")
+    left, right = frame("lid", boxes[0]), frame("rid", boxes[1])
+    want = {(i, j) for i, a in enumerate(boxes[0]) for j, b in enumerate(boxes[1]) if a[0] <= b[2] and b[0] <= a[2] and a[1] <= b[3] and b[1] <= a[3]}
+    got = [tuple(r) for r in outlines.overlapping_boxes(left, right).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    foot = right.withColumnsRenamed({"rid": "code"}).withColumn("order", -F.col("code"))
+    inside = {i: max((j for j, b in enumerate(boxes[1]) if b[0] <= a[0] and b[1] <= a[1] and b[2] >= a[2] and b[3] >= a[3]), default=None) for i, a in enumerate(boxes[0])}
+    assert {r.lid: r.code for r in outlines.containing_code(left, foot).collect()} == inside
+    homes = outlines._tiles(outlines._leveled(left, "xmin", "xmax", "ymin", "ymax"), F.col("__l"), "xmin", "xmax", "ymin", "ymax")
+    assert homes.groupBy("lid").count().agg(F.max("count")).first()[0] <= 4
+
+
+def test_points_in_polygons_of_all_sizes(spark):
+    rng = np.random.default_rng(12)
+    rings, points = [], []
+    for k in range(14):
+        centre, r, n = rng.uniform(-1e5, 1e5, 2), np.exp(rng.uniform(0, 11)), int(rng.integers(3, 200))
+        a = np.sort(rng.uniform(0, 2 * np.pi, n))
+        radius = r * rng.uniform(0.5, 1.0, n)
+        rings.append((f"P{k}", 0, [tuple(map(float, p)) for p in np.stack([centre[0] + radius * np.cos(a), centre[1] + radius * np.sin(a)], 1)]))
+        points += [tuple(map(float, centre + rng.normal(0, r, 2))) for _ in range(12)]
+    edges = outlines.edges_from_rings(spark.createDataFrame(rings, "region string, ring int, points array<struct<x:double,y:double>>"))
+    p = spark.createDataFrame([(k, *xy) for k, xy in enumerate(points)], "pid long, px double, py double")
+
+    def inside(x, y, ring):
+        return sum((y0 <= y) != (y1 <= y) and x < x0 + (y - y0) * (x1 - x0) / (y1 - y0) for (x0, y0), (x1, y1) in zip(ring, ring[1:] + ring[:1])) % 2
+
+    want = {(k, name) for k, (x, y) in enumerate(points) for name, _, ring in rings if inside(x, y, ring)}
+    assert {tuple(r) for r in outlines.points_in_polygons(p, edges).select("pid", "region").collect()} == want
+
+
 def test_many_layers_merge_in_one_exchange(spark):
     a = spark.createDataFrame([(1, 2.0, 7), (2, None, 8)], "k int, v double, a int")
     b = spark.createDataFrame([(1, 2.0, 1), (2, 5.0, 2), (3, 1.0, 3)], "k int, v double, b int")
