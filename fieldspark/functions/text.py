@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import json
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -159,22 +161,46 @@ def mask_levels(levels: Column, inside: Column) -> Column:
     return F.when(inside, levels)
 
 
+def _text_of(value) -> str | None:
+    """A JSON value as text: strings as they are, anything else in JSON, null as nothing."""
+    if value is None or isinstance(value, str):
+        return value
+    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+
+
+def _leaves(text: str | None) -> Iterator[tuple[str, str | None, str | None, str]]:
+    """(dotted name, distribution, derived_from, table) of the leaves of one document, with a stack of open tables."""
+    root = json.loads(text) if text is not None else None
+    stack = [("", root)] if isinstance(root, dict) else []
+    while stack:
+        name, table = stack.pop()
+        for key, value in table.items():
+            if not isinstance(value, dict):
+                continue
+            path = f"{name}.{key}" if name else key
+            kind, base = _text_of(value.get("distribution")), _text_of(value.get("derived_from"))
+            if kind is None and base is None:
+                stack.append((path, value))
+            else:
+                yield path, kind, base, _text_of(value)
+
+
 def flatten_specs(df: DataFrame, doc_id: str, text: str) -> DataFrame:
     """Leaves of nested parameter tables of any depth as dotted names, with rule violations.
 
-    A leaf is a table with ``distribution`` or ``derived_from``; having both is
-    an error.  Other tables are walked through, other values are ignored.
+    A leaf is a table with ``distribution`` or ``derived_from``; having both is an error.  Other tables are
+    walked through, other values are ignored.  Every text is parsed once, in one pass without an exchange; a
+    missing text has no leaves, one that is no JSON fails.
     """
-    level = df.select(F.col(doc_id).alias("doc"), F.parse_json(text).alias("v"), F.lit("").alias("name"))
-    leaves = None
-    while leaves is None or not level.isEmpty():
-        flat = level.lateralJoin(df.sparkSession.tvf.variant_explode(F.col("v").outer())).select(
-            "doc", F.concat_ws(".", F.when(F.col("name") != "", F.col("name")), F.col("key")).alias("name"), F.col("value").alias("v"))
-        tag = lambda k: F.try_variant_get("v", f"$.{k}", "string")
-        flat = flat.where(F.schema_of_variant("v").startswith("OBJECT")).withColumns({"distribution": tag("distribution"), "derived_from": tag("derived_from")})
-        is_leaf = F.col("distribution").isNotNull() | F.col("derived_from").isNotNull()
-        found = flat.where(is_leaf).select("doc", "name", "distribution", "derived_from", F.to_json("v").alias("spec"))
-        leaves = found if leaves is None else leaves.unionByName(found)
-        level = flat.where(~is_leaf).select("doc", "v", "name")
+    names = ["name", "distribution", "derived_from", "spec"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(k, *leaf) for k, t in enumerate(batch.column(1).to_pylist()) for leaf in _leaves(t)]
+            docs = batch.column(0).take(pa.array([r[0] for r in rows], pa.int64()))
+            yield pa.RecordBatch.from_arrays([docs, *[pa.array([r[k] for r in rows], pa.string()) for k in range(1, 5)]], ["doc", *names])
+
+    kind = df.schema[doc_id].dataType.simpleString()
+    leaves = df.select(F.col(doc_id).alias("doc"), F.col(text).alias("text")).mapInArrow(run, f"doc {kind}, " + ", ".join(f"{n} string" for n in names))
     both = F.col("distribution").isNotNull() & F.col("derived_from").isNotNull()
     return leaves.withColumn("error", F.when(both, "both"))

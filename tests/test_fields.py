@@ -249,6 +249,13 @@ def test_deep_specs_and_functions_of_several_arrays(spark):
     doc = '{"a": {"b": {"c": {"d": {"e": {"distribution": "norm"}}, "x": 1}}}, "f": {"distribution": "norm", "derived_from": "a"}}'
     got = text.flatten_specs(spark.createDataFrame([(1, doc)], "doc int, text string"), "doc", "text").collect()
     assert sorted((r["name"], r["error"]) for r in got) == [("a.b.c.d.e", None), ("f", "both")]
+    deep = '{"k": ' * 300 + '{"distribution": 1, "loc": [1, "x"]}' + "}" * 300
+    odd = [(2, deep), (3, None), (4, "[1, 2]"), (5, '{"a": {"distribution": null, "derived_from": null, "x": {"derived_from": "b"}}, "b": "distribution", "c": []}'), (None, "{}")]
+    rows = text.flatten_specs(spark.createDataFrame(odd, "doc int, text string").repartition(2), "doc", "text").collect()
+    assert sorted((r["doc"], r["name"], r["distribution"], r["derived_from"], r["spec"]) for r in rows) == [
+        (2, ".".join(["k"] * 300), "1", None, '{"distribution":1,"loc":[1,"x"]}'), (5, "a.x", None, "b", '{"derived_from":"b"}')]
+    with pytest.raises(PySparkException):
+        text.flatten_specs(spark.createDataFrame([(1, "{")], "doc int, text string"), "doc", "text").collect()
     df = spark.createDataFrame([(1, [1.0, 2.0], [3.0, 4.0]), (2, None, [1.0, 1.0]), (3, [0.0, 1.0], None)], "k int, a array<double>, b array<double>")
     dot = arrays.core_function(lambda a, b: (a * b).sum(axis=1), "double")
     assert {r["k"]: r["d"] for r in df.select("k", dot(F.col("a"), F.col("b")).alias("d")).collect()} == {1: 11.0, 2: None, 3: None}
