@@ -7,6 +7,7 @@ everything: edges meet rows, tiles or bands through equality keys.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -248,13 +249,33 @@ def dissolve(region_cells: DataFrame, membership: DataFrame, group: str) -> Data
     return region_cells.join(membership, "region").select(group, "iy", "ix").distinct()
 
 
-def dilate(cells: DataFrame, radius: float, keys: tuple[str, ...] = ()) -> DataFrame:
-    """Cells within ``radius`` (cell units, centre to centre) of a cell of the set."""
-    r = int(radius)
-    disc = [(dy, dx) for dy in range(-r, r + 1) for dx in range(-r, r + 1) if dy * dy + dx * dx <= radius * radius]
-    steps = F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy, dx in disc])
-    return cells.select(*keys, F.explode(steps).alias("d"), "iy", "ix").select(
-        *keys, (F.col("iy") + F.col("d.dy")).alias("iy"), (F.col("ix") + F.col("d.dx")).alias("ix"))
+def row_spans(cells: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """The cells as runs without gaps: ``keys, iy, a, b`` with columns a to b."""
+    at = F.row_number().over(Window.partitionBy(*keys, "iy").orderBy("ix"))
+    runs = cells.select(*keys, "iy", "ix").distinct().withColumn("__run", F.col("ix") - at)
+    return runs.groupBy(*keys, "iy", "__run").agg(F.min("ix").alias("a"), F.max("ix").alias("b")).drop("__run")
+
+
+def united(spans: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Overlapping and touching spans of each row as one."""
+    row = Window.partitionBy(*keys, "iy").orderBy("a", "b")
+    reached = F.max("b").over(row.rowsBetween(Window.unboundedPreceding, -1))
+    new = F.when(F.col("a") <= reached + 1, 0).otherwise(1)
+    part = spans.withColumn("__new", new).withColumn("__part", F.sum("__new").over(row.rowsBetween(Window.unboundedPreceding, 0)))
+    return part.groupBy(*keys, "iy", "__part").agg(F.min("a").alias("a"), F.max("b").alias("b")).drop("__part")
+
+
+def dilate(cells: DataFrame, radius: float, keys: Sequence[str] = ()) -> DataFrame:
+    """Cells within ``radius`` (cell units, centre to centre) of a cell of the set, each once.
+
+    Runs of cells grow as a whole, by one span for each row that the disc reaches, so that rows grow with the
+    outline's length times the radius; spans of a row are united before cells are written out.
+    """
+    reach = F.sequence(F.lit(-int(radius)), F.lit(int(radius)))
+    wide = F.floor(F.sqrt(F.lit(float(radius) ** 2) - F.col("d") * F.col("d")))
+    grown = row_spans(cells, keys).withColumn("d", F.explode(reach)).select(
+        *keys, (F.col("iy") + F.col("d")).alias("iy"), (F.col("a") - wide).alias("a"), (F.col("b") + wide).alias("b"))
+    return united(grown, keys).select(*keys, "iy", F.explode(F.sequence("a", "b")).alias("ix"))
 
 
 def retreat_mask(reference: DataFrame, fronts: DataFrame, buffer: float = 0.0) -> DataFrame:

@@ -199,6 +199,27 @@ def test_points_in_polygons_of_all_sizes(spark):
     assert {tuple(r) for r in outlines.points_in_polygons(p, edges).select("pid", "region").collect()} == want
 
 
+@pytest.mark.parametrize("radius", [0.5, 1.0, 2.3, 5.0])
+def test_buffers_against_distances(spark, radius):
+    rng = np.random.default_rng(13)
+    cells = {(k, int(y), int(x)) for k in "ab" for y, x in rng.integers(-12, 12, (25, 2))}
+    df = spark.createDataFrame([(*c, 1) for c in cells] + [(*c, 2) for c in list(cells)[:5]], "k string, iy long, ix long, n int")
+    want = {(k, y + dy, x + dx) for k, y, x in cells for dy in range(-6, 7) for dx in range(-6, 7) if dy * dy + dx * dx <= radius * radius}
+    got = [tuple(r) for r in outlines.dilate(df, radius, ["k"]).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_wide_buffer_has_few_spans(spark):
+    """A block of cells with radius 500: one span a row on the way, and no literals of a disc in the plan."""
+    block = spark.range(100 * 100).select(F.floor(F.col("id") / 100).alias("iy"), (F.col("id") % 100).alias("ix"))
+    assert outlines.row_spans(block).count() == 100
+    out = outlines.dilate(block, 500.0)
+    n = out.count()
+    assert n == 100 * (100 + 2 * 500) + 2 * sum(100 + 2 * int((500**2 - d * d) ** 0.5) for d in range(1, 501))
+    assert len(out._jdf.queryExecution().optimizedPlan().toString()) < 4000
+    assert outlines.dilate(block.limit(0), 3.0).count() == 0
+
+
 def test_many_layers_merge_in_one_exchange(spark):
     a = spark.createDataFrame([(1, 2.0, 7), (2, None, 8)], "k int, v double, a int")
     b = spark.createDataFrame([(1, 2.0, 1), (2, 5.0, 2), (3, 1.0, 3)], "k int, v double, b int")
