@@ -296,7 +296,8 @@ def fitted(docs: DataFrame, labels: DataFrame, train: F.Column, id_col: str = "d
     docs = narrow(docs, doc="doc", text="text", learn="learn")
     labels = (labels.select(labels[id_col].alias("doc"), labels[label_col].cast("int").alias("toxic")).where("doc IS NOT NULL AND toxic IN (0, 1)")
               .groupBy("doc").agg(F.max("toxic").alias("toxic")))
-    labelled = written(_maybe_labelled(docs.where("learn"), labels).join(labels, "doc").select("text", "toxic"), "labelled")
+    # the same join at every size: a few labels would be broadcast, many not
+    labelled = written(_maybe_labelled(docs.where("learn"), labels).join(labels.hint("merge"), "doc").select("text", "toxic"), "labelled")
     mined, dropped = mined_words(labelled)
     share = labelled.agg(F.avg("toxic")).first()[0]
     voters = Voters(mined, dropped)
