@@ -10,7 +10,11 @@ skipped shingles.  Every order of the shingles gives the same result, so the hea
 matter of speed alone.
 
 Long lists that still are merged do not emit all their pairs.  Neighbours in a list are decided
-first; afterwards only pairs across the components found so far are left to look at, so a group of
+first.  Lists that then still hold several components get a centre, the member that shares most with
+the others, and every member is compared with it: near copies of one text meet in that text.  What is
+left are pairs of which one side at least is not similar to the centre.  Both differ from the centre
+in some shingles, and are similar only if these differences overlap by more than half: a second
+T-occurrence search over the differences, which are few and rare, finds all such pairs, so a group of
 near copies costs its size, not the square of it.
 
 Defined cases: null and empty texts, and texts without words, have no shingles and are linked with
@@ -43,6 +47,8 @@ HOT_ENTRIES = 200_000
 SHORT = 6
 #: Long lists in which two nodes must be neighbours to be decided first.
 CLOSE = 4
+#: Long lists are cut into bands of set sizes of this ratio, above that of similar sets.
+BAND = 1.4
 #: Share of the shingles that is merged beyond the shortest sufficient prefix, to demand several common entries.
 EXTRA = 10
 #: Bits of the node filter of the set scan.
@@ -246,6 +252,80 @@ def _linked(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     return out
 
 
+def _open_lists(entries: DataFrame, links: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Written entries (shingle, band, node) of the lists that hold nodes of several components.
+
+    A list is cut into bands of sizes; a node is in two bands, so that sizes that may be similar meet in one.
+    """
+    root = written(components(links), "roots")
+    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(BAND)))
+    placed = (entries.join(sizes, "node").join(root, "node", "left")
+              .select("shingle", "node", F.coalesce("root", "node").alias("root"), F.explode(F.array(band, band + 1)).alias("band")))
+    mixed = placed.groupBy("shingle", "band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("shingle", "band")
+    return written(placed.join(mixed, ["shingle", "band"], "left_semi").select("shingle", "band", "node"), "open")
+
+
+def _centres(placed: DataFrame) -> DataFrame:
+    """(node, centre): the members of every band of a list with that member whose lists are longest in sum."""
+    length = placed.groupBy("shingle", "band").agg(F.count("*").alias("length"))
+    score = placed.join(length, ["shingle", "band"]).groupBy("node").agg(F.sum("length").alias("score"))
+    centre = (placed.join(score, "node").groupBy("shingle", "band").agg(F.max(F.struct("score", "node")).alias("top"))
+              .select("shingle", "band", F.col("top.node").alias("centre")))
+    return placed.join(centre, ["shingle", "band"]).where("node <> centre").select("node", "centre").distinct()
+
+
+def _residuals(docs: DataFrame, members: DataFrame, hot: np.ndarray, rank: np.ndarray) -> DataFrame:
+    """Written rows of (node, centre): whether they are linked, the size n, and the node's differences from the centre.
+
+    Let c be the centre, x a node not linked to it, y another one, D and E what a node lacks of c and has beyond it,
+    and p = 75 / 175.  x and y share |c| - |Dx| - |Dy| + o, where o is what their differences share, and are linked
+    from p (|x| + |y|) on; hence o >= p (|x| + |c|) - |x & c| =: far(x), which is above 0, and o > p |Ey| + (1 - p) |Dy|.
+    So the first |D| + |E| - far(x) + 1 differences of x (``outer``) and the first of y that leave less than that share
+    (``inner``) have one in common, in any order; additions come first, as the rarest, then the frequent shingles.
+    """
+    members = written(members, "members")
+    sets = written(_node_sets(docs, members.select(F.explode(F.array("node", "centre")).alias("node"))), "sets")
+    both = (members.join(sets.select("node", F.col("set").alias("x")), "node")
+            .join(sets.select(F.col("node").alias("centre"), F.col("set").alias("c")), "centre").select("node", "centre", "x", "c"))
+    schema = pa.schema([("node", pa.int64()), ("centre", pa.int64()), ("linked", pa.bool_()), ("n", pa.int64()),
+                        ("outer", pa.list_(pa.int64())), ("inner", pa.list_(pa.int64()))])
+
+    def ordered(added, lacking):
+        if len(hot):
+            at = np.minimum(np.searchsorted(hot, added), len(hot) - 1)
+            cold = hot[at] != added
+            added = np.concatenate([added[cold], added[~cold][np.argsort(rank[at[~cold]], kind="stable")]])
+        return np.concatenate([added, ~lacking]).view(np.int64)
+
+    def run(batches):
+        for batch in batches:
+            linked, n, outer, inner = [], [], [], []
+            for x, c in zip(batch.column(2), batch.column(3)):
+                x, c = np.frombuffer(x.as_py(), A.U), np.frombuffer(c.as_py(), A.U)
+                added, lacking = np.setdiff1d(x, c, assume_unique=True), np.setdiff1d(c, x, assume_unique=True)
+                common, both_sizes = len(c) - len(lacking), len(x) + len(c)
+                far = max(-(-PERCENT * both_sizes // (100 + PERCENT)), least_common(len(x))) - common
+                share = max((PERCENT * len(added) + 100 * len(lacking)) // (100 + PERCENT) + 1, far)
+                r = ordered(added, lacking)
+                linked.append(100 * common >= PERCENT * (both_sizes - common))
+                n.append(len(x))
+                outer.append(r[:0] if linked[-1] else r[:max(len(r) - far + 1, 0)])
+                inner.append(r[:max(len(r) - share + 1, 0)])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(v, f.type) for v, f in zip((linked, n, outer, inner), list(schema)[2:]))], schema=schema)
+
+    return written(both.mapInArrow(tidy(run), "node long, centre long, linked boolean, n long, outer array<long>, inner array<long>"), "residuals")
+
+
+def _residual_pairs(stars: DataFrame, links: DataFrame) -> DataFrame:
+    """Pairs (a, b) in different components whose differences from one centre share enough to be looked at."""
+    root = written(components(links), "roots")
+    placed = stars.join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    side = lambda part, out: placed.select("centre", F.explode(part).alias("item"), F.col("node").alias(out), F.col("root").alias(f"root_{out}"), F.col("n").alias(f"n_{out}"))
+    fit = PERCENT * F.greatest("n_a", "n_b") <= 100 * F.least("n_a", "n_b")
+    return (side("outer", "a").join(side("inner", "b"), ["centre", "item"]).where((F.col("root_a") != F.col("root_b")) & fit)
+            .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+
+
 def node_links(docs: DataFrame, rows: DataFrame) -> DataFrame:
     """Links (a, b) that connect exactly the components of all similar pairs of nodes."""
     spark = docs.sparkSession
@@ -278,16 +358,12 @@ def node_links(docs: DataFrame, rows: DataFrame) -> DataFrame:
     first = _linked(docs, chain.select("a", "b").union(sized.where("c >= k").select("a", "b")))
     if entries.isEmpty():
         return first
-    root = written(components(first), "roots")
-    placed = entries.select("shingle", F.col("a").alias("node")).join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    mixed = placed.groupBy("shingle").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("shingle")
-    open_ = written(placed.join(mixed, "shingle", "left_semi"), "open")
-    x, y = open_.alias("x"), open_.alias("y")
-    cross = (x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root")))
-             .select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).groupBy("a", "b").agg(F.count("*").alias("c")))
-    cross = cross.join(na, "a").join(nb, "b").where(fit).select("a", "b", "c", least.alias("k"))
-    rest = (cross.union(sized.where("c < k")).groupBy("a", "b").agg(F.sum("c").alias("c"), F.first("k").alias("k")).where("c >= k"))
-    return first.union(_linked(docs, rest.join(first, ["a", "b"], "left_anti")))
+    placed = _open_lists(entries.select("shingle", F.col("a").alias("node")), first, sizes)
+    stars = _residuals(docs, _centres(placed), hot, rank)
+    release(spark)
+    near = stars.where("linked").select(F.col("node").alias("a"), F.col("centre").alias("b"))
+    first = written(first.union(near), "links")
+    return first.union(_linked(docs, _residual_pairs(stars, first)))
 
 
 def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

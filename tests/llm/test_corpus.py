@@ -629,6 +629,27 @@ def test_jaccard_edges_of_the_threshold(spark):
     assert sorted(map(tuple, got), key=lambda r: (*key(r), r[1])) == brute_groups(data)
 
 
+@pytest.mark.parametrize("with_base", [True, False])
+def test_jaccard_groups_of_near_copies(spark, monkeypatch, with_base):
+    """Many edits of one text: similar to the text, mostly not to each other; others share a passage only."""
+    monkeypatch.setattr(jaccard, "SHORT", 2)
+    rng = random.Random(5)
+    base = [f"v{rng.randint(0, 900)}" for _ in range(90)]
+    data = [(0, " ".join(base))] if with_base else []
+    for i in range(1, 150):
+        text, edits = list(base), rng.randint(1, 7)
+        for _ in range(edits):
+            at = rng.randrange(len(text))
+            kind = rng.random()
+            text[at:at + 1] = [] if kind < 0.2 else [text[at], f"n{rng.randint(0, 40)}"] if kind < 0.4 else [f"n{rng.randint(0, 400)}"]
+        data.append((i, " ".join(text[:rng.choice([90, 90, 70])])))
+    for i in range(150, 200):
+        data.append((i, " ".join(base[20:60] + [f"o{i}x{j}" for j in range(rng.choice([4, 12, 30]))])))
+    got = jaccard.digest(jaccard.jaccard_groups(spark.createDataFrame(data, "doc_id long, text string"))).collect()
+    assert sorted(map(tuple, got), key=lambda r: (*key(r), r[1])) == brute_groups(data)
+    assert len({r.component_id for r in got}) > 20
+
+
 def test_one_of_each(docs, rows):
     kept = jaccard.one_of_each(docs)
     assert kept.columns == docs.columns
