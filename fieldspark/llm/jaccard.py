@@ -10,7 +10,7 @@ skipped shingles.  Every order of the shingles gives the same result, so the hea
 matter of speed alone.
 
 Long lists that still are merged do not emit all their pairs.  Neighbours in a list are decided
-first.  Lists that then still hold several components get a centre, the member that shares most with
+first.  Lists above a fixed length that then still hold several components get a centre, the member that shares most with
 the others, and every member is compared with it: near copies of one text meet in that text.  What is
 left are pairs of which one side at least is not similar to the centre.  Both differ from the centre
 in some shingles, and are similar only if these differences overlap by more than half: a second
@@ -47,6 +47,8 @@ HOT_ENTRIES = 200_000
 SHORT = 6
 #: Long lists in which two nodes must be neighbours to be decided first.
 CLOSE = 4
+#: Bands of long lists up to this length count their pairs, which are linear in the entries; longer ones get a centre.
+MEDIUM = 32
 #: Long lists are cut into bands of set sizes of this ratio, above that of similar sets.
 BAND = 1.4
 #: Share of the shingles that is merged beyond the shortest sufficient prefix, to demand several common entries.
@@ -253,22 +255,31 @@ def _linked(docs: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def _open_lists(entries: DataFrame, links: DataFrame, sizes: DataFrame) -> DataFrame:
-    """Written entries (shingle, band, node) of the lists that hold nodes of several components.
+    """Written entries (shingle, band, length, node, n, own, root) of the lists that hold nodes of several components.
 
-    A list is cut into bands of sizes; a node is in two bands, so that sizes that may be similar meet in one.
+    A list is cut into bands of sizes; a node is in its own band and the next, so two nodes whose sizes fit
+    meet in the larger of their own bands.
     """
     root = written(components(links), "roots")
-    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(BAND)))
     placed = (entries.join(sizes, "node").join(root, "node", "left")
-              .select("shingle", "node", F.coalesce("root", "node").alias("root"), F.explode(F.array(band, band + 1)).alias("band")))
-    mixed = placed.groupBy("shingle", "band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("shingle", "band")
-    return written(placed.join(mixed, ["shingle", "band"], "left_semi").select("shingle", "band", "node"), "open")
+              .withColumn("own", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(BAND))))
+              .select("shingle", "node", "n", "own", F.coalesce("root", "node").alias("root"), F.explode(F.array(F.col("own"), F.col("own") + 1)).alias("band")))
+    mixed = (placed.groupBy("shingle", "band").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("length"))
+             .where("lo <> hi").select("shingle", "band", "length"))
+    return written(placed.join(mixed, ["shingle", "band"]), "open")
+
+
+def _pairs_of_lists(placed: DataFrame) -> DataFrame:
+    """(a, b, na, nb, c): nodes of different components with the number of lists in which they meet."""
+    side = lambda x: placed.select("shingle", "band", F.col("node").alias(x), *(F.col(c).alias(c + x) for c in ("n", "own", "root")))
+    meet = (F.col("a") < F.col("b")) & (F.col("roota") != F.col("rootb")) & (F.col("band") == F.greatest("owna", "ownb"))
+    fit = PERCENT * F.greatest("na", "nb") <= 100 * F.least("na", "nb")
+    return side("a").join(side("b"), ["shingle", "band"]).where(meet & fit).groupBy("a", "b", "na", "nb").agg(F.count("*").alias("c"))
 
 
 def _centres(placed: DataFrame) -> DataFrame:
     """(node, centre): the members of every band of a list with that member whose lists are longest in sum."""
-    length = placed.groupBy("shingle", "band").agg(F.count("*").alias("length"))
-    score = placed.join(length, ["shingle", "band"]).groupBy("node").agg(F.sum("length").alias("score"))
+    score = placed.groupBy("node").agg(F.sum("length").alias("score"))
     centre = (placed.join(score, "node").groupBy("shingle", "band").agg(F.max(F.struct("score", "node")).alias("top"))
               .select("shingle", "band", F.col("top.node").alias("centre")))
     return placed.join(centre, ["shingle", "band"]).where("node <> centre").select("node", "centre").distinct()
@@ -359,11 +370,14 @@ def node_links(docs: DataFrame, rows: DataFrame) -> DataFrame:
     if entries.isEmpty():
         return first
     placed = _open_lists(entries.select("shingle", F.col("a").alias("node")), first, sizes)
-    stars = _residuals(docs, _centres(placed), hot, rank)
+    # a pair that meets in no list above MEDIUM is counted in all lists it shares
+    cross = _pairs_of_lists(placed.where(F.col("length") <= MEDIUM)).select("a", "b", "c", least.alias("k"))
+    rest = written(cross.union(sized.where("c < k")).groupBy("a", "b").agg(F.sum("c").alias("c"), F.first("k").alias("k")).where("c >= k").select("a", "b"), "rest")
+    stars = _residuals(docs, _centres(placed.where(F.col("length") > MEDIUM)), hot, rank)
     release(spark)
     near = stars.where("linked").select(F.col("node").alias("a"), F.col("centre").alias("b"))
     first = written(first.union(near), "links")
-    return first.union(_linked(docs, _residual_pairs(stars, first)))
+    return first.union(_linked(docs, rest.union(_residual_pairs(stars, first))))
 
 
 def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -629,10 +629,11 @@ def test_jaccard_edges_of_the_threshold(spark):
     assert sorted(map(tuple, got), key=lambda r: (*key(r), r[1])) == brute_groups(data)
 
 
-@pytest.mark.parametrize("with_base", [True, False])
-def test_jaccard_groups_of_near_copies(spark, monkeypatch, with_base):
+@pytest.mark.parametrize("with_base, medium", [(True, 32), (False, 3)])
+def test_jaccard_groups_of_near_copies(spark, monkeypatch, with_base, medium):
     """Many edits of one text: similar to the text, mostly not to each other; others share a passage only."""
     monkeypatch.setattr(jaccard, "SHORT", 2)
+    monkeypatch.setattr(jaccard, "MEDIUM", medium)
     rng = random.Random(5)
     base = [f"v{rng.randint(0, 900)}" for _ in range(90)]
     data = [(0, " ".join(base))] if with_base else []
