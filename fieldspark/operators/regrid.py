@@ -18,8 +18,9 @@ def bilinear(
 
     Every target is returned, for every distinct combination of ``slices`` in the
     source; targets that the source does not cover are missing.
-    Each target meets its four neighbours through an equality join.  Missing
-    neighbours are left out and weights renormalised; with
+    Each target meets its four neighbours through an equality join; Spark takes
+    the exploded neighbours for no larger than the targets' file, so that side
+    asks for a merge join and is never broadcast.  Missing neighbours are left out and weights renormalised; with
     ``renormalise=False`` one missing neighbour makes the result missing.
     """
     t = targets.withColumns({"__u": grid.col_of(F.col("sx")) - 0.5, "__v": grid.row_of(F.col("sy")) - 0.5})
@@ -30,7 +31,7 @@ def bilinear(
                    corner(1, 0, (1 - fu) * fv), corner(1, 1, fu * fv))
     w = t.select(*target_keys, F.inline(four)).where(F.col("w") > 0)
     s = source.select("iy", "ix", *slices, *[F.nanvl(F.col(v).cast("double"), F.lit(None)).alias(v) for v in values])
-    hit = w.join(s, ["iy", "ix"])
+    hit = w.hint("merge").join(s, ["iy", "ix"])
     aggs = []
     for v in values:
         wv = F.sum(F.when(F.col(v).isNotNull(), F.col("w")))
