@@ -50,7 +50,7 @@ def every_slice(targets: DataFrame, source: DataFrame, slices: Sequence[str]) ->
     numbered = steps.withColumn("__k", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*slices)))  # the slices alone, one row each
     n = steps.agg(F.count(F.lit(1)).cast("int")).scalar()
     copies = targets.withColumn("__k", F.explode(F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))))
-    return copies.join(numbered, "__k").drop("__k")
+    return copies.join(F.broadcast(numbered), "__k").drop("__k")  # the few slices, not their copies, whose number Spark does not foresee
 
 
 def _overlaps(lo: Column, hi: Column, start: float, step: float) -> Column:

@@ -24,3 +24,9 @@ def test_bilinear_neighbours_are_not_broadcast(spark):
     out = regrid.bilinear(targets(spark, 6), field(spark, 6), ["v"])
     assert "SortMergeJoin [iy" in plan(out)
     assert out.count() == 24 and out.where("v is null").count() == 0
+
+
+def test_slices_are_broadcast_and_not_their_copies(spark):
+    out = regrid.every_slice(targets(spark, 2), field(spark, 6, 500), ["step"])
+    assert "BroadcastHashJoin [__k" in plan(out) and "Inner, BuildRight" in plan(out)
+    assert out.count() == 2 * 4 * 500
