@@ -82,7 +82,11 @@ def conservative(
 
 
 def supersample(targets: DataFrame, k: int, cx: str = "cx", cy: str = "cy", dx: float = 1.0, dy: float = 1.0) -> DataFrame:
-    """k x k evenly spread points per target cell (columns ``px, py``), for remaps across CRSs."""
+    """k x k evenly spread points per target cell (columns ``px, py``), for remaps across CRSs.
+
+    The targets are dealt over the shuffle partitions first: a small file of them would become one task of all points.
+    """
+    targets = targets.repartition(int(targets.sparkSession.conf.get("spark.sql.shuffle.partitions")), cx, cy)
     off = [(i + 0.5) / k - 0.5 for i in range(k)]
     pts = F.array(*[F.struct((F.col(cx) + a * dx).alias("px"), (F.col(cy) + b * dy).alias("py")) for b in off for a in off])
     return targets.select("*", F.inline(pts))
@@ -92,7 +96,7 @@ def nearest_mean(points: DataFrame, source: DataFrame, values: Sequence[str], gr
     """Mean over a target's points of the source cell each point falls into."""
     p = points.withColumns({"iy": F.floor(grid.row_of(F.col("py"))), "ix": F.floor(grid.col_of(F.col("px")))})
     n = p.groupBy(*keys, "iy", "ix").agg(F.count(F.lit(1)).alias("__n"))
-    j = n.join(source.select("iy", "ix", *values), ["iy", "ix"])
+    j = n.hint("merge").join(source.select("iy", "ix", *values), ["iy", "ix"])  # Spark does not foresee the number of points
     return j.groupBy(*keys).agg(*[
         F.try_divide(F.sum(F.col("__n") * F.col(v)), F.sum(F.when(F.col(v).isNotNull(), F.col("__n")))).alias(v) for v in values])
 

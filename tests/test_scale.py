@@ -30,3 +30,10 @@ def test_slices_are_broadcast_and_not_their_copies(spark):
     out = regrid.every_slice(targets(spark, 2), field(spark, 6, 500), ["step"])
     assert "BroadcastHashJoin [__k" in plan(out) and "Inner, BuildRight" in plan(out)
     assert out.count() == 2 * 4 * 500
+
+
+def test_supersampled_points_are_not_broadcast(spark):
+    t = targets(spark, 6).select("ty", "tx", F.col("sx").alias("cx"), F.col("sy").alias("cy"))
+    out = regrid.nearest_mean(regrid.supersample(t, 3), field(spark, 6), ["v"], Grid(), ["ty", "tx"])
+    assert "SortMergeJoin [iy" in plan(out)
+    assert out.count() == 24
