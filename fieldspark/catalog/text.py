@@ -155,7 +155,9 @@ def _(spark, sf):
     paths = []
     for odd, df in ((0, s.withColumn("extra", L(1))), (1, s)):
         path = f"{base}/{odd}"
-        df.where(C("exp_id") % 2 == odd).drop("exp_id", "gcm_id").write.partitionBy("member").parquet(path)
+        # one file a member, by as many tasks as there are shuffle partitions
+        dealt = df.where(C("exp_id") % 2 == odd).drop("exp_id", "gcm_id").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "member")
+        dealt.write.partitionBy("member").parquet(path)
         paths.append(f"{path}/*")
     both = mf.scan_ensemble(spark, [p.removesuffix("/*") for p in paths][:1]).drop("member").unionByName(
         mf.scan_ensemble(spark, [paths[1].removesuffix("/*")]).drop("member"), allowMissingColumns=True)

@@ -1,9 +1,17 @@
 """Plans and results that must hold when the tables grow."""
 
+import glob
+import os
+
+import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
+from fieldspark.catalog.compare import canonical, connect, duck_frame
+from fieldspark.operators import design as d
 from fieldspark.operators import regrid
 from fieldspark.operators.outlines import Grid
+from fieldspark.session import scratch_path as scratch
 
 
 def plan(df):
@@ -37,3 +45,60 @@ def test_supersampled_points_are_not_broadcast(spark):
     out = regrid.nearest_mean(regrid.supersample(t, 3), field(spark, 6), ["v"], Grid(), ["ty", "tx"])
     assert "SortMergeJoin [iy" in plan(out)
     assert out.count() == 24
+
+
+def test_crossed_files_are_not_copied(spark):
+    files = spark.range(7).select(F.concat(F.lit("f"), F.col("id").cast("string")).alias("sample_df"), (F.col("id") * 2).alias("climate"))
+    samples = spark.range(5).select(F.col("id").alias("sample_uq"), (F.col("id") + 1).alias("size"))
+    out = d.cross_files(files, samples)
+    assert "Generate explode" not in plan(out)
+    assert {tuple(r) for r in out.select("sample", "climate", "size").collect()} == {(f"f{i}_uq_{j}", 2 * i, j + 1) for i in range(7) for j in range(5)}
+    assert d.cross_files(files.where("climate < 0"), samples).count() == 0
+
+
+@pytest.fixture
+def tables(sf, tmp_path):
+    """A folder with the smallest tables, of which a test may replace some."""
+    for path in glob.glob(f"{sf}/*.parquet"):
+        os.symlink(path, tmp_path / os.path.basename(path))
+
+    def replace(name, sql):
+        con = connect(sf)
+        os.unlink(tmp_path / f"{name}.parquet")
+        con.execute(f"copy ({sql}) to '{tmp_path}/{name}.parquet'")
+
+    replace.path = str(tmp_path)
+    return replace
+
+
+def agrees(spark, path, name):
+    mine, (theirs, _) = entry.queries()[name](spark, path).toPandas(), duck_frame(connect(path), entry.oracle_sql()[name])
+    assert canonical(mine) == canonical(theirs)
+    return mine
+
+
+def test_long_ids_keep_all_digits(spark, tables):
+    tables("customer", "select * replace (c_custkey + 123400 as c_custkey) from customer")
+    assert agrees(spark, tables.path, "S5_id_list_scan")["rgi_id"].str.fullmatch(r"RGI2000-v7.0-G-\d\d-\d{6}").all()
+
+
+def test_one_of_equally_drawn_members_is_the_most_drawn(spark, tables):
+    tables("orders", "select o.* replace (100 * e as o_custkey, 1000.0 as o_totalprice) from (from orders limit 1) o, range(1001) r(e)")
+    got = agrees(spark, tables.path, "A28_resample_counts")
+    assert (got["n"] == got["n"].max()).sum() > 1 and got["most_drawn"].sum() == 1
+
+
+def test_conservative_remap_of_a_long_grid(spark, tables):
+    tables("supplier", "select s.* replace (1300 + s_suppkey as s_suppkey) from supplier s")
+    tables("lineitem", "select * replace (1300 + l_suppkey as l_suppkey) from lineitem")
+    assert agrees(spark, tables.path, "J20_conservative_remap")["ty"].max() >= 400
+
+
+def test_members_have_one_file_each(spark, sf, monkeypatch):
+    from fieldspark.catalog import text
+
+    made = []
+    monkeypatch.setattr(text, "scratch_path", lambda s, name: made.append(scratch(s, name)) or made[-1])
+    entry.queries()["S2_ensemble_scan"](spark, sf)
+    files = glob.glob(f"{made[0]}/*/member=*/*.parquet")
+    assert len(files) == len({os.path.dirname(f) for f in files}) > 0
