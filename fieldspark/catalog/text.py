@@ -173,7 +173,7 @@ def _(spark, sf):
     return mf.scan_point_grid(spark, path)
 
 
-@query("S5_id_list_scan", "SELECT 'RGI2000-v7.0-G-' || lpad(CAST(c_nationkey AS VARCHAR), 2, '0') || '-' || lpad(CAST(c_custkey AS VARCHAR), 5, '0') AS rgi_id, 'N' || c_nationkey % 3 || '_AK' AS grp, lpad(CAST(c_nationkey AS VARCHAR), 2, '0') AS region FROM customer")
+@query("S5_id_list_scan", "SELECT 'RGI2000-v7.0-G-' || lpad(CAST(c_nationkey AS VARCHAR), 2, '0') || '-' || printf('%05d', c_custkey) AS rgi_id, 'N' || c_nationkey % 3 || '_AK' AS grp, lpad(CAST(c_nationkey AS VARCHAR), 2, '0') AS region FROM customer")
 def _(spark, sf):
     base = scratch_path(spark, "ids")
     d = v.table(spark, sf, "customer").select(F.format_string("RGI2000-v7.0-G-%02d-%05d", "c_nationkey", "c_custkey").alias("rgi_id"),
