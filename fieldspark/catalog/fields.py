@@ -38,7 +38,7 @@ def _(spark, sf):
 
 CONSERVATIVE = """(SELECT ty, tx, sum(w * v) / sum(CASE WHEN v IS NOT NULL THEN w END) AS v FROM (SELECT h.v, ty, tx,
       (least(h.iy + 1, 0.7::DOUBLE + (ty + 1) * 3.25) - greatest(h.iy, 0.7::DOUBLE + ty * 3.25)) * (least(h.ix + 1, -0.4::DOUBLE + (tx + 1) * 2.5) - greatest(h.ix, -0.4::DOUBLE + tx * 2.5)) AS w
-    FROM {holed} h JOIN (SELECT unnest(range(-1, 400)) AS ty) a ON h.iy < 0.7::DOUBLE + (ty + 1) * 3.25 AND h.iy + 1 > 0.7::DOUBLE + ty * 3.25
+    FROM {holed} h JOIN (SELECT unnest(range(-1, (SELECT max(s_suppkey) // 3 + 2 FROM supplier))) AS ty) a ON h.iy < 0.7::DOUBLE + (ty + 1) * 3.25 AND h.iy + 1 > 0.7::DOUBLE + ty * 3.25
       JOIN (SELECT unnest(range(-1, 40)) AS tx) b ON h.ix < -0.4::DOUBLE + (tx + 1) * 2.5 AND h.ix + 1 > -0.4::DOUBLE + tx * 2.5) WHERE w > 1e-12 GROUP BY ALL)"""
 
 
