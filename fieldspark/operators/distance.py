@@ -3,8 +3,9 @@
 Two exchanges, whatever the size of a hole, and no join of gaps with valid cells.  Bands of rows find
 the nearest valid cells of each row for every column that has gaps somewhere.  Bands of columns then
 look along each column: a row whose nearest valid cell is g columns away is a parabola g^2 + dy^2, and
-the lowest one at a gap names its nearest cell.  For one neighbour the lower envelope of the parabolas
-is built, for several their lists are merged outwards until no farther row can matter.  Along a column
+the lowest one at a gap names its nearest cell.  Lists of the k nearest are merged outwards until no
+farther row can matter; for one neighbour, gaps that are still open after some rows take theirs from the
+lower envelope of their column's parabolas, so that the width of a hole does not count.  Along a column
 nothing beyond the k-th valid cell next to a gap can be among its k nearest, so such cells stay behind.
 """
 
@@ -17,8 +18,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Rows of a band in the first pass and columns of a band in the second: a task holds one band of the grid.
+#: Least rows of a band in the first pass and most columns of a band in the second.
 BAND = 64
+#: Cells of a band, where one row or column does not hold more: bands follow the shape of the grid.
+CELLS = 1 << 18
+#: Rows looked at on either side of a gap before the envelope takes over.
+OUTWARDS = 32
 FAR = np.iinfo(np.int64).max // 4
 
 
@@ -71,14 +76,17 @@ def _lowest(ys: np.ndarray, height: np.ndarray, at: list[np.ndarray]) -> list[np
     return [stack[np.maximum(np.searchsorted(start[:top[c] + 1, c], y, side="right") - 1, 0), c] if top[c] >= 0 else np.full(len(y), -1) for c, y in enumerate(at)]
 
 
-def _merged(ys: np.ndarray, dx2: np.ndarray, sx: np.ndarray, r: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Squared distance, row and list place of the k nearest cells of each gap (r, c), merged from its own row outwards."""
+def _merged(ys: np.ndarray, dx2: np.ndarray, sx: np.ndarray, r: np.ndarray, c: np.ndarray, most: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Squared distance, row and list place of the k nearest cells of each gap (r, c), merged from its own row outwards.
+
+    Last come the gaps still open after ``most`` rows.
+    """
     k = dx2.shape[2]
     none = np.full((len(r), k), FAR)
     best, rows, place, xs = dx2[r, c], np.repeat(r[:, None], k, 1), np.repeat(np.arange(k)[None, :], len(r), 0), sx[r, c]
     best, xs = np.where(best < FAR, best, none), np.where(best < FAR, xs, 0)
     alive, step = np.arange(len(r)), 1
-    while len(alive):
+    while len(alive) and (most is None or step <= most):
         go_on = np.zeros(len(alive), dtype=bool)
         for side in (-step, step):
             other = r[alive] + side
@@ -91,7 +99,7 @@ def _merged(ys: np.ndarray, dx2: np.ndarray, sx: np.ndarray, r: np.ndarray, c: n
             order = np.lexsort((every[3], every[1], every[0]), axis=-1)[:, :k]
             best[a], rows[a], place[a], xs[a] = (np.take_along_axis(e, order, 1) for e in every)
         alive, step = alive[go_on], step + 1
-    return best, rows, place
+    return best, rows, place, alive
 
 
 def _lists(flat: np.ndarray, lengths: np.ndarray, kind: pa.DataType) -> pa.Array:
@@ -147,18 +155,20 @@ def _second_pass(table: pa.Table, keys: Sequence[str], k: int) -> Iterator[pa.Ta
         sx[r[row], c[row], place], sv[r[row], c[row], place] = flat, part.column("sv").combine_chunks().flatten().to_numpy()
         dx2[r[row], c[row], place] = (flat - ix[row]) ** 2
         gr, gc = r[gap], c[gap]
+        d2, rows, place, left = _merged(ys, dx2, sx, gr, gc, OUTWARDS if k == 1 else None)
+        if len(left):
+            cols, at = np.unique(gc[left], return_inverse=True)
+            order = np.argsort(at, kind="stable")
+            left, edges = left[order], np.searchsorted(at[order], np.arange(len(cols) + 1))
+            found = np.concatenate(_lowest(ys - ys[0], dx2[:, cols, 0], [ys[gr[left[a:b]]] - ys[0] for a, b in zip(edges, edges[1:])]))
+            rows[left, 0], place[left, 0] = np.maximum(found, 0), 0
+            d2[left, 0] = np.where(found >= 0, dx2[rows[left, 0], gc[left], 0] + (ys[rows[left, 0]] - ys[gr[left]]) ** 2, FAR)
+        near = d2 < FAR
+        known = near.any(axis=1)
         if k == 1:
-            order = np.argsort(gc, kind="stable")
-            gr, gc = gr[order], gc[order]
-            edges = np.searchsorted(gc, np.arange(len(xs) + 1))
-            rows = np.concatenate([np.zeros(0, dtype=np.int64), *_lowest(ys - ys[0], dx2[:, :, 0], [ys[gr[a:b]] - ys[0] for a, b in zip(edges, edges[1:])])])
-            known = rows >= 0
-            fill = sv[rows, gc, 0]
+            fill = sv[rows[:, 0], gc, 0]
         else:
-            d2, rows, place = _merged(ys, dx2, sx, gr, gc)
-            near = d2 < FAR
             weight = np.where(near, 1 / np.sqrt(np.where(near, d2, 1)), 0.0)
-            known = near.any(axis=1)
             fill = (weight * sv[rows, gc[:, None], place]).sum(axis=1) / np.where(known, weight.sum(axis=1), 1)
         n = len(gr)
         yield pa.table({**{key: pa.array([table.column(key)[0].as_py()] * n, table.schema.field(key).type) for key in keys},
@@ -178,13 +188,19 @@ def _grouped(df: DataFrame, keys: Sequence[str], run, schema: str) -> DataFrame:
     return df.groupBy(*keys).applyInArrow(lambda table: whole(table).cast(empty.schema), schema)
 
 
-def fill_gaps(field: DataFrame, value: str | Sequence[str], neighbours: int = 1, slices: Sequence[str] = (), band: int = BAND) -> DataFrame:
+def _bands(height: int, width: int, k: int) -> tuple[int, int]:
+    """Rows of a band in the first pass and columns of a band in the second."""
+    return max(BAND, CELLS // max(width, 1)), min(BAND, max(CELLS // (height * k), 1))
+
+
+def fill_gaps(field: DataFrame, value: str | Sequence[str], neighbours: int = 1, slices: Sequence[str] = (), band: int | None = None) -> DataFrame:
     """Fill missing cells from the nearest valid ones (1) or the inverse-distance mean of the k nearest.
 
     Gap cells are explicit rows with a NULL value; cells without a row are neither valid nor filled.  Ties
     in distance go by (iy, ix).  Several values are filled in one pass, each from its own valid cells.  A
-    gap stays NULL where its slice has no valid cell; with fewer than k cells, those are taken.  ``band``
-    times the longer side of the grid must fit a task.
+    gap stays NULL where its slice has no valid cell; with fewer than k cells, those are taken.  A task
+    holds a band of about ``CELLS`` cells, but one column and ``BAND`` rows at least; ``band`` sets the rows
+    and columns of a band by hand.
     """
     values = [value] if isinstance(value, str) else list(value)
     k, sl = neighbours, list(slices)
@@ -192,12 +208,13 @@ def fill_gaps(field: DataFrame, value: str | Sequence[str], neighbours: int = 1,
     doubles = {v: F.nanvl(F.col(v).cast("double"), F.lit(None)) for v in values}
     cells = field.select(*[F.col(s).alias(a) for a, s in names.items()], F.col("iy").cast("long").alias("iy"), F.col("ix").cast("long").alias("ix"),
                          *[c.alias(f"v{n}") for n, c in enumerate(doubles.values())])
-    open_ = cells.where(" OR ".join(f"v{n} IS NULL" for n in range(len(values))))
-    columns = open_.groupBy("ix").agg(*[F.max(F.col(f"v{n}").isNull()).alias(f"v{n}") for n in range(len(values))]).collect()  # one row a grid column at most
+    columns = cells.groupBy("ix").agg(F.min("iy").alias("lo"), F.max("iy").alias("hi"), *[F.max(F.col(f"v{n}").isNull()).alias(f"v{n}") for n in range(len(values))]).collect()  # one row a grid column
+    height = max((r.hi for r in columns), default=0) - min((r.lo for r in columns), default=0) + 1
+    by_rows, by_columns = (band, band) if band else _bands(height, len(columns), k)
     gap_columns = [np.array(sorted(r.ix for r in columns if r[f"v{n}"]), dtype=np.int64) for n in range(len(values))]
     kinds = "".join(f"{a} {dict(cells.dtypes)[a]}, " for a in names)
     keys = list(names)
-    lists = _grouped(cells.withColumn("__rows", F.floor(F.col("iy") / band)), [*keys, "__rows"], lambda t: _first_pass(t, len(values), keys, gap_columns, k, band),
+    lists = _grouped(cells.withColumn("__rows", F.floor(F.col("iy") / by_rows)), [*keys, "__rows"], lambda t: _first_pass(t, len(values), keys, gap_columns, k, by_columns),
                      f"{kinds}band long, value int, iy long, ix long, gap boolean, sx array<bigint>, sv array<double>")
     filled = _grouped(lists, [*keys, "band"], lambda t: _second_pass(t, keys, k), f"{kinds}value int, iy long, ix long, fill double")
     wide = filled.groupBy(*keys, "iy", "ix").agg(*[F.max(F.when(F.col("value") == n, F.col("fill"))).alias(f"__f{n}") for n in range(len(values))])

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from fieldspark.catalog.compare import canonical, connect, duck_frame
 from fieldspark.operators import design as d
-from fieldspark.operators import regrid
+from fieldspark.operators import distance, regrid
 from fieldspark.operators.outlines import Grid
 from fieldspark.session import scratch_path as scratch
 
@@ -102,3 +102,13 @@ def test_members_have_one_file_each(spark, sf, monkeypatch):
     entry.queries()["S2_ensemble_scan"](spark, sf)
     files = glob.glob(f"{made[0]}/*/member=*/*.parquet")
     assert len(files) == len({os.path.dirname(f) for f in files}) > 0
+
+
+def test_bands_of_a_long_grid_stay_small(spark):
+    for height in (1_000, 60_000, 360_000):
+        rows, columns = distance._bands(height, 60, 4)
+        assert 60 * rows <= distance.CELLS and (columns == 1 or 4 * height * columns <= distance.CELLS)
+    hole = spark.range(400 * 3).select(F.floor(F.col("id") / 3).alias("iy"), (F.col("id") % 3).alias("ix")).withColumn(
+        "v", F.when(~F.col("iy").between(100, 298) | ((F.col("iy") == 150) & (F.col("ix") == 2)), F.col("iy").cast("double")))  # wider than the rows looked at one by one
+    got = {(r.iy, r.ix): r.v for r in distance.fill_gaps(hole, "v").collect()}
+    assert got[120, 1] == 99 and got[130, 0] == 150 and got[225, 0] == 299 and got[224, 0] == 150 and got[224, 1] == 150 and got[226, 2] == 299
