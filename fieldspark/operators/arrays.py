@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from typing import Any
 
 import numpy as np
@@ -48,3 +48,15 @@ def grouped_function(df: DataFrame, keys: Sequence[str], fn: Callable[[pd.DataFr
 
     schema = ", ".join([*[f"`{k}` {types[k]}" for k in ks], returns])
     return d.groupBy(*ks, "__salt").applyInPandas(run, schema)
+
+
+def batch_function(df: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], returns: str) -> DataFrame:
+    """Apply a pandas function to every Arrow batch, which holds rows of many keys; the caller merges the partial results of a key.
+
+    For functions that can be merged: no exchange comes before them, and no call is made per key.
+    """
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield fn(pdf)
+
+    return df.mapInPandas(run, returns)

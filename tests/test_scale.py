@@ -112,3 +112,9 @@ def test_bands_of_a_long_grid_stay_small(spark):
         "v", F.when(~F.col("iy").between(100, 298) | ((F.col("iy") == 150) & (F.col("ix") == 2)), F.col("iy").cast("double")))  # wider than the rows looked at one by one
     got = {(r.iy, r.ix): r.v for r in distance.fill_gaps(hole, "v").collect()}
     assert got[120, 1] == 99 and got[130, 0] == 150 and got[225, 0] == 299 and got[224, 0] == 150 and got[224, 1] == 150 and got[226, 2] == 299
+
+
+def test_grouped_function_makes_no_group_of_each_key(spark, tables):
+    tables("events", "select * replace (if(user_id % 3 = 0 or event_id % 2 = 0, null, value) as value) from events")
+    agrees(spark, tables.path, "X1_grouped_function")
+    assert "FlatMapGroups" not in plan(entry.queries()["X1_grouped_function"](spark, tables.path))
