@@ -134,9 +134,8 @@ def _(spark, sf):
     key = lambda c: F.concat(L("k"), (C(c) % 40).cast("string")).alias("key")
     over = v.table(spark, sf, "events").select(C("user_id").alias("member"), key("event_id"))
     allowed = v.table(spark, sf, "orders").select(C("o_custkey").alias("member"), key("o_orderkey"))
-    kept, skipped = d.filter_overrides(over, allowed)
-    both = kept.withColumn("state", L("kept")).unionByName(skipped.withColumn("state", L("skipped")))
-    return both.groupBy("member", "key", "state").agg(F.count(L(1)).alias("n"))
+    counted = over.groupBy("member", "key").agg(F.count(L(1)).alias("n"))  # equal overrides have one state
+    return d.mark_overrides(counted, allowed).select("member", "key", "state", "n")
 
 
 CODES = ", ".join("(" + ", ".join(repr(x) for x in r) + ")" for r in d.CORE_EXPERIMENTS)

@@ -160,6 +160,13 @@ def scope_ids(links: DataFrame, wanted: DataFrame) -> DataFrame:
     return parents.select(F.col("c_id").alias("id"), F.lit("C").alias("kind")).union(g.select(F.col("g_id").alias("id"), F.lit("G").alias("kind")))
 
 
+def mark_overrides(overrides: DataFrame, allowed: DataFrame) -> DataFrame:
+    """The overrides with their ``state``, kept or skipped, by ``(member, key)``: one join for both."""
+    keys = ["member", "key"]
+    a = allowed.select(*keys).distinct().withColumn("__in", F.lit(True))
+    return overrides.join(a, keys, "left").withColumn("state", F.when(F.col("__in"), "kept").otherwise("skipped")).drop("__in")
+
+
 def filter_overrides(overrides: DataFrame, allowed: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(kept, skipped) overrides by ``(member, key)``."""
     keys = ["member", "key"]

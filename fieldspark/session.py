@@ -14,6 +14,9 @@ SETTINGS = {
     "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
+#: Most bytes of a file split and of a coalesced shuffle partition: both grow with the tables up to these, and a task's
+#: hash tables and sorts with them.
+BOUNDS = {"spark.sql.files.maxPartitionBytes": 32 << 20, "spark.sql.adaptive.advisoryPartitionSizeInBytes": 16 << 20}
 
 
 def build_session(master: str | None = None, app: str = "fieldspark", **extra: str) -> SparkSession:
@@ -30,6 +33,10 @@ def apply_settings(spark: SparkSession) -> SparkSession:
     """Set the runtime options on a session somebody else built."""
     for key, value in SETTINGS.items():
         spark.conf.set(key, value)
+    bytes_of = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes
+    for key, value in BOUNDS.items():
+        if bytes_of(spark.conf.get(key)) > value:  # a session with smaller tasks keeps them
+            spark.conf.set(key, f"{value}b")
     return spark
 
 

@@ -118,3 +118,27 @@ def test_grouped_function_makes_no_group_of_each_key(spark, tables):
     tables("events", "select * replace (if(user_id % 3 = 0 or event_id % 2 = 0, null, value) as value) from events")
     agrees(spark, tables.path, "X1_grouped_function")
     assert "FlatMapGroups" not in plan(entry.queries()["X1_grouped_function"](spark, tables.path))
+
+
+def test_task_sizes_are_bounded(spark):
+    from fieldspark.session import BOUNDS, apply_settings
+
+    before = {key: spark.conf.get(key) for key in BOUNDS}
+    try:
+        for key, value in BOUNDS.items():
+            spark.conf.set(key, "128m")
+            assert apply_settings(spark).conf.get(key) == f"{value}b"
+            spark.conf.set(key, "8m")
+            assert apply_settings(spark).conf.get(key) == "8m"  # smaller ones stay
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+
+
+def test_overrides_are_marked_by_one_join(spark, sf):
+    out = entry.queries()["J27_override_filter"](spark, sf)
+    assert plan(out).count("Join") == 1
+    over = spark.createDataFrame([(1, "a"), (1, "a"), (2, "a"), (None, "a")], "member long, key string")
+    allowed = spark.createDataFrame([(1, "a"), (1, "a"), (2, "b"), (None, "a")], "member long, key string")
+    got = sorted((str(r.member), r.key, r.state) for r in d.mark_overrides(over, allowed).collect())
+    assert got == [("1", "a", "kept"), ("1", "a", "kept"), ("2", "a", "skipped"), ("None", "a", "skipped")]
