@@ -12,6 +12,7 @@ nothing beyond the k-th valid cell next to a gap can be among its k nearest, so
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -222,4 +223,7 @@ def fill_gaps(field: DataFrame, value: str | Sequence[str], neighbours: int = 1,
     for a, s in (*names.items(), ("iy", "iy"), ("ix", "ix")):
         same = same & field[s].eqNullSafe(wide[a])
     rest = [field[c] for c in field.columns if c not in values]
-    return field.join(wide, same, "left").select(*rest, *[F.coalesce(F.nanvl(field[v].cast("double"), F.lit(None)), f"__f{n}").alias(v) for n, v in enumerate(values)])
+    known = {v: F.nanvl(field[v].cast("double"), F.lit(None)) for v in values}
+    whole = reduce(lambda a, b: a & b, [c.isNotNull() for c in known.values()])
+    filled = field.where(~whole).join(wide, same, "left").select(*rest, *[F.coalesce(c, f"__f{n}").alias(v) for n, (v, c) in enumerate(known.items())])
+    return field.where(whole).select(*rest, *[c.alias(v) for v, c in known.items()]).union(filled)  # rows without a gap meet nothing

@@ -11,6 +11,7 @@ from fieldspark.functions import rules
 from fieldspark.operators import align, climatology, distance, regrid
 from fieldspark.operators import series
 from fieldspark.operators.outlines import Grid
+from fieldspark.sources import sinks
 
 Builder = Callable[..., DataFrame]
 BUILDERS: dict[str, Builder] = {}
@@ -102,7 +103,8 @@ def merge_forcings(
 
     Variables are renamed, cleaned by kind, and pivoted by conditional
     aggregation, so all files of all models merge in one shuffle per cadence.
-    Missing salinity and thermal forcing take the nearest valid cell of their step.
+    Missing salinity and thermal forcing take the nearest valid cell of their step; the fill reads
+    its field several times, so a pivot with such variables is written once.
     """
     names = F.create_map(*[F.lit(x) for kv in renames.items() for x in kv])
     kind = F.create_map(*[F.lit(x) for kv in kinds.items() for x in kv])
@@ -119,8 +121,10 @@ def merge_forcings(
     near = [renames[x] for x, k in kinds.items() if k in ("salinity", "thermal_forcing") and x in renames]
     for_fast, for_slow = [n for n in near if n in fast], [n for n in near if n in slow]
     if for_fast:
+        monthly = sinks.write_and_read(fields.sparkSession, monthly, "monthly")
         monthly = distance.fill_gaps(monthly, for_fast, slices=[*keys, "year", "month"])
     if for_slow:
+        yearly = sinks.write_and_read(fields.sparkSession, yearly, "yearly")
         yearly = distance.fill_gaps(yearly, for_slow, slices=[*keys, "year"])
     return monthly, yearly
 

@@ -142,3 +142,24 @@ def test_overrides_are_marked_by_one_join(spark, sf):
     allowed = spark.createDataFrame([(1, "a"), (1, "a"), (2, "b"), (None, "a")], "member long, key string")
     got = sorted((str(r.member), r.key, r.state) for r in d.mark_overrides(over, allowed).collect())
     assert got == [("1", "a", "kept"), ("1", "a", "kept"), ("2", "a", "skipped"), ("None", "a", "skipped")]
+
+
+def test_merged_forcings_are_written_once_before_the_fill(spark):
+    from fieldspark.plans import forcing
+
+    cells = [("G", "p", "c", 2000, 1, y, x, so) for y in range(3) for x, so in enumerate((None, 5.0 + y, 9.0))]
+    long = spark.createDataFrame(cells, "gcm string, pathway string, forcing string, year int, month int, iy long, ix long, so double").unpivot(
+        ["gcm", "pathway", "forcing", "year", "month", "iy", "ix"], ["so"], "variable", "value")
+    monthly, _ = forcing.merge_forcings(long, {"so": "salinity", "mrro": "runoff"}, {"so": "salinity"}, ["mrro"])
+    assert "LocalTableScan" not in plan(monthly) and "ExistingRDD" not in plan(monthly)  # reads of the written pivot alone
+    assert sorted((r.iy, r.ix, r.salinity) for r in monthly.collect()) == [(y, x, s) for y in range(3) for x, s in ((0, 5.0 + y), (1, 5.0 + y), (2, 9.0))]
+
+
+def test_factorial_levels_are_never_shuffled(spark, sf):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = entry.queries()["R2_full_factorial"](spark, sf)
+        assert plan(out).count("BroadcastHashJoin") == 2 and "hashpartitioning" not in plan(out)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
