@@ -33,8 +33,9 @@ def _(spark, sf):
     levels = v.table(spark, sf, "supplier").select("s_suppkey", "s_acctbal")  # the values that the levels stand for
     n = levels.count()
     out = d.full_factorial(spark, ["a", "b"], n)
+    # the levels go to the combinations, their square, which are never shuffled, whatever the session's threshold
     for name, value in (("a", "low"), ("b", "high")):
-        out = out.withColumn("s_suppkey", F.round(C(name) * n).cast("bigint") - 1).join(levels.withColumnRenamed("s_acctbal", value), "s_suppkey").drop("s_suppkey")
+        out = out.withColumn("s_suppkey", F.round(C(name) * n).cast("bigint") - 1).join(F.broadcast(levels.withColumnRenamed("s_acctbal", value)), "s_suppkey").drop("s_suppkey")
     return v.rounded(out, ["a", "b"], 10)
 
 
