@@ -3,7 +3,8 @@
 Overlapping tiles of gap cells are solved exactly; between these sweeps a coarse correction takes out the
 error that tiles cannot see.  The coarse space are bilinear hats at the corners of tiles, cut to the gap
 cells; its matrix is the projection of the Laplace matrix itself, so every step reduces the error's energy,
-and by a factor that does not depend on the width of a hole.  Tiles, projected residuals and coarse systems
+and by a factor that does not depend on the width of a hole.  Holes that lie within one tile are solved once,
+before; only the others take part in the rounds.  Tiles, projected residuals and coarse systems
 (one a slice) are groups of bounded size; Spark moves cells to tiles and node values to cells by joins.
 """
 
@@ -49,6 +50,20 @@ class Tile:
             out += there.reshape(-1, *[1] * (x.ndim - 2)) * x[self.yy, self.xx] - x[q]
         return out
 
+    def closed(self) -> np.ndarray:
+        """Which core gap cells belong to holes that do not go on outside the core."""
+        label = np.full(self.core.shape, np.iinfo(np.int64).max)
+        label[self.yy, self.xx] = np.arange(len(self.yy))
+        beyond = self.gap & ~self.core
+        while True:  # the least label spreads over each hole; a cell next to a gap outside marks its hole by -1
+            new = label[self.yy, self.xx]
+            for dy, dx in STEPS:
+                q = self.yy + dy, self.xx + dx
+                new = np.minimum(new, np.where(beyond[q], -1, label[q]))
+            if (new == label[self.yy, self.xx]).all():
+                return new >= 0
+            label[self.yy, self.xx] = new
+
     def solved(self) -> np.ndarray:
         """Values of the core gap cells for which the residual vanishes, all others being fixed."""
         number = np.full(self.core.shape, -1)
@@ -151,12 +166,16 @@ def laplace_fill(
     periodic = boundary == "periodic"
     hy, hx = Hats(ny, tile, periodic), Hats(nx, tile, periodic)
 
-    # known cells next to a gap, found once
+    # known cells next to a gap
     steps = F.array(*[F.struct(F.lit(a).alias("dy"), F.lit(b).alias("dx")) for a, b in STEPS])
-    near = state.select(*sl, "iy", "ix", F.explode(steps).alias("d")).select(*sl, (F.col("iy") + F.col("d.dy")).alias("iy"), (F.col("ix") + F.col("d.dx")).alias("ix"))
-    if periodic:
-        near = near.select(*sl, F.pmod("iy", F.lit(ny)).alias("iy"), F.pmod("ix", F.lit(nx)).alias("ix"))
-    rim = known.join(near.distinct(), [*sl, "iy", "ix"], "left_semi").select(*sl, "iy", "ix", F.col("v").alias("u"), F.lit(False).alias("gap")).checkpoint()
+
+    def known_around(now: DataFrame) -> DataFrame:
+        near = now.select(*sl, "iy", "ix", F.explode(steps).alias("d")).select(*sl, (F.col("iy") + F.col("d.dy")).alias("iy"), (F.col("ix") + F.col("d.dx")).alias("ix"))
+        if periodic:
+            near = near.select(*sl, F.pmod("iy", F.lit(ny)).alias("iy"), F.pmod("ix", F.lit(nx)).alias("ix"))
+        return known.join(near.distinct(), [*sl, "iy", "ix"], "left_semi").select(*sl, "iy", "ix", F.col("v").alias("u"), F.lit(False).alias("gap")).checkpoint()
+
+    rim = known_around(state)
     wraps = (-1, 0, 1) if periodic else (0,)
 
     def tiles(now: DataFrame, shift: int) -> DataFrame:
@@ -205,9 +224,24 @@ def laplace_fill(
             out[k] = left[k].iloc[0]
         return out[[*sl, "i", "e"]]
 
-    matrix = per_tile(state, 0, projected, "i bigint, j bigint, a double").groupBy(*sl, "i", "j").agg(F.sum("a").alias("a")).checkpoint()
+    def within(t: Tile) -> dict:
+        own = t.closed()
+        t.yy, t.xx = t.yy[own], t.xx[own]
+        return swept(t)
+
     whole = sl or ["one"]  # a constant key where there are no slices
     one = {} if sl else {"one": F.lit(0)}
+    done = per_tile(state, 0, within, "iy bigint, ix bigint, u double").checkpoint()
+    state = state.join(done, [*sl, "iy", "ix"], "left_anti").select(*sl, "iy", "ix", "u").checkpoint()
+    rest = [c for c in field.columns if c != value]
+
+    def filled(solution: DataFrame) -> DataFrame:
+        return field.join(solution, [*sl, "iy", "ix"], "left").select(*rest, F.coalesce(v, "u").alias(value))
+
+    if state.isEmpty():
+        return filled(done)
+    rim = known_around(state)
+    matrix = per_tile(state, 0, projected, "i bigint, j bigint, a double").groupBy(*sl, "i", "j").agg(F.sum("a").alias("a")).checkpoint()
     best, stalled, number = float("inf"), 0, 0
     while True:
         parts = per_tile(state, 0, residual, "i bigint, r double").groupBy(*sl, "i").agg(
@@ -225,9 +259,7 @@ def laplace_fill(
             break
         state = per_tile(per_tile(_corrected(state, e, sl, hy, hx), 0, swept, "iy bigint, ix bigint, u double"), tile // 2, swept,
                          "iy bigint, ix bigint, u double").checkpoint()
-    rest = [c for c in field.columns if c != value]
-    out = field.join(state, [*sl, "iy", "ix"], "left")
-    return out.select(*rest, F.coalesce(v, "u").alias(value))
+    return filled(state.select(*sl, "iy", "ix", "u").unionByName(done.select(*sl, "iy", "ix", "u")))
 
 
 def _corrected(state: DataFrame, e: DataFrame, sl: Sequence[str], y: Hats, x: Hats) -> DataFrame:
