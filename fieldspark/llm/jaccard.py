@@ -12,10 +12,10 @@ matter of speed alone.
 Long lists that still are merged do not emit all their pairs.  Neighbours in a list are decided
 first.  Lists above a fixed length that then still hold several components get a centre, the member that shares most with
 the others, and every member is compared with it: near copies of one text meet in that text.  What is
-left are pairs of which one side at least is not similar to the centre.  Both differ from the centre
-in some shingles, and are similar only if these differences overlap by more than half: a second
-T-occurrence search over the differences, which are few and rare, finds all such pairs, so a group of
-near copies costs its size, not the square of it.
+left are pairs of which one side at least is not similar to the centre.  How many differences from the
+centre two members share decides them exactly.  These are counted block against block within tasks:
+pairs never become rows, neither sets nor pairs are shuffled, and a block gives fewer links than it
+has members.  The arithmetic, a few operations for each pair of a group, is all that grows faster than the group.
 
 Defined cases: null and empty texts, and texts without words, have no shingles and are linked with
 nothing; fewer words than a shingle are one shingle; equal rows are in one component; a null id is
@@ -49,6 +49,13 @@ SHORT = 6
 CLOSE = 4
 #: Bands of long lists up to this length count their pairs, which are linear in the entries; longer ones get a centre.
 MEDIUM = 32
+#: Members of a block of a centre's group, differences of a block, columns of its dense products, and pairs counted at once.
+GROUP = 2048
+GROUP_ITEMS = 1 << 20
+COLUMNS = 512
+PAIRS = 1 << 20
+#: Items in more than this part of a block are frequent there.
+DENSE = 16
 #: Long lists are cut into bands of set sizes of this ratio, above that of similar sets.
 BAND = 1.4
 #: Share of the shingles that is merged beyond the shortest sufficient prefix, to demand several common entries.
@@ -285,56 +292,115 @@ def _centres(placed: DataFrame) -> DataFrame:
     return placed.join(centre, ["shingle", "band"]).where("node <> centre").select("node", "centre").distinct()
 
 
-def _residuals(docs: DataFrame, members: DataFrame, hot: np.ndarray, rank: np.ndarray) -> DataFrame:
-    """Written rows of (node, centre): whether they are linked, the size n, and the node's differences from the centre.
-
-    Let c be the centre, x a node not linked to it, y another one, D and E what a node lacks of c and has beyond it,
-    and p = 75 / 175.  x and y share |c| - |Dx| - |Dy| + o, where o is what their differences share, and are linked
-    from p (|x| + |y|) on; hence o >= p (|x| + |c|) - |x & c| =: far(x), which is above 0, and o > p |Ey| + (1 - p) |Dy|.
-    So the first |D| + |E| - far(x) + 1 differences of x (``outer``) and the first of y that leave less than that share
-    (``inner``) have one in common, in any order; additions come first, as the rarest, then the frequent shingles.
-    """
+def _residuals(docs: DataFrame, members: DataFrame) -> DataFrame:
+    """Written rows of (node, centre): whether they are linked, the sizes n and n_centre, how many shingles of the
+    centre the node lacks, and its differences from the centre (additions as they are, what is lacking inverted)."""
     members = written(members, "members")
     sets = written(_node_sets(docs, members.select(F.explode(F.array("node", "centre")).alias("node"))), "sets")
     both = (members.join(sets.select("node", F.col("set").alias("x")), "node")
             .join(sets.select(F.col("node").alias("centre"), F.col("set").alias("c")), "centre").select("node", "centre", "x", "c"))
-    schema = pa.schema([("node", pa.int64()), ("centre", pa.int64()), ("linked", pa.bool_()), ("n", pa.int64()),
-                        ("outer", pa.list_(pa.int64())), ("inner", pa.list_(pa.int64()))])
-
-    def ordered(added, lacking):
-        if len(hot):
-            at = np.minimum(np.searchsorted(hot, added), len(hot) - 1)
-            cold = hot[at] != added
-            added = np.concatenate([added[cold], added[~cold][np.argsort(rank[at[~cold]], kind="stable")]])
-        return np.concatenate([added, ~lacking]).view(np.int64)
+    schema = pa.schema([("node", pa.int64()), ("centre", pa.int64()), ("linked", pa.bool_()), ("n", pa.int64()), ("n_centre", pa.int64()),
+                        ("lacking", pa.int64()), ("items", pa.binary())])
 
     def run(batches):
         for batch in batches:
-            linked, n, outer, inner = [], [], [], []
+            linked, n, n_centre, lacks, items = [], [], [], [], []
             for x, c in zip(batch.column(2), batch.column(3)):
                 x, c = np.frombuffer(x.as_py(), A.U), np.frombuffer(c.as_py(), A.U)
                 added, lacking = np.setdiff1d(x, c, assume_unique=True), np.setdiff1d(c, x, assume_unique=True)
-                common, both_sizes = len(c) - len(lacking), len(x) + len(c)
-                far = max(-(-PERCENT * both_sizes // (100 + PERCENT)), least_common(len(x))) - common
-                share = max((PERCENT * len(added) + 100 * len(lacking)) // (100 + PERCENT) + 1, far)
-                r = ordered(added, lacking)
-                linked.append(100 * common >= PERCENT * (both_sizes - common))
+                common = len(c) - len(lacking)
+                linked.append(100 * common >= PERCENT * (len(x) + len(c) - common))
                 n.append(len(x))
-                outer.append(r[:0] if linked[-1] else r[:max(len(r) - far + 1, 0)])
-                inner.append(r[:max(len(r) - share + 1, 0)])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(v, f.type) for v, f in zip((linked, n, outer, inner), list(schema)[2:]))], schema=schema)
+                n_centre.append(len(c))
+                lacks.append(len(lacking))
+                items.append(np.concatenate([added, ~lacking]).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(v, f.type) for v, f in zip((linked, n, n_centre, lacks, items), list(schema)[2:]))], schema=schema)
+
+    return written(both.mapInArrow(tidy(run), "node long, centre long, linked boolean, n long, n_centre long, lacking long, items binary"), "residuals")
+
+
+def shared_items(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """[left, right]: how many items two sorted or unsorted sets of distinct items share."""
+    out = np.zeros((len(left), len(right)), np.int32)
+    item, of = np.concatenate([*left, *right]), np.repeat(np.arange(len(left) + len(right)), [len(x) for x in (*left, *right)])
+    order = np.argsort(item, kind="stable")
+    item, of = item[order], of[order]
+    edge = np.flatnonzero(np.r_[True, item[1:] != item[:-1], True]) if len(item) else np.zeros(1, np.int64)
+    lo, hi = edge[:-1], edge[1:]
+    mid = lo + np.add.reduceat((of < len(left)).astype(np.int64), lo) if len(lo) else lo  # those of the left come first
+    met = (mid > lo) & (hi > mid)
+    lo, mid, hi = lo[met], mid[met], hi[met]
+    many = hi - lo > max(2, len(out) // DENSE, len(out.T) // DENSE)
+    for a in range(0, int(many.sum()), COLUMNS):  # frequent items: products of matrices of zeros and ones
+        l, m, h = (x[many][a:a + COLUMNS] for x in (lo, mid, hi))
+        sides = []
+        for begin, end, size, base in ((l, m, len(left), 0), (m, h, len(right), len(left))):
+            column = np.repeat(np.arange(len(begin)), end - begin)
+            at = np.arange(len(column)) - np.repeat(np.cumsum(end - begin) - (end - begin), end - begin) + np.repeat(begin, end - begin)
+            table = np.zeros((size, len(begin)), np.float32)
+            table[of[at] - base, column] = 1
+            sides.append(table)
+        out += (sides[0] @ sides[1].T).astype(np.int32)
+    flat = out.reshape(-1)
+    lo, mid, hi = lo[~many], mid[~many], hi[~many]
+    work = np.cumsum((mid - lo) * (hi - mid))
+    for a, b in _steps(work, PAIRS):  # rare ones: their pairs are counted, some at a time
+        l, m, h = lo[a:b], mid[a:b], hi[a:b]
+        size = (m - l) * (h - m)
+        k = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+        width = np.repeat(h - m, size)
+        x, y = of[np.repeat(l, size) + k // width], of[np.repeat(m, size) + k % width] - len(left)
+        cell, times = np.unique(x * len(right) + y, return_counts=True)
+        flat[cell] += times.astype(np.int32)
+    return out
+
 
-    return written(both.mapInArrow(tidy(run), "node long, centre long, linked boolean, n long, outer array<long>, inner array<long>"), "residuals")
+def _steps(work: np.ndarray, most: int):
+    """Runs of items with about ``most`` work each, from its running sums."""
+    a = 0
+    while a < len(work):
+        b = max(a + 1, int(np.searchsorted(work, (work[a - 1] if a else 0) + most, "right")))
+        yield a, b
+        a = b
 
 
-def _residual_pairs(stars: DataFrame, links: DataFrame) -> DataFrame:
-    """Pairs (a, b) in different components whose differences from one centre share enough to be looked at."""
+def _residual_links(stars: DataFrame, links: DataFrame) -> DataFrame:
+    """Links (a, b) between members of one centre that lie in different components, as few as connect the same ones.
+
+    With o differences from the centre c in common, x and y share |c| - |Dx| - |Dy| + o shingles, where D is what they
+    lack of c; so the differences alone decide every pair.  A group is dealt into blocks, and a task has two of them:
+    its pairs are counted there and never become rows, and what comes out are fewer links than members.
+    """
     root = written(components(links), "roots")
     placed = stars.join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    side = lambda part, out: placed.select("centre", F.explode(part).alias("item"), F.col("node").alias(out), F.col("root").alias(f"root_{out}"), F.col("n").alias(f"n_{out}"))
-    fit = PERCENT * F.greatest("n_a", "n_b") <= 100 * F.least("n_a", "n_b")
-    return (side("outer", "a").join(side("inner", "b"), ["centre", "item"]).where((F.col("root_a") != F.col("root_b")) & fit)
-            .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    blocks = F.ceil(F.greatest(F.count("*") / GROUP, F.sum(F.octet_length("items")) / 8 / GROUP_ITEMS)).cast("int")
+    groups = (placed.groupBy("centre").agg(blocks.alias("blocks"), F.min("root").alias("lo"), F.max("root").alias("hi"))
+              .where("lo <> hi").select("centre", "blocks"))
+    own = placed.join(groups, "centre").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    cells = own.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).select(
+        "centre", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "root", "n", "n_centre", "lacking", "items")
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def run(cell: pa.Table) -> pa.Table:
+        i, j, own, node, root, n, n_centre, lacking = (cell[c].to_numpy() for c in ("i", "j", "own", "node", "root", "n", "n_centre", "lacking"))
+        items = [np.frombuffer(x.as_py(), A.U) for x in cell["items"]]
+        left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
+        a, b = [], []
+        if len(left) and len(right):
+            group = np.unique(root, return_inverse=True)[1]
+            common = shared_items([items[k] for k in left], [items[k] for k in right])
+            for k, x in enumerate(left):
+                both = n_centre[x] - lacking[x] - lacking[right] + common[k]
+                near = right[100 * both >= PERCENT * (n[x] + n[right] - both)]
+                new, at = np.unique(group[near], return_index=True)
+                at = at[new != group[x]]
+                a += [node[x]] * len(at)
+                b += node[near[at]].tolist()
+                if len(at):
+                    group[np.isin(group, new)] = group[x]
+        return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=schema)
+
+    return cells.groupBy("centre", "i", "j").applyInArrow(run, "a long, b long")
 
 
 def node_links(docs: DataFrame, rows: DataFrame) -> DataFrame:
@@ -373,11 +439,12 @@ def node_links(docs: DataFrame, rows: DataFrame) -> DataFrame:
     # a pair that meets in no list above MEDIUM is counted in all lists it shares
     cross = _pairs_of_lists(placed.where(F.col("length") <= MEDIUM)).select("a", "b", "c", least.alias("k"))
     rest = written(cross.union(sized.where("c < k")).groupBy("a", "b").agg(F.sum("c").alias("c"), F.first("k").alias("k")).where("c >= k").select("a", "b"), "rest")
-    stars = _residuals(docs, _centres(placed.where(F.col("length") > MEDIUM)), hot, rank)
+    stars = _residuals(docs, _centres(placed.where(F.col("length") > MEDIUM)))
     release(spark)
     near = stars.where("linked").select(F.col("node").alias("a"), F.col("centre").alias("b"))
     first = written(first.union(near), "links")
-    return first.union(_linked(docs, rest.union(_residual_pairs(stars, first))))
+    first = written(first.union(_residual_links(stars, first)), "links")
+    return first.union(_linked(docs, rest))
 
 
 def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -651,6 +651,38 @@ def test_jaccard_groups_of_near_copies(spark, monkeypatch, with_base, medium):
     assert len({r.component_id for r in got}) > 20
 
 
+def test_shared_items_of_two_blocks(monkeypatch):
+    """Frequent items by products, rare ones by pairs, a few at a time."""
+    rng = np.random.default_rng(3)
+    left, right = ([rng.permutation(rng.choice(top, size, replace=False).astype(np.uint64)) for top, size in zip(rng.integers(40, 900, 60), rng.integers(0, 40, 60))] for _ in "ab")
+    want = [[len(set(x.tolist()) & set(y.tolist())) for y in right] for x in left]
+    for columns, pairs, dense in ((512, 1 << 20, 16), (3, 50, 4), (8, 7, 1)):
+        for name, value in (("COLUMNS", columns), ("PAIRS", pairs), ("DENSE", dense)):
+            monkeypatch.setattr(jaccard, name, value)
+        assert jaccard.shared_items(left, right).tolist() == want
+        assert jaccard.shared_items(left, left[:0]).shape == (60, 0)
+
+
+@pytest.mark.parametrize("block", [2048, 40])
+def test_jaccard_pairs_of_a_group_are_no_rows(spark, monkeypatch, block):
+    """Edits of a text that is not there itself: the pairs of the group are decided without sending a set for each of them."""
+    for name, value in (("SHORT", 2), ("MEDIUM", 3), ("GROUP", block)):
+        monkeypatch.setattr(jaccard, name, value, raising=False)
+    asked, linked = [], jaccard._linked
+    monkeypatch.setattr(jaccard, "_linked", lambda docs, pairs: asked.append(pairs.select("a", "b").distinct().count()) or linked(docs, pairs))
+    rng = random.Random(8)
+    base, data = [f"v{i}" for i in range(90)], []
+    for i in range(160):
+        text = list(base)
+        for at in rng.sample(range(90), rng.choice([1, 2, 3, 3])):
+            text[at] = f"n{i}x{at}" if rng.random() < 0.8 else f"n{at}"
+        data.append((i, " ".join(text)))
+    got = jaccard.digest(jaccard.jaccard_groups(spark.createDataFrame(data, "doc_id long, text string"))).collect()
+    assert sorted(map(tuple, got), key=lambda r: (*key(r), r[1])) == brute_groups(data)
+    assert len({r.component_id for r in got}) > 20
+    assert sum(asked) < 20 * len(data)
+
+
 def test_one_of_each(docs, rows):
     kept = jaccard.one_of_each(docs)
     assert kept.columns == docs.columns
