@@ -14,7 +14,9 @@ token each, as by the library's default; extra columns are not read; equal rows
 
 from __future__ import annotations
 
+import os
 import re
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -70,6 +72,13 @@ class Counter:
         return [p for p in parts if p], len(parts) - 1
 
 
+@lru_cache(1)
+def counter(path: str) -> Counter:
+    """The process's counter: a tokenizer is read once, not once a task, and its library runs in the task's own thread."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    return Counter(path)
+
+
 def _spliced(counter: Counter, text: str, chunks: list[tuple[np.ndarray, np.ndarray]], chunk: int, overlap: int) -> int:
     """Tokens of a text from the pieces of its chunks; chunk k begins at k * chunk and has ``overlap`` more behind it."""
     total, begin, k = 0, 0, 0  # tokens and place of the last splice, the chunk that goes on from there
@@ -131,9 +140,9 @@ def token_counts(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
     schema = pa.schema([("doc_id", arrow_type(docs, "doc_id")), ("n_bytes", pa.int64()), ("n_tokens", pa.int64())])
 
     def run(batches):
-        counter = Counter(tokenizer_path)
+        library = counter(tokenizer_path)
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(count_texts(counter, texts))], schema=schema)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(count_texts(library, texts))], schema=schema)
 
     return docs.mapInArrow(tidy(run), f"doc_id {sql_type(docs, 'doc_id')}, n_bytes long, n_tokens long").withColumn("over_limit", F.col("n_tokens") > limit)

@@ -314,6 +314,24 @@ def test_token_count_query(docs, rows, none):
     assert tokencount.token_counts(none, path).count() == 0
 
 
+def test_tasks_of_a_process_share_a_tokenizer(docs, monkeypatch):
+    """A worker process runs many tasks one after the other; a tokenizer for each would pile up in its memory."""
+    runs, made = [], []
+
+    class Counted(tokencount.Counter):
+        def __init__(self, path):
+            made.append(path)
+            super().__init__(path)
+
+    monkeypatch.setattr(tokencount, "Counter", Counted)
+    monkeypatch.setattr(tokencount, "tidy", lambda run: runs.append(run) or run)
+    tokencount.token_counts(docs, tokenizer("byte_bpe_50k.json"))
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array([1, 2]), "text": ["one text", None], "n_bytes": pa.array([8, 0])})
+    got = [out.column(2).to_pylist() for _ in range(3) for out in runs[0]([batch])]
+    assert got == [got[0]] * 3 and got[0][1] == 0
+    assert len(made) <= 1
+
+
 # 5 shards
 
 def test_shards(spark, rows, docs, none):
