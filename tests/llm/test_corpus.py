@@ -7,6 +7,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 from datetime import date, timedelta
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 
 from fieldspark.llm import bpe, decontaminate, jaccard, licences, mixing, pii, quality, shards, tokencount, toxicity
 from fieldspark.llm.queries import ORACLES, QUERIES, tokenizer
+from fieldspark.session import shared_dir
 
 AZ = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 SCHEMA = "doc_id long, text string, lang string, source string, shard int, text_hash long, n string"
@@ -564,6 +566,17 @@ def test_context_counts_are_exact_and_grow(spark, monkeypatch):
     assert seen == len(texts) and mixing.PREDICTORS == 4
 
 
+def test_scores_write_texts_and_counts_once(spark):
+    """The lists that are exchanged are not written, and what is written stays below the texts' bytes."""
+    root = Path(shared_dir(spark))
+    texts = sentences(21, 4000)
+    before = set(root.iterdir())
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    assert mixing.scores(frame, ~mixing.held_out()).count() == len(texts)
+    made = sum(f.stat().st_size for d in set(root.iterdir()) - before for f in d.rglob("*.parquet"))
+    assert made < 0.8 * sum(len(t.encode()) for t in texts)
+
+
 def test_weights_move_from_the_first_bytes_to_the_last():
     """Predictors that are always wrong cost less and less, in short texts and behind any length."""
     text = np.r_[np.zeros(mixing.PAD, np.uint8), np.random.default_rng(3).choice(np.frombuffer(b"etaoin shr", np.uint8), 400_000)]
