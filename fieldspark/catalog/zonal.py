@@ -114,12 +114,12 @@ def _(spark, sf):
 
 
 def _glaciers(spark, sf):
-    """One small square per customer, in the region its nation belongs to."""
-    x, y = (F.col("c_custkey") * 37 % 560) / 10 + 0.03, F.col("c_custkey") / 15
-    sq = ((0.0, 0.0), (0.2, 0.0), (0.2, 0.2), (0.0, 0.2))
+    """One small square per customer, given from its own origin (x, y), in the region its nation belongs to."""
+    x, y = (F.col("c_custkey") * 37 % 560) / 10, F.col("c_custkey") / 15
+    sq = ((0.03, 0.0), (0.23, 0.0), (0.23, 0.2), (0.03, 0.2))
     return (v.table(spark, sf, "customer").join(v.table(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
-            .select(F.col("c_custkey").alias("region"), F.lit(0).alias("ring"), F.col("n_regionkey").alias("zone"),
-                    F.array(*[F.struct((x + a).alias("x"), (y + b).alias("y")) for a, b in sq]).alias("points")))
+            .select(F.col("c_custkey").alias("region"), F.lit(0).alias("ring"), F.col("n_regionkey").alias("zone"), x.alias("x"), y.alias("y"),
+                    F.array(*[F.struct(F.lit(a).alias("x"), F.lit(b).alias("y")) for a, b in sq]).alias("points")))
 
 
 @query("J4_point_in_polygon", """WITH p AS (SELECT c_custkey AS pid, n_regionkey AS zone, (c_custkey * 37 % 560) / 10.0::DOUBLE + 0.13 AS px,
@@ -130,8 +130,10 @@ def _glaciers(spark, sf):
     SELECT p.pid, 'R' || min(hit.s_suppkey) AS complex FROM p LEFT JOIN hit USING (pid) GROUP BY ALL""")
 def _(spark, sf):
     g = _glaciers(spark, sf)
+    # the points are found from the origin: between corners far from zero the middle is rounded across a nearby edge
     reps = o.representative_points(o.edges_from_rings(g)).withColumnRenamed("region", "pid")
-    points = reps.join(g.select(F.col("region").alias("pid"), "zone"), "pid")
+    points = reps.join(g.select(F.col("region").alias("pid"), "zone", "x", "y"), "pid").select(
+        "pid", "zone", (F.col("x") + F.col("px")).alias("px"), (F.col("y") + F.col("py")).alias("py"))
     zones = v.table(spark, sf, "supplier").join(v.table(spark, sf, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).select(
         F.concat(F.lit("R"), F.col("s_suppkey").cast("string")).alias("region"), F.col("n_regionkey").alias("zone"))
     hits = o.points_in_polygons(points, v.edges(spark, sf).join(zones, "region"), group="zone")

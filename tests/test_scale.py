@@ -174,3 +174,9 @@ def test_holes_within_a_tile_take_no_round(spark):
     out = relax.laplace_fill(f.withColumn("v", F.when(~hole, F.col("ix") * 2.0 + F.col("iy"))), "v", 16, 16, tile=8, on_round=lambda n, r: rounds.append(n))
     assert not rounds
     assert out.where("v IS NULL OR abs(v - (2 * ix + iy)) > 1e-9").count() == 0  # a plane solves the equation
+
+
+def test_points_on_an_edge_are_those_of_the_sql(spark, tables):
+    tables("customer", "select * replace (c_custkey + 4000 as c_custkey, 0 as c_nationkey) from customer")  # 4023 and 4128 lie on an edge
+    tables("supplier", "select s.* replace (260 + s_suppkey as s_suppkey, 0 as s_nationkey) from supplier s union all select s.* replace (270 + s_suppkey as s_suppkey, 0 as s_nationkey) from supplier s")
+    assert agrees(spark, tables.path, "J4_point_in_polygon")["complex"].notna().any()
