@@ -5,6 +5,7 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
+from weakref import WeakKeyDictionary
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +17,11 @@ from fieldspark.session import scratch_path
 #: Arrow batches by bytes, so that long texts come few at a time and numbers many.
 BATCHES = {"spark.sql.execution.arrow.maxBytesPerBatch": "2097152", "spark.sql.execution.arrow.maxRecordsPerBatch": "20000"}
 
+#: Removes the shuffle files of a query when it ends, not when the driver happens to collect its garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Where the written tables lie.
+_PATHS: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+
 
 def narrow(df: DataFrame, **columns: str) -> DataFrame:
     """The named columns only, under fixed names, so that further or clashing columns do not matter."""
@@ -43,11 +49,31 @@ def arrow_type(df: DataFrame, name: str) -> pa.DataType:
     return to_arrow_type(df.schema[name].dataType)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The frame as a table in the shared folder: computed once, and safe from lost executors."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def written(df: DataFrame, name: str, *more: DataFrame) -> DataFrame:
+    """The frame as a table in the shared folder: computed once, and safe from lost executors.
+
+    Further frames are written into the same table, one after the other.  The shuffle files of each are removed
+    when it is there, so that no two of them take disk at a time.
+    """
+    spark, path = df.sparkSession, scratch_path(df.sparkSession, name)
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        for part in (df, *more):
+            part.write.mode("append").option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    _PATHS[out] = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete tables of :func:`written` that nothing reads any more; no other frame is taken."""
+    for table in tables:
+        sc, path = table.sparkSession.sparkContext, _PATHS.pop(table)
+        path = sc._jvm.org.apache.hadoop.fs.Path(path)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def release(spark: SparkSession) -> None:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldspark.llm.common import written
+from fieldspark.llm.common import drop, written
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -21,7 +21,7 @@ def _small_star(edges: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root) for every node of the edges (a, b); the root is the smallest node of its component.
+    """Written rows (node, root) for every node of the edges (a, b); the root is the smallest node of its component.
 
     Each round is two aggregations and joins on the edge list and is written to the shared folder;
     the number of rounds grows with the logarithm of the longest path.
@@ -29,11 +29,14 @@ def components(edges: DataFrame) -> DataFrame:
     edges = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     mark = None
     while True:
-        grown = _large_star(edges).where("a <> b").distinct()
+        grown, old = _large_star(edges).where("a <> b").distinct(), edges
         edges = written(_small_star(grown).where("a <> b").distinct(), "edges")
+        drop(old)
         now = edges.agg(F.count("*"), F.sum(F.shiftright(F.xxhash64("a", "b"), 20))).first()
         if now == mark:
             break
         mark = now
     stars = edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    return stars.union(stars.select(F.col("root").alias("node"), "root").distinct())
+    roots = written(stars.union(stars.select(F.col("root").alias("node"), "root").distinct()), "roots")
+    drop(edges)
+    return roots

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldspark.llm import arrays as A
-from fieldspark.llm.common import arrow_type, narrow, release, sql_type, tidy, written
+from fieldspark.llm.common import arrow_type, drop, narrow, sql_type, tidy, written
 from fieldspark.llm.components import components
 
 WORDS = 5
@@ -60,6 +60,10 @@ DENSE = 16
 BAND = 1.4
 #: Share of the shingles that is merged beyond the shortest sufficient prefix, to demand several common entries.
 EXTRA = 10
+#: Passes over the texts that merge the lists, each those of a part of the shingles: a pass shuffles that part only.
+PASSES = 2
+#: Parts of the nodes on either side of the pairs whose sets are compared at a time.
+SLICES = 2
 #: Bits of the node filter of the set scan.
 FILTER_BITS = 1 << 26
 
@@ -129,8 +133,8 @@ def profile(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return written(docs.mapInArrow(tidy(run), f"doc {sql_type(docs, 'doc')}, text_hash long, n long, node long, hot long"), "sets")
 
 
-def _postings(docs: DataFrame, hot: np.ndarray, rank: np.ndarray) -> DataFrame:
-    """(shingle, node) of the lists that are merged; ``hot`` is sorted, ``rank`` orders it by frequency."""
+def _postings(docs: DataFrame, hot: np.ndarray, rank: np.ndarray, part: int) -> DataFrame:
+    """(shingle, node) of one part of the lists that are merged; ``hot`` is sorted, ``rank`` orders it by frequency."""
     schema = pa.schema([("shingle", pa.int64()), ("node", pa.int64())])
 
     def run(batches):
@@ -150,9 +154,11 @@ def _postings(docs: DataFrame, hot: np.ndarray, rank: np.ndarray) -> DataFrame:
                         s = np.concatenate([s[cold], s[~cold][np.argsort(rank[at[~cold]], kind="stable")]])
                     else:
                         s = s[cold]
-                out.append(s[:m])
+                s = s[:m]
+                s = s[s % A.U(PASSES) == part]
+                out.append(s)
                 nodes.append(node)
-                sizes.append(m)
+                sizes.append(len(s))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out).view(np.int64)), pa.array(np.repeat(np.array(nodes, np.int64), sizes))], schema=schema)
 
@@ -240,10 +246,12 @@ def _node_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 def _linked(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """Written pairs (a, b) whose sets are similar enough, by probing the smaller in the larger."""
     pairs = written(pairs.select("a", "b").distinct(), "pairs")
-    sets = written(_node_sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("node"))), "sets")
-    release(docs.sparkSession)
-    both = (pairs.select("a", "b").join(sets.select(F.col("node").alias("a"), F.col("set").alias("sa")), "a")
-            .join(sets.select(F.col("node").alias("b"), F.col("set").alias("sb")), "b").select("a", "b", "sa", "sb"))
+    part = lambda c: F.pmod(F.xxhash64(c), F.lit(SLICES))
+    # in which parts a node has partners b, and a: only these comparisons get its set
+    partners = (pairs.select(F.col("a").alias("node"), part("b").alias("with_b"), F.lit(None).cast("long").alias("with_a"))
+                .union(pairs.select(F.col("b"), F.lit(None).cast("long"), part("a")))
+                .groupBy("node").agg(F.collect_set("with_b").alias("with_b"), F.collect_set("with_a").alias("with_a")))
+    sets = written(_node_sets(docs, partners).join(partners, "node"), "sets")
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches):
@@ -256,8 +264,16 @@ def _linked(docs: DataFrame, pairs: DataFrame) -> DataFrame:
                 keep[r] = 100 * common >= PERCENT * (len(x) + len(y) - common)
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep)), batch.column(1).filter(pa.array(keep))], schema=schema)
 
-    out = written(both.mapInArrow(tidy(run), "a long, b long"), "links")
-    release(docs.sparkSession)
+    def compared(i, j):
+        """The similar ones of the pairs between two parts of the nodes."""
+        sa = sets.where((part("node") == i) & F.array_contains("with_b", F.lit(j).cast("long"))).select(F.col("node").alias("a"), F.col("set").alias("sa"))
+        sb = sets.where((part("node") == j) & F.array_contains("with_a", F.lit(i).cast("long"))).select(F.col("node").alias("b"), F.col("set").alias("sb"))
+        both = pairs.where((part("a") == i) & (part("b") == j)).join(sa, "a").join(sb, "b").select("a", "b", "sa", "sb")
+        return both.mapInArrow(tidy(run), "a long, b long")
+
+    first, *more = (compared(i, j) for i in range(SLICES) for j in range(SLICES))
+    out = written(first, "links", *more)
+    drop(pairs, sets)
     return out
 
 
@@ -267,13 +283,15 @@ def _open_lists(entries: DataFrame, links: DataFrame, sizes: DataFrame) -> DataF
     A list is cut into bands of sizes; a node is in its own band and the next, so two nodes whose sizes fit
     meet in the larger of their own bands.
     """
-    root = written(components(links), "roots")
+    root = components(links)
     placed = (entries.join(sizes, "node").join(root, "node", "left")
               .withColumn("own", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(BAND))))
               .select("shingle", "node", "n", "own", F.coalesce("root", "node").alias("root"), F.explode(F.array(F.col("own"), F.col("own") + 1)).alias("band")))
     mixed = (placed.groupBy("shingle", "band").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("length"))
              .where("lo <> hi").select("shingle", "band", "length"))
-    return written(placed.join(mixed, ["shingle", "band"]), "open")
+    out = written(placed.join(mixed, ["shingle", "band"]), "open")
+    drop(root)
+    return out
 
 
 def _pairs_of_lists(placed: DataFrame) -> DataFrame:
@@ -316,7 +334,9 @@ def _residuals(docs: DataFrame, members: DataFrame) -> DataFrame:
                 items.append(np.concatenate([added, ~lacking]).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(v, f.type) for v, f in zip((linked, n, n_centre, lacks, items), list(schema)[2:]))], schema=schema)
 
-    return written(both.mapInArrow(tidy(run), "node long, centre long, linked boolean, n long, n_centre long, lacking long, items binary"), "residuals")
+    out = written(both.mapInArrow(tidy(run), "node long, centre long, linked boolean, n long, n_centre long, lacking long, items binary"), "residuals")
+    drop(members, sets)
+    return out
 
 
 def shared_items(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
@@ -365,13 +385,13 @@ def _steps(work: np.ndarray, most: int):
 
 
 def _residual_links(stars: DataFrame, links: DataFrame) -> DataFrame:
-    """Links (a, b) between members of one centre that lie in different components, as few as connect the same ones.
+    """Written links (a, b) between members of one centre that lie in different components, as few as connect the same ones.
 
     With o differences from the centre c in common, x and y share |c| - |Dx| - |Dy| + o shingles, where D is what they
     lack of c; so the differences alone decide every pair.  A group is dealt into blocks, and a task has two of them:
     its pairs are counted there and never become rows, and what comes out are fewer links than members.
     """
-    root = written(components(links), "roots")
+    root = components(links)
     placed = stars.join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
     blocks = F.ceil(F.greatest(F.count("*") / GROUP, F.sum(F.octet_length("items")) / 8 / GROUP_ITEMS)).cast("int")
     groups = (placed.groupBy("centre").agg(blocks.alias("blocks"), F.min("root").alias("lo"), F.max("root").alias("hi"))
@@ -400,19 +420,20 @@ def _residual_links(stars: DataFrame, links: DataFrame) -> DataFrame:
                     group[np.isin(group, new)] = group[x]
         return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=schema)
 
-    return cells.groupBy("centre", "i", "j").applyInArrow(run, "a long, b long")
+    out = written(cells.groupBy("centre", "i", "j").applyInArrow(run, "a long, b long"), "links")
+    drop(root)
+    return out
 
 
 def node_links(docs: DataFrame, rows: DataFrame) -> DataFrame:
-    """Links (a, b) that connect exactly the components of all similar pairs of nodes."""
-    spark = docs.sparkSession
+    """Written links (a, b) that connect exactly the components of all similar pairs of nodes."""
     found = (rows.where("hot IS NOT NULL").groupBy("hot").agg(F.sum("n").alias("n")).where(F.col("n") >= HOT)
              .orderBy(F.desc("n"), "hot").limit(HOT_ENTRIES).collect())
     hot = np.array([r["hot"] for r in found], np.int64).view(A.U)
     order = np.argsort(hot)
     hot, rank = hot[order], np.array([r["n"] for r in found], np.int64)[order]
-    lists = written(_lists(_postings(docs, hot, rank).repartition(F.col("shingle"))), "lists")
-    release(spark)
+    lists, *more = (_lists(_postings(docs, hot, rank, part).repartition(F.col("shingle"))) for part in range(PASSES))
+    lists = written(lists, "lists", *more)
 
     sizes = rows.where("node IS NOT NULL").groupBy("node").agg(F.first("n").alias("n"))
     na, nb = sizes.select(F.col("node").alias("a"), F.col("n").alias("na")), sizes.select(F.col("node").alias("b"), F.col("n").alias("nb"))
@@ -434,27 +455,34 @@ def node_links(docs: DataFrame, rows: DataFrame) -> DataFrame:
              .groupBy("a", "b").agg(F.count("*").alias("c")).where(F.col("c") >= CLOSE).join(na, "a").join(nb, "b").where(fit))
     first = _linked(docs, chain.select("a", "b").union(sized.where("c >= k").select("a", "b")))
     if entries.isEmpty():
+        drop(lists, counted, sized)
         return first
     placed = _open_lists(entries.select("shingle", F.col("a").alias("node")), first, sizes)
     # a pair that meets in no list above MEDIUM is counted in all lists it shares
     cross = _pairs_of_lists(placed.where(F.col("length") <= MEDIUM)).select("a", "b", "c", least.alias("k"))
     rest = written(cross.union(sized.where("c < k")).groupBy("a", "b").agg(F.sum("c").alias("c"), F.first("k").alias("k")).where("c >= k").select("a", "b"), "rest")
+    drop(lists, counted, sized)
     stars = _residuals(docs, _centres(placed.where(F.col("length") > MEDIUM)))
-    release(spark)
+    drop(placed)
     near = stars.where("linked").select(F.col("node").alias("a"), F.col("centre").alias("b"))
-    first = written(first.union(near), "links")
-    first = written(first.union(_residual_links(stars, first)), "links")
-    return first.union(_linked(docs, rest))
+    found = written(first.union(near), "links")
+    of_groups = _residual_links(stars, found)
+    drop(first, stars)
+    of_pairs = _linked(docs, rest)
+    links = written(found.union(of_groups).union(of_pairs), "links")
+    drop(rest, found, of_groups, of_pairs)
+    return links
 
 
 def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, text_hash, n_shingles and component_id of every row, and the signature ``grp`` of its component."""
     rows = profile(docs, id_col, text_col)
     links = node_links(narrow(docs, text=text_col), rows)
-    root = components(links).select("node", "root")
+    root = components(links)
     placed = rows.where("hot IS NULL").join(root, "node", "left").select(
         F.col("doc").alias("doc_id"), "text_hash", F.col("n").alias("n_shingles"), F.coalesce("root", "node").alias("grp"))
     placed = written(placed, "placed")
+    drop(rows, links, root)
     least = placed.where("grp IS NOT NULL").groupBy("grp").agg(F.min("doc_id").alias("component_id"))
     return placed.join(least, "grp", "left").select("doc_id", "text_hash", "n_shingles",
                                                     F.when(F.col("grp").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "grp")

@@ -2,8 +2,10 @@
 
 import hashlib
 import math
+import os
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 from datetime import date, timedelta
@@ -714,6 +716,33 @@ def test_jaccard_pairs_of_a_group_are_no_rows(spark, monkeypatch, block):
     assert sum(asked) < 20 * len(data)
 
 
+def test_written_tables_leave_no_shuffle_files(spark):
+    from fieldspark.llm.common import drop, written
+
+    disk = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager()
+    files = lambda: {b for b in disk.getAllBlocks().mkString(",").split(",") if b.startswith("shuffle_")}
+    before, many = files(), spark.range(5000).repartition(5)
+    out = written(many.groupBy((many["id"] % 9).alias("k")).count().repartition(3, "k"), "counts", many.groupBy((many["id"] % 7).alias("k")).count())
+    for _ in range(50):
+        if not (left := files() - before):
+            break
+        time.sleep(0.2)
+    assert not left and out.count() == 9 + 7
+    folder = os.path.dirname(out.inputFiles()[0].removeprefix("file:"))
+    drop(out)
+    assert not os.path.exists(folder)
+    with pytest.raises(KeyError):
+        drop(many)  # a frame that is no written table
+
+
+def test_jaccard_keeps_only_the_table_that_its_result_reads(spark, docs):
+    folders = lambda: set(os.listdir(shared_dir(spark).removeprefix("file:")))
+    before = folders()
+    groups = jaccard.jaccard_groups(docs)
+    assert {name.partition("-")[0] for name in folders() - before} == {"placed"} and len(folders() - before) == 1
+    assert groups.count() == docs.count()
+
+
 def test_one_of_each(docs, rows):
     kept = jaccard.one_of_each(docs)
     assert kept.columns == docs.columns
