@@ -60,7 +60,7 @@ def written(df: DataFrame, name: str, *more: DataFrame) -> DataFrame:
     spark.conf.set(CLEANUP, "true")
     try:
         for part in (df, *more):
-            part.write.mode("append").option("compression", "zstd").parquet(path)
+            part.write.mode("append").options(**{"compression": "zstd", "parquet.writer.version": "v1"}).parquet(path)
     finally:
         spark.conf.set(CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)

@@ -13,6 +13,9 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # results that are products (designs) are large where they are written: delta pages and zstd store numbered rows in bits
+    "spark.sql.parquet.compression.codec": "zstd",
+    "parquet.writer.version": "v2",
 }
 #: Most bytes of a file split and of a coalesced shuffle partition: both grow with the tables up to these, and a task's
 #: hash tables and sorts with them.

@@ -180,3 +180,21 @@ def test_points_on_an_edge_are_those_of_the_sql(spark, tables):
     tables("customer", "select * replace (c_custkey + 4000 as c_custkey, 0 as c_nationkey) from customer")  # 4023 and 4128 lie on an edge
     tables("supplier", "select s.* replace (260 + s_suppkey as s_suppkey, 0 as s_nationkey) from supplier s union all select s.* replace (270 + s_suppkey as s_suppkey, 0 as s_nationkey) from supplier s")
     assert agrees(spark, tables.path, "J4_point_in_polygon")["complex"].notna().any()
+
+
+@pytest.mark.parametrize("name, rows, most", [("R2_full_factorial", 1_000_000, 1 << 20)])
+def test_written_products_take_few_bits_a_row(spark, tmp_path, name, rows, most):
+    out, path = entry.queries()[name](spark, "/root/testdata/sf0.1"), str(tmp_path / "out")
+    out.write.parquet(path)
+    assert sum(os.path.getsize(f) for f in glob.glob(f"{path}/*.parquet")) < most  # about 5 MB in plain pages and snappy
+    back = spark.read.parquet(path)
+    sums = [F.count("*"), *(F.sum(F.xxhash64(c) % 1_000_003) for c in out.columns)]
+    assert back.dtypes == out.dtypes and back.count() == rows and back.agg(*sums).first() == out.agg(*sums).first()
+
+
+def test_settings_leave_tables_between_steps_in_plain_pages(spark):
+    import pyarrow.parquet as pq
+    from fieldspark.llm.common import written
+
+    file = written(spark.range(9), "plain").inputFiles()[0].removeprefix("file:")
+    assert not any("DELTA" in e for e in pq.ParquetFile(file).metadata.row_group(0).column(0).encodings)
